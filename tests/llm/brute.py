@@ -113,3 +113,60 @@ def quality_counts(text):
 
 def fold(doc_id, mod):
     return zlib.crc32(str(doc_id).encode()) % mod
+
+
+def katz_discounts(of, top=5):
+    """d(1..top) from the counts of counts 1..top+1."""
+    n = [0, *of]
+    cut = (top + 1) * n[top + 1] / n[1] if n[1] else 1
+    if all(x > 0 for x in of) and cut < 1:
+        d = [((r + 1) * n[r + 1] / n[r] / r - cut) / (1 - cut) for r in range(1, top + 1)]
+        if all(0 < x <= 1 for x in d) and min(d) < 1:
+            return [1, *d]
+    share = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
+    return [1, *(1 - share / r for r in range(1, top + 1))]
+
+
+class Katz:
+    """A backoff model over token lists; `prob(history, word)` recurses over plain dictionaries."""
+
+    def __init__(self, texts, order, top=5):
+        self.top, self.order = top, order
+        self.counts = [Counter() for _ in range(order + 1)]
+        for text in texts:
+            w = ["<s>", *text]
+            for i in range(1, len(w)):
+                self.counts[1][(w[i],)] += 1
+                for k in range(2, order + 1):
+                    self.counts[k][tuple(w[max(0, i - k + 1) : i + 1])] += 1
+        self.d = [None] + [katz_discounts([sum(c == r for c in x.values()) for r in range(1, top + 2)]) for x in self.counts[1:]]
+        self.n = sum(self.counts[1].values())
+        kept = sum(self.disc(1, c) for c in self.counts[1].values())
+        self.over = self.n if kept < self.n - 1e-9 else self.n + 1
+        self.unknown = 1 - kept / self.over if self.n else 1.0
+        self.after = [defaultdict(dict) for _ in range(order + 1)]
+        for k in range(2, order + 1):
+            for g, c in self.counts[k].items():
+                self.after[k][g[:-1]][g[-1]] = c
+        self.memo = {}
+
+    def disc(self, k, c):
+        return c * (self.d[k][c] if c <= self.top else 1)
+
+    def prob(self, k, history, word):
+        if k == 1:
+            c = self.counts[1].get((word,), 0)
+            return self.disc(1, c) / self.over if c else self.unknown
+        h = history[max(0, len(history) - k + 1) :]
+        lower = lambda w: self.prob(k - 1, history, w)
+        seen = self.after[k].get(h)
+        if not seen:
+            return lower(word)
+        total = sum(seen.values())
+        kept = sum(self.disc(k, c) for c in seen.values())
+        over = total if any(c <= self.top for c in seen.values()) else total + 1
+        if word in seen:
+            return self.disc(k, seen[word]) / over
+        if (k, h) not in self.memo:
+            self.memo[k, h] = (1 - kept / over) / (1 - sum(map(lower, seen)))
+        return self.memo[k, h] * lower(word)
