@@ -17,5 +17,5 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: int, held_out_mod: int =
     ids = labels.where(F.col("quality").isNotNull() & (remainder("doc_id", held_out_mod) != 0))
     ids = ids.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int").alias("quality"))
     ids = ids.groupBy("_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
-    found = docs.join(F.broadcast(ids), F.col("doc_id").cast("long") == F.col("_id"))  # bounded by rows
+    found = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id").cast("long") == F.col("_id"))  # bounded by rows
     return found.select(F.col("_id").alias("doc_id"), "quality", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).dropDuplicates(["doc_id"])

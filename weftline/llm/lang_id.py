@@ -184,7 +184,7 @@ class Model:
 
 def fit(docs: DataFrame, held_out_mod: int = 5) -> Model:
     """A model from docs(doc_id, text, lang): rows with a language whose crc32(doc_id) mod held_out_mod is not 0."""
-    rows = docs.where(F.col("lang").isNotNull() & (remainder("doc_id", held_out_mod) != 0))
+    rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & (remainder("doc_id", held_out_mod) != 0))
     ids = rows.select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id"))
     first = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
     ids = ids.withColumn("_rank", first).where(F.col("_rank") <= SAMPLE_DOCS).select("_lang", "_id", "_rank")

@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 
 from ._session import BROADCAST_ROWS, Scratch, small
 
+#: Columns that apply_bitmaps adds.
+ADDED = ("n_lines", "n_dropped", "kept_text")
+
 _BLANK = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -95,26 +98,27 @@ def apply_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Da
     maps = scratch.table(keep_bitmaps(docs, min_chars, min_docs, scratch), "maps")
     scratch.drop("lines")
     rows, runs = maps.agg(F.count("*"), F.sum(F.size("dropped"))).first()
-    maps = maps.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("n_dropped").alias("_n"), F.col("dropped").alias("_runs"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    # The row travels as one column, so that its names meet no others.
+    rows_of = docs.select(F.struct(*(c for c in docs.columns if c not in ADDED)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
     maps = small(maps, rows + (runs or 0))
     maps = maps if rows + (runs or 0) <= BROADCAST_ROWS else maps.hint("shuffle_hash")
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_hash"))
-    out = _identified(docs).join(maps, on, "left")
-    text = F.coalesce("text", F.lit(""))
-    out = out.withColumns(
-        {
-            "n_lines": F.size(_lines(F.col("text"))).cast("long"),
-            "n_dropped": F.coalesce("_n", F.lit(0)).cast("long"),
-            "kept_text": F.when(F.col("_n").isNull(), text).otherwise(_kept(F.col("text"), F.col("_runs"))),
-        }
+    out = rows_of.join(maps, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
+    return out.select(
+        "row.*",
+        F.size(_lines(F.col("text"))).cast("long").alias("n_lines"),
+        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("n_dropped").isNull(), F.col("text")).otherwise(_kept(F.col("text"), F.col("dropped"))).alias("kept_text"),
     )
-    return out.drop("_text", "_id", "_hash", "_n", "_runs")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """docs with the kept text in place of text, and n_chars set to its code points; a null text stays null."""
-    out = apply_bitmaps(docs, min_chars, min_docs)
-    out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_text")))
+    # Columns of docs with the names that apply_bitmaps adds would be lost: they go by other names meanwhile.
+    aside = {c: f"own {k} {c}" for k, c in enumerate(docs.columns) if c in ADDED}
+    out = apply_bitmaps(docs.withColumnsRenamed(aside), min_chars, min_docs)
+    out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_text"))).drop(*ADDED)
+    out = out.withColumnsRenamed({v: k for k, v in aside.items()})
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -320,4 +320,4 @@ def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     """docs without the rows that near_duplicates does not keep; rows that share a doc_id stay or go together."""
     scratch = Scratch(docs.sparkSession, "keep_one")
     gone = scratch.table(near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(small(gone, gone.count()), F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(small(gone, gone.count()), docs["doc_id"] == gone["_gone"], "left_anti")

@@ -217,4 +217,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs, with all columns, without the rows that classify() predicts 0 for; nothing is shuffled."""
-    return score(docs, fit(docs, labels), "_accept").where(F.col("_accept") >= ACCEPT).select(*docs.columns)
+    into = "score"
+    while into in docs.columns:
+        into = f"_{into}"
+    return score(docs, fit(docs, labels), into).where(F.col(into) >= ACCEPT).drop(into)
