@@ -19,15 +19,19 @@ Where all followers of h have counts beyond GT, which leaves nothing, T(h) is
 taken one larger. A document's first words follow a start mark.
 
 How it runs. The corpus is cut into chunks of about CHUNK_TOKENS tokens, each
-one row: a vocabulary of word hashes and the tokens as positions in it. Every
-chunk adds up its own n-grams, and sends them level by level, sorted, packed
-and compressed, to the parts of a table that is partitioned by context. A part
-merges what the chunks sent, keeps the merged counts, and returns to each
-chunk the counts of its n-grams and, of each context, the number of n-grams,
-their counts of counts up to GT and the lower-order mass of its followers; the
-discounts, which need all parts' counts of counts, are known afterwards, and
-give the weights from these sums. So nothing that grows with the corpus passes
-through the driver: it sees a few sums.
+one row of a bucketed table: a vocabulary of word hashes, and the tokens as
+positions in it. Every chunk adds up its own n-grams, and sends them level by level, sorted, packed and compressed,
+to the parts of a table that is partitioned by context. A part merges what the
+chunks sent, and returns to each chunk the counts of its n-grams and, of each
+context, the number of n-grams, their counts of counts up to GT and the
+lower-order mass of its followers; the discounts, which need all parts' counts
+of counts, are known afterwards, and give the weights from these sums. The
+replies are the level's stored table; they meet the chunks by bucket, so that
+the chunks themselves are written once and never shuffled. Nothing that grows
+with the corpus passes through the driver: it sees a few sums.
+
+Where the level below is the words', its probabilities are functions of counts,
+and counts travel in their place: they pack into a byte or two.
 
 A context with a large share of all n-grams is split over several parts by its
 next word, by its count in the level below, and its sums are added up again.
@@ -76,27 +80,33 @@ def _batch(columns: dict) -> pa.RecordBatch:
 
 # Chunks
 
-_CHUNK = "chunk long, n_tokens long, docs binary, lengths binary, train binary, words binary, seen binary, tokens binary"
+_BODY = ("docs", "lengths", "train", "places", "tokens")
+_CHUNK = f"chunk long, n_tokens long, {', '.join(f'{c} binary' for c in _BODY)}, words binary, seen binary"
 
 
-def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     part = TaskContext.get().partitionId()
     held: list[tuple] = []
     size = made = 0
 
-    def chunk() -> pa.RecordBatch:
+    def chunk() -> dict:
         ids, train, lengths, hashes = (np.concatenate(x) for x in zip(*held))
         words, back, count = np.unique(hashes, return_inverse=True, return_counts=True)
+        back = back.reshape(-1)
         order = np.argsort(-count, kind="stable")  # frequent words get small numbers, which pack well
         rank = np.empty(len(order), np.int64)
         rank[order] = np.arange(len(order))
-        tokens = rank[back.reshape(-1)]
-        seen = np.bincount(tokens[np.repeat(train, lengths)], minlength=len(words))
-        row = [ids, lengths, train.astype(np.int64), words[order].view(np.int64), seen, tokens]
-        return _batch(
-            {"chunk": pa.array([(part << 32) + made]), "n_tokens": pa.array([len(tokens)])}
-            | {k: pa.array([pack(v)], pa.binary()) for k, v in zip(("docs", "lengths", "train", "words", "seen", "tokens"), row)}
-        )
+        return {
+            "chunk": (part << 32) + made,
+            "n_tokens": len(back),
+            "docs": ids,
+            "lengths": lengths,
+            "train": train.astype(np.int64),
+            "places": order,
+            "tokens": rank[back],
+            "words": words.view(np.int64),
+            "seen": np.bincount(back[np.repeat(train, lengths)], minlength=len(words)),
+        }
 
     for batch in batches:
         names = np.asarray(batch.column(0).fill_null(-(1 << 63)))
@@ -117,31 +127,40 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield chunk()
 
 
+def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for c in _chunks(batches):
+        row = {k: pa.array([c[k]], pa.int64()) for k in ("chunk", "n_tokens")}
+        yield _batch(row | {k: pa.array([pack(c[k])], pa.binary()) for k in (*_BODY, "words", "seen")})
+
+
 # Level 1: words
 
 _ASK1 = "part long, chunk long, words binary, seen binary"
-_REPLY = "level int, chunk long, part long, counts binary, ids binary, sums binary, info string"
+_REPLY = "level int, chunk long, part long, counts binary, ids binary, sums binary, lower binary, info string"
 
 
-def _parts_of(words: np.ndarray, parts: int) -> np.ndarray:
-    return ((t.mix(words * _SPLIT) >> np.uint64(11)) % np.uint64(parts)).astype(np.int64)
+def _parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((t.mix(keys * _SPLIT) >> np.uint64(11)) % np.uint64(parts)).astype(np.int64)
 
 
 def _ask_words(parts: int):
+    """A chunk's words in ascending order of their hash, cut into a stretch for each part."""
+    step = (1 << 64) // parts + 1
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 words, seen = unpack(r["words"], np.uint64), unpack(r["seen"])
-                of = _parts_of(words, parts)
-                for p in range(parts):
-                    at = np.flatnonzero(of == p)
-                    yield _batch({"part": pa.array([p]), "chunk": pa.array([r["chunk"]]), "words": pa.array([pack(words[at])]), "seen": pa.array([pack(seen[at])])})
+                cut = np.append(np.searchsorted(words, np.array([p * step for p in range(parts)], np.uint64)), len(words))
+                rows = [(p, r["chunk"], pack(words[a:b]), pack(seen[a:b])) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:]))]
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield _batch({k: pa.array(v, kind) for k, v, kind in zip(("part", "chunk", "words", "seen"), zip(*rows), kinds)})
 
     return run
 
 
 def _reply_rows(rows: list[dict]) -> pa.Table:
-    kinds = {"level": pa.int32(), "chunk": pa.int64(), "part": pa.int64(), "counts": pa.binary(), "ids": pa.binary(), "sums": pa.binary(), "info": pa.string()}
+    kinds = {"level": pa.int32(), "chunk": pa.int64(), "part": pa.int64(), "counts": pa.binary(), "ids": pa.binary(), "sums": pa.binary(), "lower": pa.binary(), "info": pa.string()}
     return pa.table({k: pa.array([r.get(k) for r in rows], v) for k, v in kinds.items()})
 
 
@@ -169,7 +188,7 @@ def _count_words(parts: int):
         back = back.reshape(-1)
         counts = np.bincount(back, seen, len(distinct)).astype(np.int64)
         ids = _numbered(counts, part, parts)
-        rows = [{"level": 1, "chunk": -1, "part": part, "info": _info(counts), "counts": pack(counts[counts > 0]), "ids": pack(distinct[counts > 0])}]
+        rows = [{"level": 1, "chunk": -1, "part": part, "info": _info(counts)}]
         at = 0
         for c, w in zip(chunks, words):
             own = back[at : at + len(w)]
@@ -220,6 +239,11 @@ class Level:
             return 1 / (self.n + 1), self.n + 1.0
         return free / self.n, float(self.n)
 
+    def word(self, counts: np.ndarray) -> np.ndarray:
+        """P1 of words of these counts; a count of 0 is the unknown class."""
+        rest, total = self.unknown()
+        return np.where(counts > 0, self.discounted(counts) / total, rest)
+
 
 # Levels above: contexts and the words that follow them
 
@@ -228,22 +252,19 @@ class Chunk:
     """A chunk, its n-grams level by level, and what the tables said of them."""
 
     def __init__(self, row: dict, parts: int, hot: int):
-        self.parts, self.hot = parts, hot
+        self.parts, self.hot, self.depth = parts, hot, 1
         self.docs, self.lengths = unpack(row["docs"]), unpack(row["lengths"])
         self.train = unpack(row["train"]).astype(bool)
-        self.words, self.tokens = unpack(row["words"], np.uint64), unpack(row["tokens"])
+        self.places, self.tokens = unpack(row["places"]), unpack(row["tokens"])
         self.first = np.cumsum(self.lengths) - self.lengths
         self.learned = np.repeat(self.train, self.lengths)
 
     def level1(self, replies: list[dict], level: Level) -> None:
-        of = _parts_of(self.words, self.parts)
-        self.count, self.id = np.zeros(len(of), np.int64), np.full(len(of), -2, np.int64)
-        for r in replies:
-            at = np.flatnonzero(of == r["part"])
-            self.count[at], self.id[at] = unpack(r["counts"]), unpack(r["ids"])
-        rest, total = level.unknown()
-        self.p = np.where(self.count > 0, level.discounted(self.count) / total, rest)
-        self.gram, self.gram_id, self.gram_count, self.start_count = self.tokens, self.id, self.count, 0
+        # The parts' stretches, one after another, are the words in the order of their hashes.
+        self.count = np.concatenate([unpack(r["counts"]) for r in replies])[self.places]
+        self.id = np.concatenate([unpack(r["ids"]) for r in replies])[self.places]
+        self.p = level.word(self.count)
+        self.gram, self.gram_id, self.gram_count = self.tokens, self.id, self.count
 
     def grams(self, starts: int) -> dict:
         """The next level's distinct n-grams of the chunk, and the requests for them in the order of their parts.
@@ -253,7 +274,7 @@ class Chunk:
         context = np.empty(len(self.gram), np.int64)
         context[1:] = self.gram[:-1]
         context[self.first] = len(self.gram_id)  # the start mark
-        width = len(self.words)
+        width = len(self.places)
         keys, at, back, _ = np.unique(context * width + self.tokens, return_index=True, return_inverse=True, return_counts=True)
         back = back.reshape(-1)
         g = {"context": keys // width, "word": keys % width, "lower": self.p[self.gram[at]], "back": back}
@@ -287,14 +308,23 @@ class Chunk:
         g = self.grams(starts)
         n, m = len(g["context"]), len(g["used"])
         counts, ids = np.zeros(n, np.int64), np.full(n, -2, np.int64)
-        sums = np.zeros((m, GT + 2))
+        sums = np.zeros((m, 1 + GT), np.int64)
+        words, lower = np.zeros((m, 1 + GT), np.int64), np.zeros(m)
         for r in replies:
             lo, hi = np.searchsorted(g["part"], [r["part"], r["part"] + 1])
             a, b = np.searchsorted(g["request"], [lo, hi])
             at = g["entry"][a:b]
-            counts[at], ids[at] = unpack(r["counts"]), unpack(r["ids"])
-            np.add.at(sums, g["asked"][lo:hi], unpack(r["sums"], np.float64).reshape(GT + 2, -1).T)
-        total, low, lower = sums[:, 0], sums[:, 1 : GT + 1], sums[:, GT + 1]
+            counts[at] = unpack(r["counts"])
+            if r["ids"] is not None:
+                ids[at] = unpack(r["ids"])
+            np.add.at(sums, g["asked"][lo:hi], unpack(r["sums"]).reshape(1 + GT, -1).T)
+            if self.depth == 1:
+                np.add.at(words, g["asked"][lo:hi], unpack(r["lower"]).reshape(1 + GT, -1).T)
+            else:
+                np.add.at(lower, g["asked"][lo:hi], unpack(r["lower"], np.float64))
+        total, low = sums[:, 0], sums[:, 1:]
+        if self.depth == 1:
+            lower = (words[:, 0] + (words[:, 1:] * np.arange(1, GT + 1) * below.d[1:]).sum(1)) / below.unknown()[1]
         free = (low * np.arange(1, GT + 1) * (1 - level.d[1:])).sum(1)
         over = np.where(free > 0, total, total + 1)  # what d(c) c is divided by
         free = np.where(free > 0, free, 1.0)
@@ -307,16 +337,16 @@ class Chunk:
         hit = counts > 0
         p[hit] = level.discounted(counts[hit]) / over[c[hit]]
         self.gram, self.gram_id, self.gram_count, self.p = g["back"], ids, counts, p
+        self.depth += 1
 
 
 _ASK = "part long, chunk long, contexts binary, salts binary, sizes binary, words binary, seen binary, lower binary"
 
 
-def _state(group: pa.Table, levels: list[Level], parts: int, hot: int, starts: int) -> tuple[int, Chunk]:
-    rows = group.to_pylist()
-    body = next(r for r in rows if r["level"] == 0)
+def _state(body: pa.Table, replied: pa.Table, levels: list[Level], parts: int, hot: int, starts: int) -> tuple[int, Chunk]:
+    (body,), rows = body.to_pylist(), replied.to_pylist()
     replies = [sorted((r for r in rows if r["level"] == k + 1), key=lambda r: r["part"]) for k in range(len(levels))]
-    if any(len(r) not in (parts, 0) for r in replies[:1]):
+    if len(replies[0]) != parts:
         raise ValueError("a part's reply is missing")
     chunk = Chunk(body, parts, hot)
     chunk.level1(replies[0], levels[0])
@@ -326,11 +356,12 @@ def _state(group: pa.Table, levels: list[Level], parts: int, hot: int, starts: i
 
 
 def _ask(levels: list[Level], parts: int, hot: int, starts: int):
-    def run(group: pa.Table) -> pa.Table:
-        number, chunk = _state(group, levels, parts, hot, starts)
+    def run(body: pa.Table, replied: pa.Table) -> pa.Table:
+        number, chunk = _state(body, replied, levels, parts, hot, starts)
         g = chunk.grams(starts)
         size = np.bincount(g["request"], minlength=len(g["part"]))
-        seen, lower = g["seen"][g["entry"]], g["lower"][g["entry"]]
+        seen = g["seen"][g["entry"]]
+        lower = chunk.count[g["word"][g["entry"]]] if chunk.depth == 1 else g["lower"][g["entry"]]
         out: dict[str, list] = {k.split()[0]: [] for k in _ASK.split(", ")}
         for p in np.unique(g["part"]).tolist():
             lo, hi = np.searchsorted(g["part"], [p, p + 1])
@@ -342,7 +373,7 @@ def _ask(levels: list[Level], parts: int, hot: int, starts: int):
     return run
 
 
-def _count(level: int, parts: int):
+def _count(level: int, parts: int, last: bool):
     def run(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
         part = rows[0]["part"]
@@ -360,22 +391,29 @@ def _count(level: int, parts: int):
         first = order[new]
         n = len(first)
         counts = np.bincount(back, np.concatenate([unpack(r["seen"]) for r in rows]), n).astype(np.int64)
-        lower = np.concatenate([unpack(r["lower"], np.float64) for r in rows])[first]
+        lower = np.concatenate([unpack(r["lower"], np.int64 if level == 2 else np.float64) for r in rows])[first]
         context = of[first]
         seen = counts > 0
         m = len(asked)
-        sums = np.empty((GT + 2, m))
+        sums = np.empty((1 + GT, m), np.int64)
         sums[0] = np.bincount(context, counts, m)
         for k in range(1, GT + 1):
             sums[k] = np.bincount(context[counts == k], minlength=m)
-        sums[GT + 1] = np.bincount(context[seen], lower[seen], m)
-        ids = _numbered(counts, part, parts)
+        if level == 2:  # lower is a count: the sum of those over GT, and how many have each count up to GT
+            mass = np.empty((1 + GT, m), np.int64)
+            mass[0] = np.bincount(context[seen], np.where(lower[seen] > GT, lower[seen], 0), m)
+            for k in range(1, GT + 1):
+                mass[k] = np.bincount(context[seen & (lower == k)], minlength=m)
+        else:
+            mass = np.bincount(context[seen], lower[seen], m)[None, :]
+        ids = None if last else _numbered(counts, part, parts)
         out = [{"level": level, "chunk": -1, "part": part, "info": _info(counts)}]
         at = ask = 0
         for r, size in zip(rows, sizes):
             k, q = int(size.sum()), len(size)
             own, req = back[at : at + k], request[ask : ask + q]
-            out.append({"level": level, "chunk": r["chunk"], "part": part, "counts": pack(counts[own]), "ids": pack(ids[own]), "sums": pack(sums[:, req])})
+            reply = {"level": level, "chunk": r["chunk"], "part": part, "counts": pack(counts[own]), "sums": pack(sums[:, req]), "lower": pack(mass[:, req])}
+            out.append(reply if last else reply | {"ids": pack(ids[own])})
             at, ask = at + k, ask + q
         return _reply_rows(out)
 
@@ -386,8 +424,8 @@ _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 
 
 def _score(levels: list[Level], parts: int, hot: int, starts: int):
-    def run(group: pa.Table) -> pa.Table:
-        _, c = _state(group, levels, parts, hot, starts)
+    def run(body: pa.Table, replied: pa.Table) -> pa.Table:
+        _, c = _state(body, replied, levels, parts, hot, starts)
         n, v = levels[0].n, levels[0].v
         base = np.log10((c.count + 1) / (n + v + 1))[c.tokens]
         with np.errstate(divide="ignore"):
@@ -426,24 +464,27 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
     scratch = Scratch(spark, "katz")
     train = F.coalesce(remainder("doc_id", 7) != 2, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"), F.col("text").cast("string").alias("text"))
-    chunks = scratch.table(docs.mapInArrow(_tokenise, _CHUNK), "chunks")
-    tokens = chunks.agg(F.sum("n_tokens")).first()[0] or 0
+    made = scratch.bucketed(docs.mapInArrow(_tokenise, _CHUNK), "chunks", "chunk")
+    tokens = made.agg(F.sum("n_tokens")).first()[0] or 0
+    chunks = made.drop("words", "seen")
     parts = max(4, -(-tokens // PART_ENTRIES))
     hot = PART_ENTRIES // 4
 
     def reply(frame: DataFrame, k: int) -> tuple[DataFrame, Level]:
-        table = scratch.table(frame, f"level{k}")
-        return table, Level([r[0] for r in table.where("chunk = -1").select("info").collect()])
+        table = scratch.table(frame, f"level{k}", "none")
+        return table.where("chunk >= 0").drop("info"), Level([r[0] for r in table.where("chunk = -1").select("info").collect()])
 
-    asked = chunks.select("chunk", "words", "seen").mapInArrow(_ask_words(parts), _ASK1)
-    table, level = reply(asked.groupBy("part").applyInArrow(_count_words(parts), _REPLY), 1)
+    asked = made.select("chunk", "words", "seen").mapInArrow(_ask_words(parts), _ASK1)
+    replies, level = reply(asked.groupBy("part").applyInArrow(_count_words(parts), _REPLY), 1)
     levels = [level]
-    body = chunks.withColumn("level", F.lit(0))
-    both = body.unionByName(table.where("chunk >= 0").drop("info"), allowMissingColumns=True)
     starts = docs.where("train").count()
+
+    def meet(run, schema: str) -> DataFrame:
+        return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
+
     for k in range(2, order + 1):
-        asked = both.groupBy("chunk").applyInArrow(_ask(list(levels), parts, hot, starts), _ASK)
-        table, level = reply(asked.groupBy("part").applyInArrow(_count(k, parts), _REPLY), k)
+        asked = meet(_ask(list(levels), parts, hot, starts), _ASK)
+        more, level = reply(asked.groupBy("part").applyInArrow(_count(k, parts, k == order), _REPLY), k)
         levels.append(level)
-        both = both.unionByName(table.where("chunk >= 0").drop("info"), allowMissingColumns=True)
-    return both.groupBy("chunk").applyInArrow(_score(levels, parts, hot, starts), _SCORED)
+        replies = replies.unionByName(more)
+    return meet(_score(levels, parts, hot, starts), _SCORED)
