@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.functions.constants import COMPLETENESS_ORDER, EXECUTABLE_KINDS, GENERIC_WORDS, INTENT_WORDS, SIGNAL_WORDS
+from weftline.functions.constants import BOUNDARY, COMPLETENESS_ORDER, EXECUTABLE_KINDS, GENERIC_WORDS, INTENT_WORDS, SIGNAL_WORDS
 from weftline.functions.text import compact_text, has_keyword, identifier_tokens, query_tokens, spaced_text, strict_tokens
 
 
@@ -13,47 +13,87 @@ def _named(test_of: dict[str, tuple[str, ...]]) -> Column:
     def any_of(words: tuple[str, ...]) -> Column:
         out = F.lit(False)
         for w in words:
-            out = out | has_keyword("question", "strict", w)
+            out = out | has_keyword("question", "tokens", w)
         return out
 
     return F.array_compact(F.array(*(F.when(any_of(words), F.lit(name)) for name, words in test_of.items())))
 
 
 def analyse_questions(questions: DataFrame) -> DataFrame:
-    """questions(id, question) with plain (spaced text), compact, tokens, strict, intents and signals (arrays)."""
+    """questions(id, question) with plain (spaced text), compact, tokens, strict, intents and signals (arrays), and scope.
+
+    tokens are the question's words and the parts of its identifiers, strict
+    its words alone; keywords are looked up among tokens. scope is the kind of
+    evidence to prefer: symbol, path, boundary, risk or semantic.
+    """
     out = questions.withColumn("plain", spaced_text("question")).withColumn("compact", compact_text("question"))
     out = out.withColumn("tokens", query_tokens("question")).withColumn("strict", strict_tokens("question"))
-    return out.withColumn("intents", _named(INTENT_WORDS)).withColumn("signals", _named(SIGNAL_WORDS))
+    out = out.withColumn("intents", _named(INTENT_WORDS)).withColumn("signals", _named(SIGNAL_WORDS))
+    on_path = F.lit(False)
+    for w in ("how", "path", "flow", "reach", "before", "after"):
+        on_path = on_path | F.col("plain").contains(w)
+    some = lambda c, names: F.size(F.array_intersect(c, F.array(*map(F.lit, names)))) > 0
+    scope = (
+        F.when(F.array_contains("intents", "ambiguity_resolution") | F.col("plain").contains("smallest slice"), "symbol")
+        .when(on_path, "path")
+        .when(some("intents", ("auth", "validation")) | some("signals", (*BOUNDARY, "auth_guard", "validation_guard")), "boundary")
+        .when(F.array_contains("intents", "architecture"), "risk")
+        .when(F.size("signals") > 0, "semantic")
+        .otherwise("symbol")
+    )
+    return out.withColumn("scope", scope)
 
 
 def mentions(questions: DataFrame, names: DataFrame, limit: int = 8) -> DataFrame:
-    """(id, node, score, rank): the nodes that analysed questions mention, from names(node, name, kind, span).
-
-    A name of several words within the question: 14; a single word of five
-    letters or more, not a generic one, among its tokens: 9; equal without
-    separators: 11; else two or more tokens in common: 1.5 each, 6 at most, or
-    one of eight letters or more: 3.5. Executable nodes, then shorter, then by
-    name, go first at one score. Questions are few and broadcast.
+    """(id, node, score, rank): the nodes that analysed questions mention, from names(node, forms, kind, span).
+
+    forms are what a node may be called, the most telling first; the i-th form
+    (from 0) gives 14 - i as a phrase of several words within the question,
+    9 - i as a single word of five letters or more among its words that is not
+    a generic one, 11 - i if both are equal without separators. A node without
+    such a form gets 1.5 for each part of its first form among the words, 6 at
+    most, if there are two, or 3.5 for one of eight letters or more. At one
+    score executable nodes go first, then shorter ones, then by name.
+    Questions are few and broadcast.
     """
-    n = names.withColumn("words", spaced_text("name")).withColumn("parts", identifier_tokens("name")).withColumn("flat", compact_text("name"))
-    q = questions.select("id", "plain", "compact", "tokens")
-    pairs = n.crossJoin(F.broadcast(q))  # a stated set of questions against all names
-    common = F.array_intersect("parts", "tokens")
-    phrase = F.col("words").contains(" ") & F.concat(F.lit(" "), "plain", F.lit(" ")).contains(F.concat(F.lit(" "), "words", F.lit(" ")))
-    word = ~F.col("words").contains(" ") & (F.length("words") >= 5) & ~F.col("words").isin(*GENERIC_WORDS) & F.array_contains("tokens", F.col("words"))
-    flat = (F.length("flat") >= 5) & (F.col("flat") == F.col("compact"))
-    long = F.exists(common, lambda t: F.length(t) >= 8)
-    score = F.greatest(
-        F.when(phrase, 14.0).otherwise(0.0),
-        F.when(flat, 11.0).otherwise(0.0),
-        F.when(word, 9.0).otherwise(0.0),
-        F.when(F.size(common) >= 2, F.least(F.lit(6.0), 1.5 * F.size(common))).when(long, 3.5).otherwise(0.0),
-    )
+    q = questions.select("id", "plain", "compact", "strict")
+    pairs = names.crossJoin(F.broadcast(q))  # a stated set of questions against all names
+
+    def scored(form: Column, i: Column) -> Column:
+        words, flat = spaced_text(form), compact_text(form)
+        lone = ~words.contains(" ") & F.array_contains("strict", words)
+        return (
+            F.when(words.contains(" ") & F.col("plain").contains(words), 14.0 - i)
+            .when(lone & (F.length(words) >= 5) & ~words.isin(*GENERIC_WORDS), 9.0 - i)
+            .when((F.length(flat) >= 5) & (flat == F.col("compact")), 11.0 - i)
+            .otherwise(0.0)
+        )
+
+    best = F.array_max(F.transform("forms", scored))
+    common = F.array_sort(F.filter(F.array_intersect(identifier_tokens(F.get("forms", F.lit(0))), "strict"), lambda t: ~t.isin(*GENERIC_WORDS)))
+    few = F.when(F.size(common) >= 2, F.least(F.lit(6.0), 1.5 * F.size(common))).when(F.length(F.get(common, F.lit(0))) >= 8, 3.5).otherwise(0.0)
     order = Window.partitionBy("id").orderBy(F.desc("score"), F.desc(F.col("kind").isin(*EXECUTABLE_KINDS)), "span", "node")
-    pairs = pairs.withColumn("score", score).where("score > 0")
+    pairs = pairs.withColumn("best", best).withColumn("score", F.when(F.col("best") > 0, F.col("best")).otherwise(few)).where("score > 0")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("id", "node", "score", "rank")
 
 
+def file_mentions(questions: DataFrame, files: DataFrame, limit: int = 6) -> DataFrame:
+    """(id, file, score, rank) of files(file): 12 for its name as a phrase, 10 for its stem as a word, 8 for equality without separators."""
+    base = F.regexp_replace("file", "^.*/", "")
+    stem = F.regexp_replace(base, r"(?<=.)\.[^.]*$", "")
+    pairs = files.select("file").distinct().crossJoin(F.broadcast(questions.select("id", "plain", "compact", "strict")))
+    words = spaced_text(base)
+    score = (
+        F.when(words.contains(" ") & F.col("plain").contains(words), 12.0)
+        .when(F.array_contains("strict", spaced_text(stem)), 10.0)
+        .when((F.length(compact_text(stem)) >= 5) & (compact_text(stem) == F.col("compact")), 8.0)
+        .otherwise(0.0)
+    )
+    order = Window.partitionBy("id").orderBy(F.desc("score"), "file")
+    pairs = pairs.withColumn("score", score).where("score > 0")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("id", "file", "score", "rank")
+
+
 def rank_candidates(questions: DataFrame, nodes: DataFrame, limit: int = 10) -> DataFrame:
     """(id, node, score, rank) of nodes(node, name, file, kind, risk, signals, contained, support, ambiguous) for analysed questions.
 

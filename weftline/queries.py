@@ -605,12 +605,12 @@ def query_tokens(spark, sf):
 
 @query(f"""WITH q(id, question) AS (VALUES {_Q_VALUES}), s AS (SELECT id, ' ' || trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g')) || ' ' AS plain, string_split(trim(regexp_replace(lower(question), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM q),
 n AS (SELECT 'p:' || p_partkey AS node, p_name AS name, string_split(p_name, ' ') AS parts, p_size AS span FROM part),
-j AS (SELECT id, node, span, CASE WHEN contains(name, ' ') AND contains(plain, ' ' || name || ' ') THEN 14.0 ELSE 0.0 END AS a,
+j AS (SELECT id, node, span, CASE WHEN contains(name, ' ') AND contains(plain, name) THEN 14.0 ELSE 0.0 END AS a,
   len(list_filter(parts, lambda x: list_contains(w, x))) AS c FROM n, s),
 k AS (SELECT *, greatest(a, CASE WHEN c >= 2 THEN least(6.0, 1.5 * c) ELSE 0.0 END) AS score FROM j)
 SELECT * FROM (SELECT id, node, CAST(score AS DOUBLE) AS score, row_number() OVER (PARTITION BY id ORDER BY score DESC, span, node) AS rank FROM k WHERE score > 0) WHERE rank <= 8""")
 def query_mentions(spark, sf):
-    names = _t(spark, sf, "part").select(_id("p", "p_partkey").alias("node"), F.col("p_name").alias("name"), F.lit("class").alias("kind"), F.col("p_size").alias("span"))
+    names = _t(spark, sf, "part").select(_id("p", "p_partkey").alias("node"), F.array("p_name").alias("forms"), F.lit("class").alias("kind"), F.col("p_size").alias("span"))
     return retrieve.mentions(_questions(spark), names)
 
 
