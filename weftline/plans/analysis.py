@@ -72,6 +72,7 @@ def indices(nodes: DataFrame) -> DataFrame:
     packaged = F.concat_ws(".", F.when(c("package") != "", c("package")), "qualname")
     java = nodes.where("language = 'java'")
     modules = nodes.where("kind = 'module'")
+    symbols = nodes.where("kind <> 'module' and package <> ''")
     folder = F.regexp_replace("file", "/?[^/]*$", "")
     stem = F.regexp_replace(F.regexp_replace("file", "^.*/", ""), r"\.[^.]*$", "")
     name = F.regexp_replace("file", "^.*/", "")
@@ -93,10 +94,11 @@ def indices(nodes: DataFrame) -> DataFrame:
         rows(java.where("kind = 'method' and package <> ''"), "jmember", packaged),
         go.select(F.lit("go").alias("space"), "key", c("node").alias("target")),
         rows(modules.where("language = 'rust'"), "rust", c("package")),
-        one(modules.where("language = 'csharp' and package <> ''"), "csharp1", c("package")),
-        one(modules.where("language = 'kotlin' and package <> ''"), "kotlin1", c("package")),
-        one(nodes.where("language = 'php' and kind = 'class'"), "php1", c("qualname")),
-        one(modules.where("language = 'ruby'"), "ruby1", c("package")),
+        one(symbols.where("language = 'csharp'"), "csharp1", c("package")),
+        one(symbols.where("language = 'kotlin'"), "kotlin1", F.explode(resolve.prefixes(c("package"), "."))),
+        one(symbols.where("language = 'php' and not contains(qualname, '.')"), "php", packaged),
+        one(symbols.where("language = 'php'"), "php1", F.explode(F.concat(F.array("package"), resolve.suffixes(c("package"), ".")))),
+        one(nodes.where("language = 'ruby' and kind = 'class'"), "ruby1", F.explode(F.array_distinct(F.array(F.lower(F.translate(stem, "-", "_")), F.lower(F.regexp_replace(F.regexp_replace("qualname", "^.*::", ""), "(?<!^)(?=[A-Z])", "_")))))),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -14,7 +14,8 @@ Spaces:
 * local1: module and short name that one entry bears,
 * script: file#name of what a file exports, script_file: file of a module,
 * jtype, jmember: package.Type and package.Type.member,
-* go: directory, rust: module path, csharp1, kotlin1, php, php1, ruby1: their packages, where one module has it,
+* go: directory, rust: module path, csharp1: package, kotlin1: package or what it begins with, php: package.Type, php1:
+  package or what it ends with, ruby1: a class's file or its name in snake case; all where one symbol bears it,
 * up: node id of a class | member of its nearest base that has it; own: of the class or its nearest base,
 * dotted: a string that names a symbol.
 
@@ -184,15 +185,15 @@ def _import(r: dict, raw: str, context: dict) -> list[tuple[str, str, str]]:
         else:
             full = raw if raw.startswith("crate") else f"crate::{raw}"
         parts = full.split("::")
-        return [("import_exact", "rust", "::".join(parts[:k])) for k in range(len(parts), 0, -1) if k > 1 or raw.startswith("crate")]
+        return [("import_exact", "rust", "::".join(parts[:k])) for k in range(len(parts), 0, -1)]
     if language == "csharp":
         return [("import_exact", "csharp1", raw)]
     if language == "kotlin":
-        return [] if raw.endswith("*") else [("import_exact", "fq", f"kotlin.{raw}"), ("import_exact", "kotlin1", raw.rpartition(".")[0])]
+        return [("import_exact", "kotlin1", raw)]
     if language == "php":
-        return [("import_exact", "fq", f"php.{raw}"), ("import_exact", "php1", raw.rpartition(".")[2])]
+        return [("import_exact", "php", raw), ("import_exact", "php1", raw)]
     if language == "ruby":
-        return [("import_exact", "ruby1", raw.split("/")[-1])]
+        return [("import_exact", "ruby1", raw.replace("-", "_").lower())]
     return []
 
 

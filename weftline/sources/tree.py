@@ -9,12 +9,14 @@ import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
+import pyarrow as pa
 import tomllib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.constants import LANGUAGE_BY_SUFFIX
 from weftline.functions.text import universal_lines
+from weftline.plans.workspace import ship
 
 # Directories that are not read.
 IGNORED_DIRS = ("__pycache__", "venv", "node_modules")
@@ -28,11 +30,42 @@ def _ignored(part):
     return test
 
 
+def _underscored(spark: SparkSession, root: str) -> list[str]:
+    """Addresses of the files whose names begin with an underscore, which Spark's file sources leave out: names are listed on the driver."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    store = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    found, todo = [], [path(root)]
+    while todo:
+        for f in store.listStatus(todo.pop()):
+            name = f.getPath().getName()
+            if f.isDirectory():
+                if name not in IGNORED_DIRS and not name.startswith(IGNORED_PREFIXES):
+                    todo.append(f.getPath())
+            elif name.startswith("_"):
+                found.append(f.getPath().toString())
+    return sorted(found)
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyarrow import fs
+
+    for batch in batches:
+        for address in batch.column(0).to_pylist():
+            store, name = fs.FileSystem.from_uri(address)
+            with store.open_input_file(name) as f:
+                data = f.read()
+            yield pa.RecordBatch.from_arrays([pa.array([address]), pa.array([len(data)]), pa.array([data], pa.binary())], ["path", "length", "content"])
+
+
 def all_files(spark: SparkSession, root: str) -> DataFrame:
     """(path, size, content) of the files below a folder outside ignored directories; paths are relative to it."""
     base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    # The reader gives full addresses; the part after the root is the path.
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path", "length", "content")
+    if more := _underscored(spark, base):
+        ship(spark)
+        listed = spark.createDataFrame([(x,) for x in more], "path string")
+        raw = raw.unionByName(listed.mapInArrow(_read, "path string, length long, content binary"))
+    # The readers give full addresses; the part after the root is the path.
     marker = re.sub(r"^\w+:/*", "/", base)
     path = F.substring_index(F.col("path"), f"{marker}/", -1)
     out = raw.select(path.alias("path"), F.col("length").alias("size"), "content")
