@@ -92,6 +92,7 @@ def test_walks_agree_with_plain_ones(spark, monkeypatch, by_joins, seed):
     pairs = sorted({(a, b) for a, b in ((rng.choice(names), rng.choice(names)) for _ in range(20)) if a != b})
     if by_joins:
         monkeypatch.setattr(graph, "TASK_EDGES", 0)
+        monkeypatch.setattr(graph, "BROADCAST_EDGES", 0)
     nodes, edges = frame(spark, pairs, names)
     reach = {x: plain_reach(pairs, x) for x in names}
     want = {x: min(y for y in names if y in reach[x] and x in reach[y]) for x in names}

@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 
 from weftline.plans.workspace import Scratch, ship
 
-#: Edges up to which a graph is given to one task: some 100 bytes each there.
-TASK_EDGES = 200_000
+#: Edges up to which a graph is given to one task, where an edge takes some 300 bytes.
+TASK_EDGES = 1_000_000
+#: Edges up to which a graph is broadcast, some 100 bytes each.
+BROADCAST_EDGES = 200_000
 
 
 def edge_set(edges: DataFrame, loops: bool = False) -> DataFrame:
@@ -195,8 +197,9 @@ def _in_one_task(nodes: DataFrame, edges: DataFrame, run: Callable[[list[str], l
     return both.repartition(1).mapInArrow(task, schema)
 
 
-def _small(edges: DataFrame) -> bool:
-    return edges.limit(TASK_EDGES + 1).count() <= TASK_EDGES
+def _small(edges: DataFrame, bound: int | None = None) -> bool:
+    bound = TASK_EDGES if bound is None else bound
+    return edges.limit(bound + 1).count() <= bound
 
 
 def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -233,10 +236,31 @@ def _settle(labels: DataFrame, links: DataFrame, scratch: Scratch, name: str) ->
             return labels
 
 
+def _trim(pairs: DataFrame, scratch: Scratch, name: str, rounds: int = 8) -> DataFrame:
+    """pairs without those that no cycle can hold: their start has no predecessor or their end no successor. A few rounds; cycles stay whole."""
+    left = pairs.count()
+    for k in range(rounds):
+        if not left:
+            break
+        entered, going = pairs.select(F.col("dst").alias("src")).distinct(), pairs.select(F.col("src").alias("dst")).distinct()
+        pairs = scratch.table(pairs.join(entered, "src", "left_semi").join(going, "dst", "left_semi").select("src", "dst"), f"{name}-{k}")
+        now = pairs.count()
+        if now == left:
+            break
+        left = now
+    return pairs
+
+
 def _scc_by_joins(names: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Colours nodes by the least node that reaches them; what reaches its colour's node back is a component. Repeats on the rest."""
-    found, turn = None, 0
+    """Trims what lies on no cycle, then colours nodes by the least node that reaches them; what reaches its colour's node back is a component. Repeats on the rest."""
+    found, turn = names.where("false").select("node", F.col("node").alias("scc_id")), 0
     while True:
+        pairs = _trim(pairs, scratch, f"trim{turn}")
+        core = pairs.select(F.col("src").alias("node")).union(pairs.select("dst")).distinct()
+        found = found.unionByName(names.join(core, "node", "left_anti").select("node", F.col("node").alias("scc_id")))
+        names = scratch.table(core, f"core{turn}")
+        if not names.limit(1).count():
+            return found
         colours = _settle(names.select("node", F.col("node").alias("label")), pairs, scratch, f"colour{turn}-")
         a, b = colours.select(F.col("node").alias("src"), F.col("label").alias("la")), colours.select(F.col("node").alias("dst"), F.col("label").alias("lb"))
         inner = scratch.table(pairs.join(a, "src").join(b, "dst").where("la = lb").select("src", "dst", F.col("la").alias("label")), f"inner{turn}")
@@ -251,13 +275,11 @@ def _scc_by_joins(names: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataF
             reach = scratch.table(reach.unionByName(more), f"reach{turn}-{step}")
             step += 1
         done = reach.select("node", F.col("label").alias("scc_id"))
-        found = done if found is None else found.unionByName(done)
+        found = found.unionByName(done)
         names = scratch.table(names.join(done, "node", "left_anti"), f"names{turn}")
-        if not names.limit(1).count():
-            return found
         left = names.select("node")
         pairs = pairs.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi")
-        pairs = scratch.table(pairs, f"edges{turn}")
+        pairs = scratch.table(pairs.select("src", "dst"), f"edges{turn}")
         turn += 1
 
 
@@ -305,9 +327,9 @@ def betweenness(nodes: DataFrame, edges: DataFrame, places: int = 8) -> DataFram
     n = names.count()
     if n < 3:
         return names.withColumn("betweenness", F.lit(0.0))
-    if _small(pairs):
+    if _small(pairs, BROADCAST_EDGES):
         ship(spark)
-        shared = spark.sparkContext.broadcast(_adjacent([(r[0], r[1]) for r in pairs.collect()]))  # at most TASK_EDGES
+        shared = spark.sparkContext.broadcast(_adjacent([(r[0], r[1]) for r in pairs.collect()]))  # at most BROADCAST_EDGES
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
