@@ -188,3 +188,33 @@ def test_change_statistics(spark):
 
 def test_rust_uses():
     assert parsers.rust_uses("a::{ b, self, c::d }") == ["a::b", "a", "a::c::d"] and parsers.rust_path("src/x/mod.rs") == "crate::x"
+
+
+def test_report_bundle_and_question(spark, analysis, root, tmp_path):
+    from weftline.__main__ import check_result
+    from weftline.plans import ask, report
+
+    out = report.summary(analysis, 5)
+    assert out["meta"]["parse_errors"] == 2 and len(out["top_risks"]) == 5 and out["meta"]["cycles"] == 1
+    assert {"path": "cmd/tool/main.go", "reason": "a Go command"} in out["inventory"]["entrypoints"]
+    assert "# Structure report" in report.markdown(out)
+    answer = ask.ask(analysis, "How does away open the file?", 40)
+    assert answer["candidates"][0]["node"] == "pkg.far:away" and answer["slices"][0]["file"] == "pkg/far.py"
+    assert "filesystem_io" in answer["signals"] and answer["outcome"] == "confirmed" and answer["mentions"] == []
+    names = report.write_bundle(analysis, str(tmp_path / "b"), 3, answer)
+    assert {"README.md", "answer.json", "prompt.md", "report.json", "report.md", "slices/01.md"} <= set(names)
+    assert "return open(x)" in (tmp_path / "b/slices/01.md").read_text()
+    c = answer["contract"]
+    good = {
+        "inspected_slice_refs": c["required_read_order_refs"], "inspected_symbols": c["required_primary_symbols"], "used_claims": c["allowed_claims"][:1], "final_claim": c["allowed_claims"][0], "final_outcome": "confirmed",
+        "stop_condition": c["valid_stop_conditions"][0], "completion_state": "completed_within_bounds", "followup_used": False,
+    }
+    assert check_result(spark, c, good)["status"] == "accepted"
+    assert check_result(spark, c, good | {"final_claim": "anything"})["violations"] == ["must_respect_allowed_claims"]
+    changed = json.loads(json.dumps(out))
+    changed["top_risks"][0]["risk"] += 5
+    assert {r.status for r in report.compare(spark, out, changed).collect()} == {"degraded", "unchanged"}
+    parts = {r["part"] for r in ask.why(analysis, "pkg.use:Leaf.go")}
+    assert {"risk", "callee"} <= parts
+    report.write_tables(analysis, str(tmp_path / "t"))
+    assert spark.read.json(str(tmp_path / "t/edges")).count() == out["meta"]["edges"]
