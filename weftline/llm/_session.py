@@ -1,83 +1,16 @@
-"""Shared folders and small session helpers."""
+"""Session helpers of the operators."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a two-column side (about 16 bytes a row) is broadcast; larger sides are shuffled.
-BROADCAST_ROWS = 1_000_000
-
-_fallback: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if conf:
-        return conf.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _fallback:
-        _fallback[app] = "file://" + tempfile.mkdtemp(prefix="weftline-")
-    return _fallback[app]
-
-
-_shipped: set[str] = set()
-
+from weftline.plans.workspace import Scratch, shared_dir, ship
 
-def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once an application; they need not have it installed."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    package = Path(__file__).resolve().parents[1]
-    handle, name = tempfile.mkstemp(prefix=f"{package.name}-", suffix=".zip")
-    os.close(handle)
-    with zipfile.ZipFile(name, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent))
-    spark.sparkContext.addPyFile(name)
-    _shipped.add(app)
+__all__ = ["BROADCAST_ROWS", "Scratch", "documents", "remainder", "shared_dir", "ship", "small"]
 
-
-class Scratch:
-    """Tables of one operator call, under the shared folder.
-
-    `table` writes a frame and reads it back, which cuts the lineage: a lost
-    executor costs the current job's tasks only. `drop` removes a table that
-    no later plan reads.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/weftline/{name}-{uuid.uuid4().hex}"
-
-    def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
-
-    def table(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-        df.write.option("compression", compression).parquet(self.path(name))
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
-
-    def bucketed(self, df: DataFrame, name: str, by: str) -> DataFrame:
-        """df as a table bucketed by a column, which later joins and groups by it read without a shuffle."""
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        entry = f"weftline_{name}_{uuid.uuid4().hex}"
-        df.write.bucketBy(n, by).option("compression", "none").option("path", self.path(name)).saveAsTable(entry)
-        out = self.spark.table(entry)
-        out.schema  # resolved: the plan holds the files and the buckets, and needs no entry in the catalog
-        self.spark.sql(f"DROP TABLE {entry}")
-        return out
-
-    def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+#: Rows up to which a two-column side (about 16 bytes a row) is broadcast; larger sides are shuffled.
+BROADCAST_ROWS = 1_000_000
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
