@@ -74,6 +74,31 @@ QUERIES = {
     )
 }
 
+#: The scans of secrets, as (scan, pattern, value group); SQL's own versions of the operator's patterns.
+_SCANS = (
+    ("assign", secrets.ASSIGN, 2),
+    ("access", secrets.ACCESS, 0),
+    ("hex", secrets.HEX, 0),
+    ("blob", secrets.BLOB, 0),
+    ("user", secrets.USER, 0),
+    ("endpoint", secrets.ENDPOINT, 0),
+)
+_QUOTED = {scan: "'" + pattern.replace("'", "''") + "'" for scan, pattern, _ in _SCANS}
+_FOUND = " UNION ALL ".join(
+    f"SELECT doc_id, '{scan}' AS scan, unnest(range(1, len(hits) + 1)) AS i, unnest(gaps[1:len(hits)]) AS gap, unnest(hits) AS hit, unnest(vals) AS val "
+    f"FROM (SELECT doc_id, regexp_extract_all(t, {_QUOTED[scan]}) AS hits, regexp_extract_all(t, {_QUOTED[scan]}, {value}) AS vals, string_split_regex(t, {_QUOTED[scan]}) AS gaps FROM d)"
+    for scan, _, value in _SCANS
+)
+
+
+def _near(kinds: str) -> str:
+    test = f"kind IN ({kinds})"
+    before, after = "OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", "OVER (o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
+    return f"(coalesce(start - max(CASE WHEN {test} THEN stop END) {before} <= {secrets.REACH}, false) OR coalesce(min(CASE WHEN {test} THEN start END) {after} - stop <= {secrets.REACH}, false))"
+
+
+_BASE = "'assign', 'access', 'hex'"
+
 _WORDS = "list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 
 ORACLE: dict[str, str] = {
@@ -86,6 +111,32 @@ n AS (SELECT item_id, count(*) AS n FROM bs GROUP BY item_id),
 hit AS (SELECT doc_id, item_id, count(*) AS k FROM ds JOIN bs USING (s) GROUP BY doc_id, item_id)
 SELECT doc_id, item_id, n AS n_item_shingles, k AS n_shared, k / n AS containment
 FROM hit JOIN n USING (item_id) WHERE 100 * k >= 80 * n
+""",
+    "op3_minhash_near_dedup": f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 4), ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, CASE WHEN len(w) > 0 THEN 2 ELSE 1 END))) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k2 FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * k2 >= 85 * (a.n + b.n - k2)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS low FROM documents UNION SELECT e.y, r.low FROM r JOIN e ON r.doc_id = e.x),
+c AS (SELECT doc_id, min(low) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM c LEFT JOIN n USING (doc_id)
+""",
+    "op5_secret_scan": f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({_FOUND}),
+p AS (SELECT doc_id, scan, hit, val, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, scan ORDER BY i ROWS UNBOUNDED PRECEDING) AS stop FROM f),
+q AS (SELECT DISTINCT doc_id, CASE scan WHEN 'assign' THEN CASE WHEN length(val) >= 12 THEN 'assign' ELSE 'weak' END
+    WHEN 'blob' THEN CASE WHEN regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[0-9]') THEN 'weak' END ELSE scan END AS kind, stop - length(hit) AS start, stop FROM p),
+m AS (SELECT *, {_near("'assign', 'hex', 'weak'")} AS by_secret, {_near("'access', 'user'")} AS by_name, {_near("'endpoint'")} AS by_place,
+    coalesce(max(CASE WHEN kind IN ({_BASE}) THEN stop END) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > start, false)
+    OR coalesce(min(CASE WHEN kind IN ({_BASE}) THEN start END) OVER (o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) < stop, false) AS covered
+  FROM q WHERE kind IS NOT NULL WINDOW o AS (PARTITION BY doc_id ORDER BY start, stop, kind)),
+k AS (SELECT *, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS s, list_position(['assign', 'access', 'hex', 'weak', 'user', 'endpoint'], kind) AS rank FROM m
+  WHERE kind IN ({_BASE}) OR (NOT covered AND CASE kind WHEN 'weak' THEN by_name OR by_place WHEN 'user' THEN by_secret ELSE by_secret AND by_name END)),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c,
+  string_agg(s, ',' ORDER BY start, rank, stop) FILTER (rank <= 3) AS base, string_agg(s, ',' ORDER BY start, rank, stop) AS spans FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (doc_id)
 """,
     "op9_line_dedup": """
 WITH l AS (
