@@ -198,6 +198,10 @@ def test_report_bundle_and_question(spark, analysis, root, tmp_path):
     assert out["meta"]["parse_errors"] == 2 and len(out["top_risks"]) == 5 and out["meta"]["cycles"] == 1
     assert {"path": "cmd/tool/main.go", "reason": "a Go command"} in out["inventory"]["entrypoints"]
     assert "# Structure report" in report.markdown(out)
+    assert {"node": "pkg.far:away", "sources": ["event_hook", "file_read"], "tainted": {"x": "event_hook"}} not in out["tainted"]
+    assert {"node": "pkg.far:away", "sources": ["file_read"], "tainted": {"x": "file_read"}} in out["tainted"]
+    assert out["signals"]["by_signal"]["filesystem_io"] == 1 and "pkg/far.py" in {f["file"] for f in out["signals"]["files"]}
+    assert analysis.layout.count() == out["meta"]["nodes"]
     answer = ask.ask(analysis, "How does away open the file?", 40)
     assert answer["candidates"][0]["node"] == "pkg.far:away" and answer["slices"][0]["file"] == "pkg/far.py"
     assert "filesystem_io" in answer["signals"] and answer["outcome"] == "confirmed" and answer["mentions"] == []

@@ -440,3 +440,31 @@ class Analysis:
         fine = F.when(F.col("kind").isin(*EXECUTABLE_KINDS), 2).when(F.col("kind") != "module", 1).otherwise(0)
         rows = self.signals.join(self.spans, "node").select("node", "file", "signals", fine.alias("fineness"), (F.col("stop") - F.col("start")).alias("span"))
         return intervals.not_shadowed(rows)
+
+    @cached_property
+    def layout(self) -> DataFrame:
+        return risk.layout(self.metrics.select("node", "module", "layer"))
+
+    @cached_property
+    def hooks(self) -> DataFrame:
+        """Nodes that the dotted strings of a hooks.py name."""
+        named = self.resolved.where("ref_kind = 'string'").join(self.nodes.where(F.col("file").rlike(r"(^|/)hooks\.py$")).select("node"), "node", "left_semi")
+        return named.select(F.col("target").alias("node")).distinct()
+
+    @cached_property
+    def taint(self) -> DataFrame:
+        """(node, sources, tainted): where executable nodes get input from outside, and which parameters carry it."""
+        lines = tree.file_lines(self.files).select(F.col("path").alias("file"), "lineno", F.col("text").alias("line"))
+        runs = self.nodes.where(F.col("kind").isin(*EXECUTABLE_KINDS))
+        text = runs.select("node", "file", "start_line", "end_line").join(lines, "file").where("lineno between start_line and end_line")
+        text = text.groupBy("node").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("lineno", "line"))), lambda x: x["line"]), "\n").alias("text"))
+        hooked = self.hooks.withColumn("hooked", F.lit(True))
+        rows = runs.select("node", "kind", "language", "decorators", "params", "exported").join(text, "node", "left").join(hooked, "node", "left")
+        return signals.taint_sources(rows)
+
+    @cached_property
+    def signal_nodes(self) -> DataFrame:
+        """(node, kind, file, signals, weight, risk, ambiguous) of the nodes with signals that none shadows."""
+        open_ = self.resolved.where("kind = 'ambiguous_candidates'").select("node").distinct().withColumn("ambiguous", F.lit(True))
+        rows = self.shadowless.select("node").join(self.metrics.select("node", "kind", "file", "signals", "weight", "risk"), "node").join(open_, "node", "left")
+        return rows.na.fill(False, ["ambiguous"])

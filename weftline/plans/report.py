@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.functions.constants import CYCLES_SHOWN
-from weftline.operators import risk
+from weftline.operators import evidence, risk
 from weftline.plans.analysis import Analysis
 from weftline.sources import tree
 
@@ -86,6 +86,14 @@ def summary(a: Analysis, top: int = 20) -> dict:
         "modules": _rows(a.modules.orderBy(F.desc("risk"), "module").limit(40)),
         "warnings": _rows(warnings.orderBy(rank, "rule", "node").limit(100)),
         "parse_errors": _rows(a.parse_errors.orderBy("file").limit(100)),
+        "signals": {
+            "candidates": _rows(evidence.signal_candidates(a.signal_nodes)),
+            "watchlist": _rows(evidence.watchlist(a.signal_nodes)),
+            "entrypoints": _rows(evidence.signal_entrypoints(a.signal_nodes)),
+            "by_signal": {r["signal"]: r["n"] for r in _rows(evidence.nodes_by_signal(a.signal_nodes).orderBy("signal"))},
+            "files": _rows(evidence.files_by_weight(a.refs)),
+        },
+        "tainted": _rows(a.taint.orderBy("node").limit(100)),
         "confidence": {r["label"]: r["n"] for r in _rows(a.edges.groupBy("label").agg(F.count("*").alias("n")).orderBy("label"))},
         "inventory": {
             "extensions": _rows(extensions(files)),
