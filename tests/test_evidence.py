@@ -64,3 +64,12 @@ def test_escalations(spark):
     assert budget == {"all": (8, 1, 1), "some": (24, 2, 2), "done": (8, 1, 1), "apart": (36, 1, 1), "wrong": (8, 1, 1), "none": (8, 1, 1)}
     kinds = {r.option: r.kind for r in evidence.followup_kind(out.withColumn("closes_gap", out.n_gaps > 0)).collect()}
     assert kinds == {"all": "semantic_confirmation", "some": "semantic_confirmation", "done": "focused_symbol_check", "apart": "ambiguity_resolution", "wrong": "semantic_confirmation", "none": "focused_symbol_check"}
+
+
+def test_chains_and_order(spark):
+    paths = spark.createDataFrame([("q", "p1", 1, "a"), ("q", "p1", 2, "b"), ("q", "p2", 1, "a"), ("q", "p2", 2, "c"), ("q", "p3", 1, "c")], "id string, path string, position int, node string")
+    flows = spark.createDataFrame([("a", ["input_boundary", "output_boundary"]), ("b", ["database_io", "output_boundary"])], "node string, steps array<string>")
+    got = [(r.path, r.chain, r.n_flows, r.complete) for r in evidence.flow_chains(paths, flows).collect()]
+    assert got == [("p1", "input_boundary -> database_io -> output_boundary", 2, True), ("p2", "input_boundary", 1, False)]
+    edges = spark.createDataFrame([("x", 1, "b", "c"), ("x", 2, "a", "b"), ("y", 1, "m", "n"), ("y", 2, "n", "m"), ("z", 1, "s", "t"), ("z", 2, "u", "v")], "id string, position int, src string, dst string")
+    assert {r.id: r.nodes for r in evidence.ordered_nodes(edges).collect()} == {"x": ["a", "b", "c"], "y": ["m", "n"], "z": ["s", "t", "u", "v"]}

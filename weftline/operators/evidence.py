@@ -181,3 +181,44 @@ def followup_budget(rows: DataFrame) -> DataFrame:
     most = by_cost(F.lit(1), F.lit(2), F.lit(3))
     some = lambda n: F.least(most, F.greatest(F.lit(1), c(n)))
     return rows.withColumns({"line_budget": by_cost(within(2, 8, 12), within(4, 12, 24), within(6, 18, 40)), "slice_budget": some("targets"), "file_budget": some("files")})
+
+
+def flow_chains(paths: DataFrame, flows: DataFrame, limit: int = 4) -> DataFrame:
+    """(id, path, chain, n_flows, complete) of paths(id, path, position, node) and flows(node, steps array): the steps along each path.
+
+    Output before the last node of a path is left out, neighbours of one kind
+    are joined. A chain is complete if every node of the path has steps; of an
+    id the complete ones go first, then those with more flows, then by path.
+    """
+    last = Window.partitionBy("id", "path")
+    rows = paths.withColumn("last", F.max("position").over(last)).join(flows, "node", "left")
+    inner = F.filter(F.coalesce("steps", F.array().cast("array<string>")), lambda s: (s != "output_boundary") | (F.col("position") == F.col("last")))
+    rows = rows.withColumn("own", inner).groupBy("id", "path").agg(
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("position", "own"))), lambda x: x["own"])).alias("all"), F.count("steps").alias("n_flows"), (F.count("steps") == F.count("*")).alias("complete")
+    )
+    joined = F.filter("all", lambda s, k: (k == 0) | (F.get("all", k - 1) != s))
+    rows = rows.where("n_flows > 0").withColumn("chain", F.array_join(joined, " -> "))
+    order = Window.partitionBy("id").orderBy(F.desc("complete"), F.desc("n_flows"), "path")
+    return rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= limit).select("id", "path", "chain", "n_flows", "complete")
+
+
+def ordered_nodes(edges: DataFrame) -> DataFrame:
+    """(id, nodes) of the few edges(id, position, src, dst) of each path: from a node that none leads to along the edges, then what is left.
+
+    A path has a handful of edges, so each is one row's fold: the start is the
+    first source without predecessor, else the first source; an edge whose
+    source is the last node so far appends its end; ends not reached follow in
+    the order of the edges.
+    """
+    per = edges.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("position", "src", "dst"))).alias("e"))
+    ends = F.transform("e", lambda x: x["dst"])
+    roots = F.filter(F.transform("e", lambda x: x["src"]), lambda s: ~F.array_contains(ends, s))
+    start = F.array(F.coalesce(F.get(roots, F.lit(0)), F.get("e", F.lit(0))["src"]))
+
+    def follow(a: Column, x: Column) -> Column:
+        return F.when((x["src"] == F.element_at(a, -1)) & ~F.array_contains(a, x["dst"]), F.array_append(a, x["dst"])).otherwise(a)
+
+    once = F.aggregate("e", start, follow)
+    walked = F.aggregate("e", once, follow)  # a second pass takes edges listed before the one that leads to them
+    rest = F.flatten(F.transform("e", lambda x: F.array(x["src"], x["dst"])))
+    return per.select("id", F.array_distinct(F.concat(walked, rest)).alias("nodes"))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
-from weftline.operators import contract, graph, intervals, resolve, retrieve, risk, signals
+from weftline.operators import contract, evidence, graph, intervals, resolve, retrieve, risk, signals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -584,6 +584,68 @@ def flow_summary(spark, sf):
     return signals.flow_summary(flow_steps(spark, sf))
 
 
+# Evidence
+
+_W5 = {k: signals.SIGNAL_WEIGHT[k] for k in _SIGNAL_OF.values()}
+_W5_CASE = "CASE signal " + " ".join(f"WHEN '{k}' THEN {w}" for k, w in _W5.items()) + " END"
+_SHOWN = f"""us AS (SELECT DISTINCT 'u:' || user_id AS node, {_CASE_SIGNAL} AS signal FROM events WHERE value > 20),
+ut AS (SELECT 'u:' || user_id AS node, max(event_id) AS m, count(*) AS n FROM events GROUP BY 1),
+un AS (SELECT node, list(signal) AS s, round(CAST(sum({_W5_CASE}) AS DOUBLE), 2) AS weight, any_value(n) % 100 / 2 AS risk, any_value(m) % 7 = 0 AS ambiguous, CASE WHEN any_value(m) % 5 = 0 THEN 'module' ELSE 'function' END AS kind
+  FROM us JOIN ut USING (node) GROUP BY node)"""
+
+
+def _shown(spark, sf):
+    """Users as nodes with signals, and weights, risks and kinds made from their events."""
+    e = _t(spark, sf, "events").groupBy(_id("u", "user_id").alias("node")).agg(F.max("event_id").alias("m"), F.count("*").alias("n"))
+    rows = _user_signals(spark, sf).join(e, "node")
+    weight = F.round(F.aggregate("signals", F.lit(0.0), lambda a, x: a + signals.signal_weight(x)), 2)
+    return rows.select("node", "signals", weight.alias("weight"), (F.col("n") % 100 / 2).alias("risk"), (F.col("m") % 7 == 0).alias("ambiguous"), F.when(F.col("m") % 5 == 0, "module").otherwise("function").alias("kind"))
+
+
+@query(f"""WITH {_SHOWN}, x AS (SELECT *, round(CAST(3 * weight + least(risk / 12, 8) + CASE WHEN list_contains(s, 'input_boundary') THEN 3 ELSE 0 END
+  + CASE WHEN list_has_any(s, ['database_io', 'network_io']) THEN 2 ELSE 0 END - CASE WHEN kind = 'module' THEN 1 ELSE 0 END AS DOUBLE), 2) AS score FROM un)
+SELECT node, score, row_number() OVER (ORDER BY score DESC, weight DESC, risk DESC, node) AS rank FROM x ORDER BY rank LIMIT 10""")
+def signal_candidates(spark, sf):
+    return evidence.signal_candidates(_shown(spark, sf)).select("node", "score", "rank")
+
+
+@query(f"""WITH {_SHOWN}, x AS (SELECT *, concat_ws(',', CASE WHEN ambiguous AND list_has_any(s, ['input_boundary', 'database_io', 'state_mutation', 'network_io']) THEN 'ambiguous_and_critical' END,
+  CASE WHEN list_contains(s, 'state_mutation') AND list_has_any(s, ['database_io', 'network_io']) THEN 'mutation_with_outside_effects' END) AS why FROM un)
+SELECT node, why FROM x WHERE why <> '' ORDER BY weight DESC, risk DESC, node LIMIT 8""")
+def signal_watchlist(spark, sf):
+    return evidence.watchlist(_shown(spark, sf)).withColumn("why", F.array_join("why", ","))
+
+
+@query(f"""WITH {_SHOWN}, x AS (SELECT CAST(substr(node, 3) AS BIGINT) % 10 AS id, node, list_sort(list_filter(['caching', 'database_io', 'network_io', 'state_mutation'], lambda w: NOT list_contains(s, w))) AS g FROM un),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY len(g) DESC, node) AS k FROM x WHERE len(g) > 0)
+SELECT CAST(id AS VARCHAR) AS id, node, array_to_string(g, ',') AS missing FROM k WHERE k <= 4""")
+def flow_gaps(spark, sf):
+    wanted = F.array(*map(F.lit, ("caching", "database_io", "network_io", "state_mutation")))
+    rows = _shown(spark, sf).select((F.substring_index("node", ":", -1).cast("long") % 10).cast("string").alias("id"), "node", wanted.alias("wanted"), F.col("signals").alias("shown"))
+    return evidence.flow_gaps(rows).withColumn("missing", F.array_join("missing", ","))
+
+
+@query(f"""WITH {_SHOWN}, d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM g4 UNION ALL SELECT dst FROM g4) GROUP BY node)
+SELECT node, round(CAST(risk + 10 * 0.93 + least(6, degree) + CASE WHEN ambiguous THEN -4 ELSE 0 END + round(CAST(greatest(0, 1.7 * weight + CASE WHEN list_contains(s, 'input_boundary') THEN 4 ELSE 0 END
+  + CASE WHEN list_has_any(s, ['input_boundary', 'database_io', 'state_mutation', 'network_io']) THEN 2 + CASE WHEN ambiguous THEN 1.5 ELSE 0 END ELSE 0 END - CASE WHEN kind = 'module' THEN 1 ELSE 0 END) AS DOUBLE), 2) AS DOUBLE), 1) AS priority
+FROM un JOIN d USING (node)""".replace(f"WITH {_SHOWN}", f"WITH {_g4(2)}, {_SHOWN}", 1))
+def evidence_priority(spark, sf):
+    edges = g4_edges(spark, sf, 2)
+    degree = edges.select(F.col("src").alias("node")).union(edges.select("dst")).groupBy("node").agg(F.count("*").alias("degree"))
+    rows = _shown(spark, sf).join(degree, "node").withColumn("best_score", F.lit(0.93)).withColumn("n_ambiguous", F.col("ambiguous").cast("int")).drop("ambiguous")
+    return evidence.evidence_priority(rows).select("node", F.round("priority", 1).alias("priority"))
+
+
+@query(f"""WITH r AS (SELECT CAST(user_id % 7 AS VARCHAR) AS file, 'u:' || user_id AS node, {_CASE_SIGNAL} AS signal FROM events WHERE value > 45),
+o AS (SELECT file, signal, {_W5_CASE} AS w FROM r GROUP BY file, signal), p AS (SELECT file, string_agg(signal, ',' ORDER BY w DESC, signal) AS signals, round(CAST(sum(w) AS DOUBLE), 2) AS weight FROM o GROUP BY file)
+SELECT file, signals, weight, n_nodes FROM p JOIN (SELECT file, count(DISTINCT node) AS n_nodes FROM r GROUP BY file) USING (file) ORDER BY weight DESC, n_nodes DESC, file LIMIT 8""")
+def files_by_weight(spark, sf):
+    e = _t(spark, sf, "events").where("value > 45")
+    signal = F.create_map(*(F.lit(x) for k, v in _SIGNAL_OF.items() for x in (k, v)))[F.col("event_type")]
+    refs = e.select((F.col("user_id") % 7).cast("string").alias("file"), _id("u", "user_id").alias("node"), signal.alias("signal"))
+    return evidence.files_by_weight(refs).withColumn("signals", F.array_join("signals", ","))
+
+
 # Questions
 
 _QUESTIONS = [("q1", "Which small ring reaches the database?"), ("q2", "how is the ECONOMY widget request validated"), ("q3", "why does Customer 7 fail"), ("q4", "the")]
