@@ -15,9 +15,10 @@ character of every lane in every language; an automaton is one flat table in
 which a step that ends a phrase already leads to the next phrase's state and
 says how many phrases it closed.
 
-The labelled text is a bounded sample: of each language SAMPLE_DOCS rows with
-the least hash of their id, SAMPLE_CHARS / languages characters in all, at
-least MIN_CHARS. Everything else sees every row and every character.
+The labelled text is a bounded sample: of the LANGUAGES most frequent languages
+SAMPLE_DOCS rows each, with the least hash of their id, and SAMPLE_CHARS /
+languages characters in all, at least MIN_CHARS. Everything else sees every row
+and every character.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ from ._session import remainder, ship
 SAMPLE_DOCS = 200
 SAMPLE_CHARS = 100_000
 MIN_CHARS = 2_000
+LANGUAGES = 128
 
 ALPHABET = 61
 #: Classes of characters, rounded up: blank, the alphabet, other letters.
@@ -185,10 +187,11 @@ class Model:
 def fit(docs: DataFrame, held_out_mod: int = 5) -> Model:
     """A model from docs(doc_id, text, lang): rows with a language whose crc32(doc_id) mod held_out_mod is not 0."""
     rows = docs.select("doc_id", "lang", "text").where(F.col("lang").isNotNull() & (remainder("doc_id", held_out_mod) != 0))
-    ids = rows.select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id"))
+    known = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).select("lang")
+    languages = max(1, known.count())
+    ids = rows.select("lang", "doc_id").join(F.broadcast(known), "lang").select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_id"))
     first = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
     ids = ids.withColumn("_rank", first).where(F.col("_rank") <= SAMPLE_DOCS).select("_lang", "_id", "_rank")
-    languages = max(1, rows.select("lang").distinct().count())
     each = max(MIN_CHARS, SAMPLE_CHARS // languages)
     # The list of the sample's ids is bounded by SAMPLE_DOCS a language.
     joined = rows.join(F.broadcast(ids.distinct()), (F.col("lang") == F.col("_lang")) & (F.col("doc_id") == F.col("_id")))
