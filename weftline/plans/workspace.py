@@ -25,8 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _fallback[app]
 
 
+#: Bytes of an Arrow batch that Python workers get at once; a longer row is a batch of its own.
+ARROW_BATCH = 8 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the Python workers, once an application; they need not have it installed."""
+    """Makes a session ready for Python workers.
+
+    Sends this package to them, once an application; they need not have it
+    installed. Lowers the session's Arrow batches to ARROW_BATCH bytes, so that
+    rows of long texts do not add up in a worker's memory.
+    """
+    batch = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(batch, None)
+    if now is not None and not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) <= ARROW_BATCH:
+        spark.conf.set(batch, f"{ARROW_BATCH}b")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
