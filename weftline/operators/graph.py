@@ -16,14 +16,16 @@ from __future__ import annotations
 from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.plans.workspace import Scratch, ship
 
-#: Edges up to which a graph is given to one task, where an edge takes some 300 bytes.
-TASK_EDGES = 1_000_000
+#: Edges up to which a graph is given to one task, where an edge takes some 150 bytes.
+TASK_EDGES = 2_000_000
 #: Edges up to which a graph is broadcast, some 100 bytes each.
 BROADCAST_EDGES = 200_000
 
@@ -96,61 +98,71 @@ def _adjacent(pairs: list[tuple[str, str]]) -> dict[str, list[str]]:
     return out
 
 
-def strong_components(nodes: list[str], pairs: list[tuple[str, str]]) -> dict[str, str]:
-    """The least member of each node's strongly connected component: two depth-first passes with explicit stacks."""
-    ahead, back = _adjacent(pairs), _adjacent([(b, a) for a, b in pairs])
-    order: list[str] = []
-    seen: set[str] = set()
-    for start in nodes:
-        if start in seen:
+def _lists(n: int, src: np.ndarray, dst: np.ndarray) -> tuple[list[int], list[int]]:
+    """The targets of the nodes 0..n-1 one after another, ascending, and where each node's begin (n + 1 entries)."""
+    order = np.lexsort((dst, src))
+    return np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))]).tolist(), dst[order].tolist()
+
+
+def strong_components(n: int, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """The least member of the strongly connected component of each of the nodes 0..n-1: two depth-first passes with explicit stacks."""
+    begin, target = _lists(n, src, dst)
+    at, seen, order = begin[:n], bytearray(n), []
+    for start in range(n):
+        if seen[start]:
             continue
-        seen.add(start)
-        stack = [(start, iter(ahead.get(start, ())))]
+        seen[start] = 1
+        stack = [start]
         while stack:
-            at, rest = stack[-1]
-            nxt = next((x for x in rest if x not in seen), None)
-            if nxt is None:
-                order.append(at)
-                stack.pop()
+            v = stack[-1]
+            k, end = at[v], begin[v + 1]
+            while k < end and seen[target[k]]:
+                k += 1
+            if k < end:
+                w = target[k]
+                at[v] = k + 1
+                seen[w] = 1
+                stack.append(w)
             else:
-                seen.add(nxt)
-                stack.append((nxt, iter(ahead.get(nxt, ()))))
-    out: dict[str, str] = {}
+                at[v] = k
+                order.append(v)
+                stack.pop()
+    begin, target = _lists(n, dst, src)
+    component = [-1] * n
     for start in reversed(order):
-        if start in out:
+        if component[start] >= 0:
             continue
-        members, todo = [], [start]
-        out[start] = ""
-        while todo:
-            at = todo.pop()
-            members.append(at)
-            for x in back.get(at, ()):
-                if x not in out:
-                    out[x] = ""
-                    todo.append(x)
+        members, component[start] = [start], start
+        for v in members:  # grows
+            for w in target[begin[v] : begin[v + 1]]:
+                if component[w] < 0:
+                    component[w] = start
+                    members.append(w)
         least = min(members)
-        for x in members:
-            out[x] = least
-    return out
-
-
-def longest_depths(component: dict[str, str], pairs: list[tuple[str, str]]) -> dict[str, int]:
-    """For each node the longest path, in components, from a component without predecessors."""
-    links = {(component[a], component[b]) for a, b in pairs if component[a] != component[b]}
-    ahead = _adjacent(list(links))
-    left = defaultdict(int)
-    for _, b in links:
-        left[b] += 1
-    depth = dict.fromkeys(component.values(), 0)
-    todo = deque(c for c in depth if not left[c])
-    while todo:
-        a = todo.popleft()
-        for b in ahead.get(a, ()):
-            depth[b] = max(depth[b], depth[a] + 1)
-            left[b] -= 1
-            if not left[b]:
-                todo.append(b)
-    return {x: depth[c] for x, c in component.items()}
+        for v in members:
+            component[v] = least
+    return np.array(component, np.int64)
+
+
+def longest_depths(component: np.ndarray, src: np.ndarray, dst: np.ndarray) -> np.ndarray:
+    """For each node the longest path, in components, from a component without predecessors: level by level."""
+    n = len(component)
+    a, b = component[src], component[dst]
+    links = np.unique(a[a != b] * n + b[a != b])
+    a, b = links // n, links % n
+    begin = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=n))])
+    left = np.bincount(b, minlength=n)
+    depth = np.zeros(n, np.int64)
+    frontier = np.flatnonzero((left == 0) & (component == np.arange(n)))
+    while len(frontier):
+        count = begin[frontier + 1] - begin[frontier]
+        at = np.repeat(begin[frontier], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        to = b[at]
+        np.maximum.at(depth, to, np.repeat(depth[frontier] + 1, count))
+        np.subtract.at(left, to, 1)
+        frontier = np.unique(to)
+        frontier = frontier[left[frontier] == 0]
+    return depth[component]
 
 
 def shares_of_paths(sources: list[str], ahead: dict[str, list[str]]) -> dict[str, float]:
@@ -178,23 +190,27 @@ def shares_of_paths(sources: list[str], ahead: dict[str, list[str]]) -> dict[str
     return out
 
 
-def _in_one_task(nodes: DataFrame, edges: DataFrame, run: Callable[[list[str], list[tuple[str, str]]], pa.Table], schema: str) -> DataFrame:
-    """run(nodes, edges) in one task; the caller has counted the edges."""
+def _in_one_task(nodes: DataFrame, edges: DataFrame, run: Callable[[int, np.ndarray, np.ndarray], np.ndarray], column: str) -> DataFrame:
+    """(node, column) by run(nodes, sources, targets) on the nodes' positions by name, in one task; the caller has counted the edges.
+
+    A column of type string is a position's name.
+    """
     ship(nodes.sparkSession)
     both = nodes.select(F.col("node").alias("src"), F.lit(None).cast("string").alias("dst")).unionByName(edges)
+    name, kind = column.split(" ")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: set[str] = set()
-        pairs: list[tuple[str, str]] = []
-        for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                names.add(a)
-                if b is not None:
-                    names.add(b)
-                    pairs.append((a, b))
-        yield from run(sorted(names), pairs).to_batches()
+        table = pa.Table.from_batches(batches, pa.schema([("src", pa.string()), ("dst", pa.string())]))
+        names = pc.unique(pa.chunked_array([*table.column(0).chunks, *table.column(1).drop_null().chunks], pa.string()))
+        names = names.take(pc.sort_indices(names))
+        if not len(names):
+            return
+        pairs = table.filter(pc.is_valid(table.column(1)))
+        src, dst = (np.asarray(pc.index_in(c, names)).astype(np.int64) for c in pairs.columns)
+        out = pa.array(run(len(names), src, dst))
+        yield from pa.table({"node": names, name: names.take(out) if kind == "string" else out}).to_batches()
 
-    return both.repartition(1).mapInArrow(task, schema)
+    return both.repartition(1).mapInArrow(task, f"node string, {column}")
 
 
 def _small(edges: DataFrame, bound: int | None = None) -> bool:
@@ -208,12 +224,7 @@ def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     pairs = scratch.table(edge_set(edges), "edges")
     names = nodes.select("node").union(pairs.select("src")).union(pairs.select("dst")).where("node is not null").distinct()
     if _small(pairs):
-
-        def run(nodes: list[str], pairs: list[tuple[str, str]]) -> pa.Table:
-            out = strong_components(nodes, pairs)
-            return pa.table({"node": list(out), "scc_id": list(out.values())}, schema=pa.schema([("node", pa.string()), ("scc_id", pa.string())]))
-
-        found = _in_one_task(names, pairs, run, "node string, scc_id string")
+        found = _in_one_task(names, pairs, strong_components, "scc_id string")
     else:
         found = _scc_by_joins(names, pairs, scratch)
     found = scratch.table(found, "found")
@@ -295,12 +306,7 @@ def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     pairs = scratch.table(edge_set(edges), "edges")
     names = nodes.select("node").union(pairs.select("src")).union(pairs.select("dst")).where("node is not null").distinct()
     if _small(pairs):
-
-        def run(nodes: list[str], pairs: list[tuple[str, str]]) -> pa.Table:
-            out = longest_depths(strong_components(nodes, pairs), pairs)
-            return pa.table({"node": list(out), "layer": list(out.values())}, schema=pa.schema([("node", pa.string()), ("layer", pa.int64())]))
-
-        found = _in_one_task(names, pairs, run, "node string, layer long")
+        found = _in_one_task(names, pairs, lambda n, src, dst: longest_depths(strong_components(n, src, dst), src, dst), "layer long")
         return nodes.select("node").distinct().join(found, "node")
     member = scratch.table(scc(names, pairs).select("node", F.col("scc_id").alias("c")), "member")
     links = pairs.join(member.select(F.col("node").alias("src"), F.col("c").alias("a")), "src").join(member.select(F.col("node").alias("dst"), F.col("c").alias("b")), "dst")
