@@ -177,6 +177,7 @@ def test_configurations():
     assert tree.relaxed_json("[1]") == {} and tree.relaxed_json("{") == {}
     texts = {"base.json": '{"compilerOptions": {"baseUrl": "lib", "paths": {"@a": ["one"], "@b": ["two"]}}}', "app/tsconfig.json": '{"extends": "../base", "compilerOptions": {"paths": {"@b": ["./three"]}}}'}
     assert tree.script_configs(texts) == [{"dir": "app", "base": "lib", "paths": {"@a": ["lib/one"], "@b": ["lib/three"]}}]
+    assert tree.framework_probe({"x/apps.txt": "erp"}) and not tree.framework_probe({"package.json": "{}"})
     found = tree.dependencies({"package.json": '{"dependencies": {"react": "1"}}', "requirements.txt": "flask>=1\n# x\n", "pom.xml": "<project><dependencies><dependency><artifactId>boot</artifactId></dependency></dependencies></project>", "go.mod": "module a\nrequire example.com/x/y v1.0\n", "Cargo.toml": "[dependencies]\nserde = '1'\n", "pyproject.toml": "["})
     assert found == [("Cargo.toml", "serde"), ("go.mod", "example.com/x/y"), ("package.json", "react"), ("pom.xml", "boot"), ("requirements.txt", "flask")]
 
@@ -206,7 +207,9 @@ def test_report_bundle_and_question(spark, analysis, root, tmp_path):
     assert answer["candidates"][0]["node"] == "pkg.far:away" and answer["slices"][0]["file"] == "pkg/far.py"
     assert "filesystem_io" in answer["signals"] and answer["outcome"] == "confirmed" and answer["mentions"] == []
     names = report.write_bundle(analysis, str(tmp_path / "b"), 3, answer)
-    assert {"README.md", "answer.json", "prompt.md", "report.json", "report.md", "slices/01.md"} <= set(names)
+    assert [x["why"] for x in report.reading_list(out)][:2] == ["entry point", "entry point"] and len({x["path"] for x in report.reading_list(out)}) == len(report.reading_list(out))
+    assert report.fence("a/b.tsx") == "tsx" and report.fence("x.py") == "python" and report.fence("x.bin") == "text"
+    assert {"README.md", "excerpts.md", "answer.json", "prompt.md", "report.json", "report.md", "slices/01.md"} <= set(names)
     assert "return open(x)" in (tmp_path / "b/slices/01.md").read_text()
     c = answer["contract"]
     good = {

@@ -71,6 +71,8 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(ask.why(a, o.why), indent=2, default=str))
         return 0
     question = o.ask or (Path(o.question_file).read_text().strip() if o.question_file else "")
+    if not o.doctypes and tree.framework_probe(a.configs):
+        print("This tree seems to keep document types as JSON; --doctypes reads them.", file=sys.stderr)
     out = report.summary(a, max(1, o.top))
     answer = ask.ask(a, question, o.ask_lines) if question else None
     if answer:

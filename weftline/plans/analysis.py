@@ -245,7 +245,7 @@ class Analysis:
 
     @cached_property
     def configs(self) -> dict[str, str]:
-        return tree.small_files(self.spark, self.root, r"(^|/)(go\.mod|package\.json|pyproject\.toml|Cargo\.toml|pom\.xml|requirements[^/]*\.txt|(tsconfig[^/]*|jsconfig)\.json)$")
+        return tree.small_files(self.spark, self.root, r"(^|/)(apps\.txt|go\.mod|package\.json|pyproject\.toml|Cargo\.toml|pom\.xml|requirements[^/]*\.txt|(tsconfig[^/]*|jsconfig)\.json)$")
 
     @cached_property
     def context(self) -> dict:

@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.constants import CYCLES_SHOWN
+from weftline.functions.constants import CYCLES_SHOWN, LANGUAGE_BY_SUFFIX
 from weftline.operators import evidence, risk
 from weftline.plans.analysis import Analysis
 from weftline.sources import tree
@@ -127,6 +127,36 @@ def markdown(report: dict) -> str:
     return "\n".join(out) + "\n"
 
 
+def reading_list(report: dict) -> list[dict]:
+    """What to read first, each file once: six entry points, four documents, six files of risky symbols, four sources, four files at a boundary."""
+    inventory = report["inventory"]
+    parts = (
+        ("entry point", 6, [x["path"] for x in inventory["entrypoints"]]),
+        ("document", 4, inventory["documentation"]),
+        ("risk", 6, [x["file"] for x in report["top_risks"]]),
+        ("source", 4, [x["file"] for x in inventory["sources"]]),
+        ("boundary", 4, [x["file"] for x in report["signals"]["files"]]),
+    )
+    out: dict[str, str] = {}
+    for why, limit, paths in parts:
+        fresh = [p for p in dict.fromkeys(paths) if p not in out]
+        out |= {p: why for p in fresh[:limit]}
+    return [{"path": p, "why": why} for p, why in out.items()]
+
+
+def excerpts(files: DataFrame, paths: list[str], chars: int = 2200, lines: int = 80) -> DataFrame:
+    """(path, excerpt): the beginning of each of the files(path, text), by characters and lines."""
+    kept = files.where(F.col("path").isin(*paths) & F.col("text").isNotNull())
+    text = F.array_join(F.slice(F.split(F.substring("text", 1, chars), "\n", -1), F.lit(1), F.lit(lines)), "\n")
+    return kept.select("path", text.alias("excerpt")).orderBy("path")
+
+
+def fence(path: str) -> str:
+    """The name of a file's language for a Markdown fence."""
+    suffix = Path(path).suffix.lower()
+    return {".md": "markdown", ".json": "json", ".toml": "toml", ".yml": "yaml", ".yaml": "yaml", ".xml": "xml", ".sh": "bash", ".sql": "sql", ".html": "html", ".css": "css", ".tsx": "tsx", ".jsx": "jsx"}.get(suffix) or LANGUAGE_BY_SUFFIX.get(suffix, "text")
+
+
 def slice_text(lines: DataFrame, file: str, start: int, stop: int) -> str:
     """The numbered lines of one slice."""
     rows = lines.where((F.col("path") == file) & F.col("lineno").between(start, stop)).orderBy("lineno").collect()
@@ -143,12 +173,15 @@ def write_bundle(a: Analysis, folder: str, top: int = 20, answer: dict | None =
     slices = [(r["node"], r["file"], r["start_line"], r["end_line"]) for r in report["top_risks"]] if answer is None else [(s["names"], s["file"], s["start"], s["stop"]) for s in answer["slices"]]
     reading = []
     for k, (name, file, start, stop) in enumerate(slices, 1):
-        texts[f"slices/{k:02}.md"] = f"# {name}\n\n{file}, lines {start} to {stop}\n\n```\n{slice_text(lines, file, start, stop)}\n```\n"
+        texts[f"slices/{k:02}.md"] = f"# {name}\n\n{file}, lines {start} to {stop}\n\n```{fence(file)}\n{slice_text(lines, file, start, stop)}\n```\n"
         reading.append(f"{k}. slices/{k:02}.md: {name}")
     if answer is not None:
         texts["answer.json"] = json.dumps(answer, indent=2, sort_keys=True, default=str)
         texts["prompt.md"] = answer["prompt"]
-    texts["README.md"] = "# Reading order\n\n" + "\n".join(["- report.md", *reading]) + "\n"
+    first = [f"- {x['path']} ({x['why']})" for x in reading_list(report)]
+    texts["README.md"] = "# Reading order\n\n" + "\n".join(["- report.md", *reading]) + "\n\n# Files to know\n\n" + "\n".join(first) + "\n"
+    begin = excerpts(a.files, [x["path"] for x in reading_list(report)]).collect()
+    texts["excerpts.md"] = "\n".join(f"# {r['path']}\n\n```{fence(r['path'])}\n{r['excerpt']}\n```\n" for r in begin)
     for name, text in texts.items():
         (base / name).write_text(text)
     return sorted(texts)

@@ -130,6 +130,11 @@ def small_files(spark: SparkSession, root: str, expression: str, limit: int = 1
     return {r[0]: r[1] for r in rows if r[1] is not None}
 
 
+def framework_probe(texts: dict[str, str]) -> bool:
+    """Whether a tree looks like an app of the framework whose document types are JSON: a list of apps, or a dependency of that name."""
+    return any(posixpath.basename(p) == "apps.txt" for p in texts) or any(d.lower() == "frappe" for _, d in dependencies(texts))
+
+
 def go_module(texts: dict[str, str]) -> str:
     m = re.search(r"(?m)^\s*module\s+(\S+)", texts.get("go.mod", ""))
     return m.group(1) if m else ""
