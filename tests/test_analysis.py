@@ -206,6 +206,11 @@ def test_report_bundle_and_question(spark, analysis, root, tmp_path):
     answer = ask.ask(analysis, "How does away open the file?", 40)
     assert answer["candidates"][0]["node"] == "pkg.far:away" and answer["slices"][0]["file"] == "pkg/far.py"
     assert "filesystem_io" in answer["signals"] and answer["outcome"] == "confirmed" and answer["mentions"] == []
+    assert answer["plan"]["steps"][0]["open"] == "pkg/far.py:3-4" and answer["result"]["posture"] == "firm" and answer["packet"]["mode"] == "verify"
+    assert "pkg/far.py:4-4#filesystem_io" in answer["evidence"] and answer["followup"] is None
+    other = ask.ask(analysis, "How does away open the file and query the database?", 40)
+    assert other["outcome"] == "partial" and other["missing_signals"] == ["database_io"] and "no evidence of database_io" in other["result"]["limits"]
+    assert all(x["blocked_by"] or x["allowed"] for x in other["escalation"])
     names = report.write_bundle(analysis, str(tmp_path / "b"), 3, answer)
     assert [x["why"] for x in report.reading_list(out)][:2] == ["entry point", "entry point"] and len({x["path"] for x in report.reading_list(out)}) == len(report.reading_list(out))
     assert report.fence("a/b.tsx") == "tsx" and report.fence("x.py") == "python" and report.fence("x.bin") == "text"

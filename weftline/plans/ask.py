@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.constants import COMPLETION_STATES, OUTCOME_ORDER
-from weftline.operators import graph, intervals, retrieve, risk
+from weftline.operators import evidence, graph, intervals, retrieve, risk
 from weftline.plans.analysis import Analysis
 
 #: The share of the budget for the best candidates; what supports them may use the rest.
@@ -84,7 +84,14 @@ def ask(a: Analysis, question: str, budget: int = 110, limit: int = 10) -> dict:
         "deferred": deferred,
         "outcome": outcome,
     }
+    found = refs.where(F.col("signal").isin(*(wanted or ["*"]))).orderBy("node", "start", "signal").limit(12)
+    out["evidence"] = [f"{r['file']}:{r['start']}-{r['stop']}#{r['signal']}" for r in found.collect()]
     out["contract"] = contract_of(out)
+    out["plan"] = plan_of(out)
+    out["result"] = result_of(out)
+    out["escalation"] = escalation_of(a, out, refs)
+    out["followup"] = followup_of(out)
+    out["packet"] = packet_of(out)
     out["prompt"] = prompt_of(out)
     return out
 
@@ -108,12 +115,96 @@ def contract_of(answer: dict) -> dict:
     }
 
 
+def _ref(x: dict) -> str:
+    return f"{x['file']}:{x['start']}-{x['stop']}"
+
+
+def plan_of(answer: dict) -> dict:
+    """Up to four slices to open, what to look for in each, and when to stop; then the answer."""
+    steps = [{"step": k, "open": _ref(x), "symbols": x["names"], "look_for": answer["signals"] or ["what the symbols do"]} for k, x in enumerate(answer["slices"][:4], 1)]
+    steps.append({"step": len(steps) + 1, "open": "", "symbols": "", "look_for": ["an answer within the contract"]})
+    decisions = [f"go on to the next slice unless it shows {', '.join(answer['signals'])}"] if answer["signals"] else []
+    if answer["ambiguities"]:
+        decisions.append("do not choose between the candidates of an ambiguous call")
+    if answer["missing_signals"]:
+        decisions.append(f"say that {', '.join(answer['missing_signals'])} was not found")
+    return {"goal": " and ".join(answer["intents"]) or "find what the question names", "steps": steps, "decisions": decisions, "stop": answer["contract"]["valid_stop_conditions"]}
+
+
+def result_of(answer: dict) -> dict:
+    """What may be said now: a claim no stronger than the outcome, its evidence and its limits."""
+    names = ", ".join(x["node"] for x in answer["candidates"][:3]) or "no symbol"
+    claim = {
+        "confirmed": f"{names}: the evidence shows what the question asks for.",
+        "partial": f"{names}: the evidence shows a part of what the question asks for.",
+        "ambiguous": f"{names}: several candidates fit and the evidence does not choose between them.",
+        "unproven": f"{names}: related by name or structure alone.",
+    }[answer["outcome"]]
+    posture = {"confirmed": "firm", "partial": "qualified", "ambiguous": "open", "unproven": "tentative"}[answer["outcome"]]
+    limits = [f"no evidence of {s}" for s in answer["missing_signals"]] + [f"ambiguous call {x['raw']} in {x['node']}" for x in answer["ambiguities"]] + [f"not read: {_ref(x)}" for x in answer["deferred"]]
+    return {"outcome": answer["outcome"], "claim": claim, "posture": posture, "evidence": answer["evidence"], "basis": [_ref(x) for x in answer["slices"][:2]], "limits": limits}
+
+
+_OPTION = "id string, option string, outcome string, request string, signals array<string>, wanted array<string>, missing array<string>, targets int, lines int, files int, n_gaps int, n_ambiguous int"
+
+
+def escalation_of(a: Analysis, answer: dict, refs: DataFrame) -> list[dict]:
+    """The first four requests for more reading, with cost, gain and why they are refused: deferred slices, missing signals elsewhere, ambiguous calls."""
+    rows = []
+    common = (answer["signals"], answer["missing_signals"])
+    shows = {r["node"]: r["signals"] for r in a.signals.where(F.col("node").isin(*[x["node"] for x in answer["deferred"]] or [""])).collect()}
+    for x in answer["deferred"]:
+        rows.append(("q", f"read {_ref(x)}", answer["outcome"], "symbol", list(shows.get(x["node"], [])), *common, 1, x["stop"] - x["start"] + 1, 1, len(answer["missing_signals"]), len(answer["ambiguities"])))
+    for signal in answer["missing_signals"]:
+        first = a.refs.where(F.col("signal") == signal).join(refs.select("node").distinct(), "node", "left_anti").orderBy("file", "start").limit(1).collect()
+        for r in first:
+            rows.append(("q", f"read {r['file']}:{r['start']}-{r['stop']}", answer["outcome"], "signal", [signal], *common, 1, r["stop"] - r["start"] + 1, 1, len(answer["missing_signals"]), len(answer["ambiguities"])))
+    for x in answer["ambiguities"]:
+        n = len(x["options"].split(","))
+        rows.append(("q", f"tell apart {x['options']}", answer["outcome"], "ambiguity", [], *common, n, 8 * n, n, len(answer["missing_signals"]), len(answer["ambiguities"])))
+    if not rows:
+        return []
+    ranked = evidence.rank_escalations(evidence.escalations(a.spark.createDataFrame(rows, _OPTION)))
+    kinds = evidence.followup_budget(evidence.followup_kind(ranked.withColumn("closes_gap", (F.col("n_gaps") > 0) & (F.size("gain") > 0))))
+    shown = ["option", "request", "cost", "gain", "expected", "allowed", "blocked_by", "confidence", "kind", "line_budget", "slice_budget", "file_budget"]
+    return [r.asDict() for r in kinds.orderBy("rank").select(*shown).collect()]
+
+
+def followup_of(answer: dict) -> dict | None:
+    """The next question within its budget, if an escalation is allowed."""
+    best = next((x for x in answer["escalation"] if x["allowed"]), None)
+    if best is None:
+        return None
+    rails = ["read nothing beyond the budget", "keep to the contract"] + (["do not choose between ambiguous candidates without new evidence"] if best["kind"] == "ambiguity_resolution" else [])
+    return {"question": answer["question"], "request": best["option"], "kind": best["kind"], "lines": best["line_budget"], "slices": best["slice_budget"], "files": best["file_budget"], "guardrails": rails}
+
+
+def packet_of(answer: dict) -> dict:
+    """A bounded piece of work for a reader: task, mode, order, targets, claims, and the form of its result."""
+    intents = set(answer["intents"])
+    task = "debug" if "debug" in intents else "refactor" if "refactor" in intents else "explain" if "explain_flow" in intents else "review" if intents & {"auth", "validation", "architecture"} else "locate"
+    mode = {"confirmed": "verify", "partial": "complete", "ambiguous": "disambiguate", "unproven": "explore"}[answer["outcome"]]
+    c = answer["contract"]
+    return {
+        "task": task,
+        "mode": mode,
+        "read_order": c["required_read_order_refs"],
+        "targets": [x["node"] for x in answer["candidates"][:3]],
+        "claims": c["allowed_claims"],
+        "done_when": c["valid_stop_conditions"],
+        "result_template": {"inspected_slice_refs": [], "inspected_symbols": [], "used_claims": [], "final_claim": "", "final_outcome": "", "stop_condition": "", "completion_state": COMPLETION_STATES[0], "followup_used": False},
+        "trace_template": [{"slice": r, "seen": [], "unclear": []} for r in c["required_read_order_refs"]],
+    }
+
+
 def prompt_of(answer: dict) -> str:
     c = answer["contract"]
     read = "\n".join(f"{k}. {r}" for k, r in enumerate(c["required_read_order_refs"], 1)) or "nothing"
+    claims = "\n".join(f"- {x}" for x in c["allowed_claims"])
+    more = f"\n# If that is not enough\n\n{answer['followup']['request']} (at most {answer['followup']['lines']} lines)\n" if answer["followup"] else ""
     return (
-        f"# Question\n\n{answer['question']}\n\n# Read in this order\n\n{read}\n\n# Claims that the evidence allows\n\n" + "\n".join(f"- {x}" for x in c["allowed_claims"])
-        + f"\n\nThe outcome is at most `{c['expected_ceiling']}`. Signals without evidence: {', '.join(answer['missing_signals']) or 'none'}.\n"
+        f"# Question\n\n{answer['question']}\n\n# Read in this order\n\n{read}\n\n# Claims that the evidence allows\n\n{claims}\n\n"
+        f"The outcome is at most `{c['expected_ceiling']}`. Signals without evidence: {', '.join(answer['missing_signals']) or 'none'}.\n{more}"
     )
 
 
