@@ -21,7 +21,7 @@ has its whole sequence as one shingle; a text without words has none).
    bounded size and every pair of blocks is worked on.
 
 A pair at exactly the threshold of 0.85 shares a table with a probability of
-(1 - (1 - 0.85^R)^M)^2, 0.99995 with R = 2 and M = 8 as set.
+(1 - (1 - 0.85^R)^M)^2, 0.99993 with R = 2 and M = 8 as set.
 """
 
 from __future__ import annotations
