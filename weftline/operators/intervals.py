@@ -19,12 +19,23 @@ def contained(spans: DataFrame) -> DataFrame:
     return a.join(b, "file").where("s2 >= s1 and e2 <= e1 and outer <> inner").select("outer", "inner")
 
 
+def span_lines(spans: DataFrame) -> DataFrame:
+    """spans(file, start, stop) with a row for each lineno that they cover: what is to be looked up then joins by (file, lineno)."""
+    return spans.where("start <= stop").withColumn("lineno", F.explode(F.sequence("start", "stop")))
+
+
 def own_lines(lines: DataFrame, spans: DataFrame) -> DataFrame:
-    """(node, file, lineno, text): a span's lines without those of spans that lie within it, for spans(node, file, start, stop)."""
-    inside = spans.join(lines.select("file", "lineno", "text"), "file").where("lineno between start and stop").select("node", "file", "lineno", "text")
-    nested = contained(spans).join(spans.select(F.col("node").alias("inner"), "file", "start", "stop"), "inner").select(F.col("outer").alias("node"), "file", "start", "stop")
-    hidden = inside.join(nested, ["node", "file"]).where("lineno between start and stop").select("node", "file", "lineno").distinct()
-    return inside.join(hidden, ["node", "file", "lineno"], "left_anti")
+    """(node, file, lineno, text): a span's lines without those of spans that lie within it, for spans(node, file, start, stop).
+
+    Spans are compared where they share a line, so the work follows the depth
+    of nesting and not the number of spans of a file.
+    """
+    rows = span_lines(spans.select("node", "file", "start", "stop"))
+    a, b = rows.alias("a"), rows.alias("b")
+    same = (F.col("a.file") == F.col("b.file")) & (F.col("a.lineno") == F.col("b.lineno"))
+    within = (F.col("b.start") >= F.col("a.start")) & (F.col("b.stop") <= F.col("a.stop")) & (F.col("a.node") != F.col("b.node"))
+    own = a.join(b, same & within, "left_anti").select("node", "file", "lineno")
+    return own.join(lines.select("file", "lineno", "text"), ["file", "lineno"]).select("node", "file", "lineno", "text")
 
 
 def covered(ranges: DataFrame, slices: DataFrame) -> DataFrame:

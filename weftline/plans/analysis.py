@@ -372,14 +372,12 @@ class Analysis:
     def refs(self) -> DataFrame:
         """Evidence of all nodes: an executable's whole span, a container's lines outside its children."""
         lines = self._table(tree.file_lines(self.files), "lines")
-        runs = self.spans.where(F.col("kind").isin(*EXECUTABLE_KINDS))
-        whole = runs.join(lines.select(F.col("path").alias("file"), "lineno", "text"), "file").where("lineno between start and stop")
-        boxes = self.spans.where(~F.col("kind").isin(*EXECUTABLE_KINDS))
-        rest = boxes.join(lines.select(F.col("path").alias("file"), "lineno", "text"), "file").where("lineno between start and stop")
-        inner = self.children.join(self.spans.select(F.col("node").alias("inner"), "file", F.col("start").alias("s"), F.col("stop").alias("e")), "inner")
-        hidden = rest.join(inner.select(F.col("outer").alias("node"), "file", "s", "e"), ["node", "file"]).where("lineno between s and e").select("node", "lineno").distinct()
-        rest = rest.join(hidden, ["node", "lineno"], "left_anti")
-        own = self._table(whole.select("node", "file", "language", "lineno", "text").unionByName(rest.select("node", "file", "language", "lineno", "text")), "own")
+        at = intervals.span_lines(self.spans.select("node", "file", "start", "stop", "kind", "language"))
+        inner = self.children.join(at.select(F.col("node").alias("inner"), "lineno"), "inner").select(F.col("outer").alias("node"), "lineno").distinct()
+        runs = F.col("kind").isin(*EXECUTABLE_KINDS)
+        kept = at.where(runs).unionByName(at.where(~runs).join(inner, ["node", "lineno"], "left_anti"))
+        own = kept.join(lines.select(F.col("path").alias("file"), "lineno", "text"), ["file", "lineno"]).select("node", "file", "language", "lineno", "text")
+        own = self._table(own, "own")
         found = signals.match_lines(own).unionByName(signals.guard_windows(own))
         named = self.resolved.where("ref_kind = 'string'").groupBy(F.col("target").alias("node")).agg(F.count_distinct("node").alias("n"))
         dynamic = named.join(self.spans.select("node", "file", "start"), "node")
@@ -456,7 +454,8 @@ class Analysis:
         """(node, sources, tainted): where executable nodes get input from outside, and which parameters carry it."""
         lines = tree.file_lines(self.files).select(F.col("path").alias("file"), "lineno", F.col("text").alias("line"))
         runs = self.nodes.where(F.col("kind").isin(*EXECUTABLE_KINDS))
-        text = runs.select("node", "file", "start_line", "end_line").join(lines, "file").where("lineno between start_line and end_line")
+        at = intervals.span_lines(runs.select("node", "file", F.col("start_line").alias("start"), F.col("end_line").alias("stop")))
+        text = at.join(lines, ["file", "lineno"])
         text = text.groupBy("node").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("lineno", "line"))), lambda x: x["line"]), "\n").alias("text"))
         hooked = self.hooks.withColumn("hooked", F.lit(True))
         rows = runs.select("node", "kind", "language", "decorators", "params", "exported").join(text, "node", "left").join(hooked, "node", "left")
