@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from weftline.llm import bpe, decontam, katz, lang_id, line_dedup, near_dup, quality_knn, quality_rules, queries, secrets, token_output
 
 
@@ -48,6 +49,22 @@ def test_near_duplicate_groups_in_blocks(spark, monkeypatch):
     assert by_id(near_dup.near_duplicates(docs), "n_shingles", "component_id", "kept") == brute.near_duplicates(rows)
 
 
+def test_near_duplicates_from_80_percent(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(60):  # 100 shingles each, 9 to 11 of them replaced at the end: 0.83, 0.82 and 0.80
+        w = [str(rng.randrange(10**6)) for _ in range(104)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[: 95 - k % 3] + [f"new{i}" for i in range(9 + k % 3)]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute.near_duplicates(rows, 80)
+    assert by_id(near_dup.near_duplicates(docs, 80), "n_shingles", "component_id", "kept") == want
+    kept = {d for d, v in want.items() if v[2]}
+    assert len(kept) == 60 and {r[0] for r in near_dup.keep_one(docs, 80).collect()} == kept
+    assert {r[0] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == kept
+    with pytest.raises(ValueError, match="80 to 100"):
+        near_dup.near_duplicates(docs, 79)
+
+
 def test_link_is_exact():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1000, 300)

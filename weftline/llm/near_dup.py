@@ -20,8 +20,9 @@ has its whole sequence as one shingle; a text without words has none).
    change the components. Oversize buckets and groups are cut into blocks of
    bounded size and every pair of blocks is worked on.
 
-A pair at exactly the threshold of 0.85 shares a table with a probability of
-(1 - (1 - 0.85^R)^M)^2, 0.99993 with R = 2 and M = 8 as set.
+A pair at exactly a threshold of J shares a table with a probability of
+(1 - (1 - J^R)^M)^2: 0.99993 with R = 2 and M = 8 at 0.85. Thresholds from 0.8
+to below 0.85 take M = 10, which is 0.99993 at 0.8, and a lower screen.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ R, M = 2, 8
 SKETCH = 64
 #: Equal bytes of the sketch that a candidate pair has at least.
 SCREEN = 38
+#: M and SCREEN for thresholds from 80 to below 85 percent.
+LOW_M, LOW_SCREEN = 10, 34
 #: Members of a bucket, and shingles of a candidate group, that one task takes on.
 BUCKET_CAP = 8192
 GROUP_CAP = 2_000_000
@@ -87,30 +90,33 @@ def minhashes(flat: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(0)
-        for i, j, flat, offs in shingle_sets(batch.column(1)):
-            f1, f2 = fingerprints(flat, offs)
-            mins = minhashes(flat, offs)
-            halves = []
-            for side in range(2):
-                h = np.zeros((j - i, M), np.uint64)
-                for r in range(R):
-                    h = t.mix(h * np.uint64(0x9E3779B97F4A7C15) + mins[:, side * M * R + r : (side + 1) * M * R : R].astype(np.uint64) + np.uint64(1))
-                halves.append(t.list_array(h.view(np.int64), M, pa.int64()))
-            sketch = np.ascontiguousarray(mins.astype(np.uint8))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    ids.slice(i, j - i),
-                    pa.array(np.diff(offs).astype(np.int64)),
-                    pa.array(f1.view(np.int64)),
-                    pa.array(f2.view(np.int64)),
-                    *halves,
-                    t.binary_array([row.tobytes() for row in sketch]),
-                ],
-                ["doc_id", "n_shingles", "f1", "f2", "a", "b", "sketch"],
-            )
+def _sign(m: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0)
+            for i, j, flat, offs in shingle_sets(batch.column(1)):
+                f1, f2 = fingerprints(flat, offs)
+                mins = minhashes(flat, offs)
+                halves = []
+                for side in range(2):
+                    h = np.zeros((j - i, m), np.uint64)
+                    for r in range(R):
+                        h = t.mix(h * np.uint64(0x9E3779B97F4A7C15) + mins[:, side * m * R + r : (side + 1) * m * R : R].astype(np.uint64) + np.uint64(1))
+                    halves.append(t.list_array(h.view(np.int64), m, pa.int64()))
+                sketch = np.ascontiguousarray(mins.astype(np.uint8))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        ids.slice(i, j - i),
+                        pa.array(np.diff(offs).astype(np.int64)),
+                        pa.array(f1.view(np.int64)),
+                        pa.array(f2.view(np.int64)),
+                        *halves,
+                        t.binary_array([row.tobytes() for row in sketch]),
+                    ],
+                    ["doc_id", "n_shingles", "f1", "f2", "a", "b", "sketch"],
+                )
+
+    return run
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -149,27 +155,31 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Ta
         yield whole(held)
 
 
-def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _screen(percent: int, screen: int):
     """Spanning edges of the pairs that pass the screen, bucket by bucket."""
-    for table, bounds in groups(batches, 3):
-        node = table.column("rep").to_numpy()
-        size = table.column("n_shingles").to_numpy()
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), SKETCH)
-        out: list[np.ndarray] = []
-        width = np.diff(bounds)
-        two = bounds[:-1][width == 2]
-        same = (sketch[two] == sketch[two + 1]).sum(1, dtype=np.int32) >= SCREEN
-        same &= 100 * np.minimum(size[two], size[two + 1]) >= 85 * np.maximum(size[two], size[two + 1])
-        out.append(np.stack([node[two[same]], node[two[same] + 1]]))
-        for g in np.flatnonzero(width > 2):
-            lo, hi = bounds[g], bounds[g + 1]
-            out.append(_forest(node[lo:hi], size[lo:hi], sketch[lo:hi]))
-        edges = np.concatenate(out, axis=1)
-        if edges.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], ["u", "v"])
-
-
-def _forest(node: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in groups(batches, 3):
+            node = table.column("rep").to_numpy()
+            size = table.column("n_shingles").to_numpy()
+            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), SKETCH)
+            out: list[np.ndarray] = []
+            width = np.diff(bounds)
+            two = bounds[:-1][width == 2]
+            same = (sketch[two] == sketch[two + 1]).sum(1, dtype=np.int32) >= screen
+            same &= 100 * np.minimum(size[two], size[two + 1]) >= percent * np.maximum(size[two], size[two + 1])
+            out.append(np.stack([node[two[same]], node[two[same] + 1]]))
+            for g in np.flatnonzero(width > 2):
+                lo, hi = bounds[g], bounds[g + 1]
+                out.append(_forest(node[lo:hi], size[lo:hi], sketch[lo:hi], percent, screen))
+            edges = np.concatenate(out, axis=1)
+            if edges.shape[1]:
+                yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[1])], ["u", "v"])
+
+    return run
+
+
+def _forest(node: np.ndarray, size: np.ndarray, sketch: np.ndarray, percent: int, screen: int) -> np.ndarray:
     """Edges (2, n) that connect what the screen connects, found breadth first from the most typical member."""
     by = np.sort(sketch, axis=0)[len(node) // 2]
     left = np.lexsort((node, -(sketch == by).sum(1, dtype=np.int32)))
@@ -180,8 +190,8 @@ def _forest(node: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> np.ndarra
             x = frontier.pop()
         else:
             x, left = int(left[0]), left[1:]
-        ok = (sketch[left] == sketch[x]).sum(1, dtype=np.int32) >= SCREEN
-        ok &= 100 * np.minimum(size[left], size[x]) >= 85 * np.maximum(size[left], size[x])
+        ok = (sketch[left] == sketch[x]).sum(1, dtype=np.int32) >= screen
+        ok &= 100 * np.minimum(size[left], size[x]) >= percent * np.maximum(size[left], size[x])
         hit = left[ok]
         if len(hit):
             found.append((node[hit], node[x]))
@@ -266,7 +276,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
 
     component_id is the smallest doc_id reachable over links with
-    100 * intersection >= percent * union of shingle sets (percent from 85 to
+    100 * intersection >= percent * union of shingle sets (percent from 80 to
     100), itself included; kept says whether doc_id is that id. A null or empty
     text, or one of white space, has no shingle and is linked with nothing.
     Rows that repeat a doc_id are one document: what links one of their texts
@@ -274,13 +284,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     with a null doc_id has a null component, links nothing and is kept. Other
     columns are not read.
     """
-    if not 85 <= percent <= 100:
-        raise ValueError("percent: 85 to 100")
+    if not 80 <= percent <= 100:
+        raise ValueError("percent: 80 to 100")
+    m, screen = (M, SCREEN) if percent >= 85 else (LOW_M, LOW_SCREEN)
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "near_dup")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    signed = scratch.table(docs.mapInArrow(_sign, _SIGNED), "signed")
+    signed = scratch.table(docs.mapInArrow(_sign(m), _SIGNED), "signed")
 
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles")
     classes = classes.agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first(F.struct("a", "b", "sketch")).alias("s"))
@@ -297,7 +308,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     members = scratch.table(members.join(classes.select("rep", "n_shingles", "sketch"), "rep"), "members")
     members = block_pairs(members, "c", BUCKET_CAP, "rep").select("bucket", "bi", "bj", "rep", "n_shingles", "sketch")
     members = members.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
-    candidates = connected_components(members.mapInArrow(_screen, "u long, v long"), scratch, "candidates")
+    candidates = connected_components(members.mapInArrow(_screen(percent, screen), "u long, v long"), scratch, "candidates")
 
     sized = candidates.join(classes.select(F.col("rep").alias("node"), "f1", "f2", "n_shingles"), "node")
     totals = sized.groupBy("component").agg(F.sum("n_shingles").alias("total"))
