@@ -101,6 +101,25 @@ def test_leaks_in_several_blocks(spark, documents, pairs, monkeypatch):
     assert got == set(brute.leaks(pairs, items))
 
 
+def test_short_items_leak_anywhere(spark):
+    rng = random.Random(21)
+    words = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    items, docs = [], []
+    for k in range(400):  # 1 to 16 shingles, in the middle of 200 words; every fourth of the longer ones lacks its last word
+        item = words(5 + (k % 4 if k < 300 else k % 16))
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(words(90 + k % 40) + (item[:-1] if k % 4 == 3 else item) + words(100))))
+    items.append((900, "a a a a a a a"))
+    docs += [(900, "a " * 5 + " ".join(words(40))), (901, "A a a a"), (902, f"{items[2][1]} {items[1][1]}")]
+    # an item whose shingles lie apart from each other, and one shingle that many items share
+    apart = words(14)
+    items += [(901, " ".join(apart)), *((1000 + k, f"one common run of words x{k}") for k in range(30))]
+    docs += [(903, " ".join(" ".join(apart[i : i + 5] + words(40)) for i in range(10))), (904, "see one common run of words x7 here")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r[0], r[1]): r[2] for r in decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), bench).select("doc_id", "item_id", "n_shared").collect()}
+    assert got == brute.leaks(docs, items) and {(903, 901), (904, 1007), (900, 900)} <= set(got)
+
+
 def test_line_dedup(documents, pairs):
     got = by_id(line_dedup.apply_bitmaps(documents), "n_lines", "n_dropped", "kept_text")
     want = brute.line_dedup(pairs)

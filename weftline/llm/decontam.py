@@ -1,18 +1,21 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search.
+"""Benchmark decontamination: exact lookup of short items, size-partitioned MinHash containment search of others.
 
 Texts and items are lower-cased (A-Z), cut into words at ASCII white space and
 into five-word shingles. An item leaks into a document if at least `percent`
 of its distinct shingles are shingles of the document.
 
 A short item has next to no Jaccard similarity with a long document, so the
-search is partitioned by size: items fall into classes by the power of two
-that holds their shingles, and for a class of width s a document is a row of
-windows of 2s shingles that overlap by half. A verbatim copy lies within one
-window whole, where its similarity is 0.19 at least (0.25 when complete), and
-one of SKETCH minhashes agrees with a probability above 1 - 2e-6. The minima
-of a block of MIN_WIDTH shingles are computed once; wider windows take minima
-of minima. A document and an item that share a minhash in a window of the
-item's class are a candidate pair; the sets of shingles themselves decide it.
+search is partitioned by size. Every shingle of an item of up to EXACT
+shingles is looked up in the documents, and a document that holds enough of
+them is a candidate: none is missed. Longer items fall into classes by the
+power of two that holds their shingles, and for a class of width s a document
+is a row of windows of 2s shingles that overlap by half. A verbatim copy lies
+within one window whole, where its similarity is 0.19 at least (0.25 when
+complete), and one of SKETCH minhashes agrees with a probability above
+1 - 2e-6. The minima of a block of MIN_WIDTH shingles are computed once; wider
+windows take minima of minima. A document and an item that share a minhash in
+a window of the item's class are a candidate pair. The sets of shingles
+themselves decide every candidate.
 
 Documents are read once and never shuffled. The items are broadcast in blocks
 of at most BLOCK_ITEMS items and BLOCK_SHINGLES shingles; a larger benchmark
@@ -33,7 +36,11 @@ from . import _text as t
 from ._session import ship
 
 SKETCH = 64
-MIN_WIDTH = 16
+#: Items of up to EXACT distinct shingles are looked up; the others' classes begin at the next power of two.
+EXACT = 16
+MIN_WIDTH = 2 * EXACT
+#: Pairs of a document and an item of a looked-up shingle that are counted at once (one document's at least).
+BLOCK_PAIRS = 1 << 20
 BLOCK_ITEMS = 20_000
 BLOCK_SHINGLES = 1_000_000
 
@@ -55,7 +62,7 @@ class Items:
         self.sets = [shingle_strings(x) for _, x in rows]
         flat, offs = _hashed(pa.array([x for _, x in rows], pa.string()))
         size = np.array([len(s) for s in self.sets])
-        width = np.where(size > 0, np.maximum(MIN_WIDTH, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(int)), 0)
+        width = np.where(size > EXACT, np.maximum(MIN_WIDTH, 1 << np.ceil(np.log2(np.maximum(size, 1))).astype(int)), 0)
         some = np.flatnonzero(size)
         mins = np.zeros((len(rows), SKETCH), np.uint32)
         if len(some):
@@ -63,7 +70,9 @@ class Items:
                 mins[some, k] = np.minimum.reduceat(_hash(flat, k), offs[:-1][some])
         self.bits = max(16, int(np.ceil(np.log2(len(rows) + 1))) + 8)
         self.classes = []
-        for w in sorted({int(x) for x in width[some]}):
+        self.size = size
+        self._lookup([(i, h) for i in np.flatnonzero((size > 0) & (size <= EXACT)) for h in np.unique(flat[offs[i] : offs[i + 1]])])
+        for w in sorted({int(x) for x in width[width > 0]}):
             of = np.flatnonzero(width == w)
             tables = []
             for k in range(SKETCH):
@@ -74,6 +83,19 @@ class Items:
             self.classes.append((w, tables))
 
 
+    def _lookup(self, rows: list[tuple[int, int]]) -> None:
+        """A table of the short items' shingles: a bit map, the distinct hashes, and the items of each."""
+        item, hashes = np.array([i for i, _ in rows], np.int64), np.array([h for _, h in rows], np.uint64)
+        order = np.argsort(hashes, kind="stable")
+        self.short, begin = np.unique(hashes[order], return_index=True)
+        self.short_items = item[order]
+        self.short_begin = np.append(begin, len(order)).astype(np.int64)
+        self.short_bits = max(16, int(np.ceil(np.log2(len(order) + 1))) + 4)
+        seen = np.zeros(1 << self.short_bits, bool)
+        seen[(self.short & np.uint64(len(seen) - 1)).astype(np.int64)] = True
+        self.short_seen = np.packbits(seen, bitorder="little")
+
+
 def _hash(flat: np.ndarray, k: int) -> np.ndarray:
     return ((flat * _MUL[k] + _ADD[k]) >> np.uint64(32)).astype(np.uint32)
 
@@ -98,6 +120,33 @@ def _windows(offs: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     return n, np.concatenate([[0], np.cumsum(n)])
 
 
+def looked_up(items: Items, flat: np.ndarray, offs: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """(text, item) positions of the short items of which a text holds percent of the shingles."""
+    if not len(items.short) or not len(flat):
+        return []
+    key = (flat & np.uint64((1 << items.short_bits) - 1)).astype(np.int64)
+    at = np.flatnonzero((items.short_seen[key >> 3] >> (key & 7).astype(np.uint8)) & np.uint8(1))
+    k = np.searchsorted(items.short, flat[at])
+    ok = items.short[np.minimum(k, len(items.short) - 1)] == flat[at]
+    doc = np.searchsorted(offs, at[ok], "right") - 1
+    held = np.unique(doc * len(items.short) + k[ok])  # a shingle counts once a text
+    doc, k = np.divmod(held, len(items.short))
+    many = np.diff(items.short_begin)[k]
+    total = np.concatenate([[0], np.cumsum(many)])
+    cut = np.append(np.flatnonzero(np.diff(doc, prepend=-1)), len(doc))  # where each text's shingles begin
+    found, lo = [], 0
+    while lo < len(cut) - 1:
+        hi = max(lo + 1, int(np.searchsorted(total[cut], total[cut[lo]] + BLOCK_PAIRS, "right")) - 1)
+        part = slice(cut[lo], cut[hi])
+        item = items.short_items[t.ragged(items.short_begin[k[part]], many[part])]
+        pair, shared = np.unique(np.repeat(doc[part], many[part]) * len(items.ids) + item, return_counts=True)
+        d, i = np.divmod(pair, len(items.ids))
+        enough = 100 * shared >= percent * items.size[i]
+        found += zip(d[enough].tolist(), i[enough].tolist())
+        lo = hi
+    return found
+
+
 def candidates(items: Items, flat: np.ndarray, offs: np.ndarray) -> list[tuple[int, int]]:
     """(text, item) positions that share a minhash in a window of the item's class."""
     found: set[tuple[int, int]] = set()
@@ -134,7 +183,7 @@ def leaks(items: Items, texts: pa.Array, percent: int) -> list[tuple[int, int, i
     out = []
     for i, j, flat, offs in _shingles(texts):
         own: tuple[int, set[str]] = (-1, set())
-        for d, item in candidates(items, flat, offs):
+        for d, item in sorted(looked_up(items, flat, offs, percent) + candidates(items, flat, offs)):
             if own[0] != d:
                 own = d, shingle_strings(texts[i + d].as_py())
             both = len(own[1] & items.sets[item])
