@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -15,10 +16,15 @@ _shipped: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The folder of spark.checkpoint.dir; a temporary one only where that is unset and the master is local (tests).
+
+    On a cluster executors share no temporary folder: without the setting this raises.
+    """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _fallback:
         _fallback[app] = "file://" + tempfile.mkdtemp(prefix="weftline-")
@@ -71,9 +77,16 @@ class Scratch:
         df.write.option("compression", compression).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def bucketed(self, df: DataFrame, name: str, by: str) -> DataFrame:
-        """df as a table bucketed by a column, which later joins and groups by it read without a shuffle."""
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+    def append(self, df: DataFrame, name: str, compression: str = "zstd") -> None:
+        """Adds a frame's rows to a table, which the caller reads when it is whole."""
+        df.write.mode("append").option("compression", compression).parquet(self.path(name))
+
+    def bucketed(self, df: DataFrame, name: str, by: str, buckets: int | None = None) -> DataFrame:
+        """df as a table bucketed by a column, which later joins and groups by it read without a shuffle.
+
+        buckets: as many as shuffle partitions at least.
+        """
+        n = max(buckets or 0, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
         entry = f"weftline_{name}_{uuid.uuid4().hex}"
         df.write.bucketBy(n, by).option("compression", "none").option("path", self.path(name)).saveAsTable(entry)
         out = self.spark.table(entry)
