@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from . import _text as t
+
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,34 +61,77 @@ class IntMap:
 
 
 class PieceCache:
-    """Token ids of text pieces by the piece's hash, of at most `limit` pieces; a fuller cache starts anew."""
+    """Token ids of text pieces, found by the piece's hash and confirmed by its bytes.
+
+    Holds at most `limit` pieces, and `limit` * 4 ids and numbers of text; a
+    fuller cache starts anew, so one lookup may go beyond by what it brings.
+    """
 
     def __init__(self, limit: int = 1_000_000):
         self.limit = limit
         self._reset()
 
     def _reset(self) -> None:
-        self.map, self.used, self.n = IntMap(16), 0, 0
+        self.map, self.used, self.n, self.filled = IntMap(16), 0, 0, 0
         self.pool = np.zeros(1 << 16, np.uint32)
-        self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def lookup(self, hashes: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.rest = np.zeros(1 << 16, np.uint64)
+        self.head = np.zeros(1 << 14, np.uint64)
+        self.start, self.size, self.begin, self.length = (np.zeros(1 << 14, np.int64) for _ in range(4))
+
+    @staticmethod
+    def _fit(x: np.ndarray, n: int) -> np.ndarray:
+        while n > len(x):
+            x = np.concatenate([x, np.zeros_like(x)])
+        return x
+
+    def _ids(self, flat: np.ndarray) -> int:
+        """Where the ids now lie in the pool."""
+        self.pool = self._fit(self.pool, self.used + len(flat))
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
+        return self.used - len(flat)
+
+    def _add(self, hashes: np.ndarray, one: np.ndarray, text: t.Blocks, flat: np.ndarray, sizes: np.ndarray) -> None:
+        lo, hi = self.n, self.n + len(one)
+        self.head, self.start, self.size, self.begin, self.length = (self._fit(x, hi) for x in (self.head, self.start, self.size, self.begin, self.length))
+        more = np.zeros(len(text.head), np.int64)
+        more[text.long] = text.more
+        first = np.zeros(len(text.head), np.int64)
+        first[text.long] = text.first
+        more, first = more[one], first[one]
+        n = int(more.sum())
+        self.rest = self._fit(self.rest, self.filled + n)
+        self.rest[self.filled : self.filled + n] = text.rest[t.ragged(first, more)]
+        self.head[lo:hi], self.length[lo:hi] = text.head[one], text.length[one]
+        self.begin[lo:hi] = self.filled + np.cumsum(more) - more
+        self.start[lo:hi] = self._ids(flat) + np.cumsum(sizes) - sizes
+        self.size[lo:hi] = sizes
+        self.map.put(hashes, np.arange(lo, hi))
+        self.n, self.filled = hi, self.filled + n
+
+    def lookup(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(starts in the pool, sizes, pool) of each piece. encode(positions) gives (flat ids, sizes) of new pieces."""
-        if self.n > self.limit:
+        if self.n > self.limit or max(self.used, self.filled) > 4 * self.limit:
             self._reset()
+        text = t.Blocks(data, starts, ends)
+        hashes = text.hashes()
         at = self.map.get(hashes)
         missing = np.flatnonzero(at < 0)
         if len(missing):
-            new, first, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
-            flat, sizes = encode(missing[first])
-            while self.used + len(flat) > len(self.pool):
-                self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-            while self.n + len(new) > len(self.start):
-                self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-            self.pool[self.used : self.used + len(flat)] = flat
-            self.start[self.n : self.n + len(new)] = self.used + np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            self.size[self.n : self.n + len(new)] = sizes
-            self.map.put(new, self.n + np.arange(len(new)))
+            new, one, back = np.unique(hashes[missing], return_index=True, return_inverse=True)
             at[missing] = self.n + back.reshape(-1)
-            self.used, self.n = self.used + len(flat), self.n + len(new)
-        return self.start[at], self.size[at], self.pool
+            one = missing[one]
+            self._add(new, one, text, *encode(one))
+        begin, size = self.start[at], self.size[at]
+        same = (self.length[at] == text.length) & (self.head[at] == text.head)
+        on = np.flatnonzero(same[text.long])
+        more = text.more[on]
+        apart = self.rest[t.ragged(self.begin[at[text.long[on]]], more)] != text.rest[t.ragged(text.first[on], more)]
+        if apart.any():
+            same[text.long[on[np.repeat(np.arange(len(on)), more)[apart]]]] = False
+        other = np.flatnonzero(~same)  # pieces that only share a hash with what is held
+        if len(other):
+            flat, sizes = encode(other)
+            begin[other] = self._ids(flat) + np.cumsum(sizes) - sizes
+            size[other] = sizes
+        return begin, size, self.pool

@@ -1,8 +1,8 @@
 """Vectorised text kernels over the UTF-8 buffers of Arrow string columns.
 
 Words are maximal runs of bytes other than 0x20 and 0x09-0x0D, which in UTF-8
-are the runs of `[^\\x20\\x09-\\x0D]+`. Hashes are 64-bit and depend on the
-bytes alone.
+are the runs of `[^\\x20\\x09-\\x0D]+`. Hashes are 64-bit, depend on the bytes
+alone and are no linear function of them.
 """
 
 from __future__ import annotations
@@ -22,9 +22,7 @@ _WS = np.zeros(256, bool)
 _WS[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_PRIME = int(0x9E3779B97F4A7C15) | 1
-_INVERSE = pow(_PRIME, -1, 1 << 64)
-_powers: list[np.ndarray] = []
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -37,18 +35,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, _BLOCK + 1)
-        made = []
-        for base in (_PRIME, _INVERSE):
-            p = np.full(size, base, U64)
-            p[0] = 1
-            made.append(np.multiply.accumulate(p))
-        _powers[:] = made
-    return _powers
-
-
 def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets of the rows within the bytes); null is empty."""
     texts = texts.cast(pa.large_string())
@@ -87,26 +73,53 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+class Blocks:
+    """The bytes of spans as numbers of 8 bytes, the last one of a span filled up with zeros.
+
+    head: each span's first number; rest: the others of the spans at `long`,
+    one span after another, `more` of each.
+    """
+
+    def __init__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        wide = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+        self.length = ends - starts
+        self.head = wide[starts] & _MASK[np.minimum(self.length, 8)]
+        self.long = np.flatnonzero(self.length > 8)
+        self.more = (self.length[self.long] - 1) >> 3
+        self.first = np.cumsum(self.more) - self.more
+        owner = np.repeat(np.arange(len(self.long)), self.more)
+        self.place = np.arange(len(owner)) - self.first[owner] + 1
+        at = starts[self.long][owner] + 8 * self.place
+        self.rest = wide[at] & _MASK[np.minimum(ends[self.long][owner] - at, 8)]
+
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """A hash of each span; seeds give independent hashes.
+
+        Every number is scrambled with a key of its place before a span's are
+        added up, so that no arithmetic relation between texts survives; two
+        spans of up to 8 bytes and one length never share a hash.
+        """
+        keys = lambda place: mix((place * U64(0x2545F4914F6CDD1D) + U64(seed + 1)) * U64(0x9E3779B97F4A7C15))
+        total = mix(self.head ^ keys(np.zeros(1, U64)))
+        if len(self.long):
+            total[self.long] += np.add.reduceat(mix(self.rest ^ keys(self.place.astype(U64))), self.first)
+        total += self.length.astype(U64) * U64(0xD6E8FEB86659FD93)
+        return mix(total)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True, seed: int = 0) -> np.ndarray:
     """A hash of the bytes of each of the ascending, disjoint spans; fold lower-cases A-Z."""
     out = np.empty(len(starts), U64)
-    values = np.arange(1, 257, dtype=U64)
-    if fold:
-        values = values[_FOLD]
     k = 0
     while k < len(starts):
         e = max(k + 1, int(np.searchsorted(ends, starts[k] + _BLOCK, "right")))
         lo, hi = int(starts[k]), int(ends[e - 1])
-        power, inverse = _power_tables(hi - lo + 1)
-        v = values[data[lo:hi]]
-        v *= power[: hi - lo]
-        # Each span's sum; what lies between spans falls into every second segment.
-        cut = np.empty(2 * (e - k), np.int64)
-        cut[0::2], cut[1::2] = starts[k:e] - lo, ends[k:e] - lo
-        out[k:e] = np.add.reduceat(v, cut[:-1])[0::2] * inverse[starts[k:e] - lo]
+        part = _FOLD[data[lo:hi]] if fold else data[lo:hi]
+        out[k:e] = Blocks(part, starts[k:e] - lo, ends[k:e] - lo).hashes(seed)
         k = e
-    out += (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93)
-    return mix(out)
+    return out
 
 
 _SHINGLE = np.array([0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], U64)
@@ -162,10 +175,6 @@ def multipliers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     return x[:n] | U64(1), x[n:]
 
 
-def segment_min(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    return np.minimum.reduceat(values, starts)
-
-
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices start, start+1, ... of each of many runs, one after another."""
     total = int(lengths.sum())

@@ -15,7 +15,7 @@ moved into place).
 
 Texts are encoded with the tokenizers library. Its normaliser and split
 pattern never look across white space, so each distinct run of other
-characters is encoded once a worker, in batches, and looked up by its hash
+characters is encoded once a worker, in batches, and looked up by its bytes
 from then on.
 """
 
@@ -69,8 +69,7 @@ class Encoder:
     def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts, each with the end id after it, and each text's first id (n + 1 entries)."""
         starts, ends, first = t.word_bounds(data, offsets)
-        hashes = t.span_hashes(data, starts, ends, fold=False)
-        begin, size, pool = self.cache.lookup(hashes, lambda at: self._encode(data, starts[at], ends[at]))
+        begin, size, pool = self.cache.lookup(data, starts, ends, lambda at: self._encode(data, starts[at], ends[at]))
         total = np.concatenate([[0], np.cumsum(size)])[first]
         n = np.arange(len(offsets))
         out = np.full(int(total[-1]) + len(offsets) - 1, end_id, np.uint32)
