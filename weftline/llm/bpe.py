@@ -12,8 +12,11 @@ a worker, in batches:
    if and only if some pair of pieces that lived side by side has a merge that
    comes before the merges that took them up. Tokens whose joins all hold are
    what merging gives,
-3. only pieces with a join that fails, and pieces longer than LONG bytes, are
-   merged exactly, pair by pair.
+3. only pieces with a join that fails are merged exactly, pair by pair.
+
+Pieces of up to LONG bytes walk side by side, a token a step. A longer one
+would walk alone, so the longest match is found at each of its bytes, all at
+once, and its tokens are the matches met in hops from the first byte.
 """
 
 from __future__ import annotations
@@ -34,8 +37,10 @@ from . import _text as t
 from ._intmap import IntMap, PieceCache
 from ._session import ship
 
-#: Bytes of a piece up to which its tokens are guessed.
+#: Bytes up to which pieces walk side by side, and are merged without a heap; results are the same beyond.
 LONG = 64
+#: Bytes of a longer piece that are matched at once.
+_BLOCK = 1 << 16
 #: White space of the split pattern.
 _SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _SPACE, _LETTER, _DIGIT, _OTHER = range(4)
@@ -171,29 +176,48 @@ class ByteBpe:
         self.edges.put(np.array(list(edges), np.uint64) + np.uint64(1), list(edges.values()))
         self.token = np.array(token, np.int64)
 
+    def _longest(self, data: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The longest token that begins at each place and lies before the place's end, and where it stops."""
+        node, pos = np.zeros(len(at), np.int64), at.copy()
+        best, stop = np.full(len(at), -1, np.int64), at.copy()
+        walk = np.arange(len(at))
+        while len(walk):
+            node_at = self.edges.get(node[walk].astype(np.uint64) * np.uint64(256) + data[pos[walk]] + np.uint64(1))
+            on = node_at >= 0
+            walk, node_at = walk[on], node_at[on]
+            node[walk] = node_at
+            pos[walk] += 1
+            got = self.token[node_at]
+            hit = got >= 0
+            best[walk[hit]], stop[walk[hit]] = got[hit], pos[walk[hit]]
+            walk = walk[pos[walk] < ends[walk]]
+        return best, stop
+
     def _greedy(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Longest matches: flat ids and the number for each span."""
-        spans, ids = [], []
-        live, at = np.arange(len(starts)), starts.copy()
+        spans, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        live = np.flatnonzero(ends - starts <= LONG)
+        at = starts[live]
         while len(live):
-            node = np.zeros(len(live), np.int64)
-            pos = at.copy()
-            best, stop = np.full(len(live), -1, np.int64), at.copy()
-            walk = np.arange(len(live))
-            while len(walk):
-                node_at = self.edges.get(node[walk].astype(np.uint64) * np.uint64(256) + data[pos[walk]] + np.uint64(1))
-                on = node_at >= 0
-                walk, node_at = walk[on], node_at[on]
-                node[walk] = node_at
-                pos[walk] += 1
-                got = self.token[node_at]
-                hit = got >= 0
-                best[walk[hit]], stop[walk[hit]] = got[hit], pos[walk[hit]]
-                walk = walk[pos[walk] < ends[live[walk]]]
+            best, stop = self._longest(data, at, ends[live])
             spans.append(live)
             ids.append(best)
             on = stop < ends[live]
             live, at = live[on], stop[on]
+        for k in np.flatnonzero(ends - starts > LONG):
+            found: list[np.ndarray] = []
+            hop = 0  # where the next token begins, from the start of the block
+            for lo in range(int(starts[k]), int(ends[k]), _BLOCK):
+                places = np.arange(lo, min(lo + _BLOCK, int(ends[k])))
+                best, stop = self._longest(data, places, np.full(len(places), ends[k]))
+                to, met = (stop - lo).tolist(), []
+                while hop < len(to):
+                    met.append(hop)
+                    hop = to[hop]
+                hop -= len(to)
+                found.append(best[met])
+            ids += found
+            spans.append(np.full(sum(map(len, found)), k))
         owner, flat = np.concatenate(spans), np.concatenate(ids)
         order = np.argsort(owner, kind="stable")
         return flat[order], np.bincount(owner, minlength=len(starts))
@@ -259,27 +283,25 @@ class ByteBpe:
 
     def pieces(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and their number for each of the pieces."""
-        short = np.flatnonzero(ends - starts <= LONG)
-        flat, count = self._greedy(data, starts[short], ends[short])
-        owner = np.repeat(np.arange(len(short)), count)
+        flat, sizes = self._greedy(data, starts, ends)
+        owner = np.repeat(np.arange(len(starts)), sizes)
         inner = np.flatnonzero(owner[1:] == owner[:-1])
         pair = flat[inner].astype(np.uint64) << np.uint64(32) | flat[inner + 1].astype(np.uint64)
         pair, back = np.unique(pair, return_inverse=True)
         good = self.joins((pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64))[back.reshape(-1)]
-        bad = np.zeros(len(short), bool)
+        bad = np.zeros(len(starts), bool)
         bad[owner[inner[~good]]] = True
         bad[owner[~self.token_ok[flat]]] = True
-        sizes = np.zeros(len(starts), np.int64)
-        sizes[short] = count
-        exact = np.concatenate([short[bad], np.flatnonzero(ends - starts > LONG)])
+        exact = np.flatnonzero(bad)
+        if not len(exact):
+            return flat.astype(np.uint32), sizes
         found = [self.merge(data[starts[p] : ends[p]].tobytes()) for p in exact.tolist()]
+        kept = flat[~bad[owner]]
         sizes[exact] = [len(f) for f in found]
         out = np.empty(int(sizes.sum()), np.uint32)
-        begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        keep = ~bad[owner]
-        out[t.ragged(begin[short[~bad]], sizes[short[~bad]])] = flat[keep]
-        if len(exact):
-            out[t.ragged(begin[exact], sizes[exact])] = np.concatenate([np.array(f, np.uint32) for f in found])
+        begin = np.cumsum(sizes) - sizes
+        out[t.ragged(begin[~bad], sizes[~bad])] = kept
+        out[t.ragged(begin[exact], sizes[exact])] = np.concatenate([np.array(f, np.uint32) for f in found])
         return out, sizes
 
     def _alone(self) -> np.ndarray:
@@ -300,10 +322,9 @@ class ByteBpe:
         for a, b, _ in found:
             starts = starts[(starts <= a) | (starts >= b)]
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
-        hashes = t.span_hashes(data, starts, ends, fold=False)
         is_special = np.isin(starts, marks)
         plain = np.flatnonzero(~is_special)
-        begin, size, pool = self.cache.lookup(hashes[plain], lambda at: self.pieces(data, starts[plain[at]], ends[plain[at]]))
+        begin, size, pool = self.cache.lookup(data, starts[plain], ends[plain], lambda at: self.pieces(data, starts[plain[at]], ends[plain[at]]))
         sizes = np.ones(len(starts), np.int64)
         sizes[plain] = size
         first = np.concatenate([[0], np.cumsum(sizes)])
