@@ -27,11 +27,11 @@ def labels(spark, documents):
 
 
 def test_near_duplicates(documents, pairs):
-    got = by_id(near_dup.near_duplicates(documents), "n_shingles", "component_id", "kept")
-    assert got == brute.near_duplicates(pairs)
-    assert near_dup.near_duplicates(documents).count() == documents.count()
-    kept = [r[0] for r in near_dup.keep_one(documents).select("doc_id").collect()]
-    assert set(kept) - {None} == {d for d, v in got.items() if v[2]} and near_dup.keep_one(documents).columns == documents.columns
+    out = near_dup.near_duplicates(documents).cache()
+    got = by_id(out, "n_shingles", "component_id", "kept")
+    assert got == brute.near_duplicates(pairs) and out.count() == documents.count()
+    kept = near_dup.keep_one(documents)
+    assert {r[0] for r in kept.select("doc_id").collect()} - {None} == {d for d, v in got.items() if v[2]} and kept.columns == documents.columns
 
 
 def test_near_duplicate_groups_in_blocks(spark, monkeypatch):
@@ -43,10 +43,87 @@ def test_near_duplicate_groups_in_blocks(spark, monkeypatch):
         for _ in range(rng.randrange(4)):
             w[rng.randrange(len(w))] = str(rng.randrange(10**6))
         rows.append((k, " ".join(w)))
+    for k in range(40):  # a chain: each text is like the one before it, and not like the first ones
+        w = [str(1000 + i) for i in range(200)][5 * k :] + [str(5000 + i) for i in range(5 * k)]
+        rows.append((400 + k, " ".join(w)))
     monkeypatch.setattr(near_dup, "BUCKET_CAP", 40)
-    monkeypatch.setattr(near_dup, "GROUP_CAP", 4000)
+    monkeypatch.setattr(near_dup, "GROUP_ROWS", 16)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    assert by_id(near_dup.near_duplicates(docs), "n_shingles", "component_id", "kept") == brute.near_duplicates(rows)
+    want = brute.near_duplicates(rows)
+    assert by_id(near_dup.near_duplicates(docs), "n_shingles", "component_id", "kept") == want
+    monkeypatch.setattr(near_dup, "HUBS", 1)
+    monkeypatch.setattr(near_dup, "GROUP_CAP", 4000)
+    assert by_id(near_dup.near_duplicates(docs), "n_shingles", "component_id", "kept") == want
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    rng = random.Random(8)
+    a, b = (" ".join(str(rng.randrange(10**6)) for _ in range(60)) for _ in range(2))
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b)], "doc_id long, text string")
+    assert {r[0]: r[2] for r in near_dup.near_duplicates(docs).collect()} == {3: 3, 5: 3, 9: 3}
+    assert {r[0] for r in near_dup.keep_one(docs).collect()} == {3}
+
+
+def mirrored():
+    """Two words that a polynomial hash modulo 2^64 cannot tell apart."""
+    x = "a"
+    for _ in range(10):
+        x += x.translate({97: 98, 98: 97})
+    return x, x.translate({97: 98, 98: 97})
+
+
+def test_mirrored_words_are_told_apart(spark):
+    from tokenizers import Tokenizer
+
+    x, y = mirrored()
+    rows = [(1, f"xa {x}"), (2, f"xa {y}"), (3, f"{x}\n{y}"), (4, f"xa {x}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r[0]: r[2] for r in near_dup.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 1}
+    labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert by_id(quality_rules.judge(docs, labels), "n_dup_lines")[3] == (0,)
+    for d, (n, ids, text) in by_id(bpe.digests(docs, queries.BYTE_BPE), "n_tokens", "ids_sha256", "decoded_sha256").items():
+        want = Tokenizer.from_file(queries.BYTE_BPE).encode(dict(rows)[d], add_special_tokens=False).ids
+        assert (n, ids, text) == (len(want), hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest(), brute.sha(dict(rows)[d]))
+    for d, _, n, crc in token_output.round_trip(docs, queries.WORD_BPE).collect():
+        want = [*Tokenizer.from_file(queries.WORD_BPE).encode(dict(rows)[d], add_special_tokens=False).ids, 2]
+        assert (n, crc) == (len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+    held = next(k for k in range(10, 99) if brute.fold(k, 7) == 2)
+    learned = [k for k in range(10, 99) if brute.fold(k, 7) != 2][:2]
+    docs = spark.createDataFrame([(held, f"xa {x}"), *((k, f"xa {y}") for k in learned)], "doc_id long, text string")
+    assert by_id(katz.score(docs), "n_known")[held] == (2,)
+
+
+def test_piece_cache_compares_bytes(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from weftline.llm import _text
+
+    monkeypatch.setattr(_text.Blocks, "hashes", lambda self, seed=0: self.length.astype(np.uint64) % np.uint64(3))
+    library, model = Tokenizer.from_file(queries.BYTE_BPE), bpe.ByteBpe(open(queries.BYTE_BPE).read())
+    texts = ["the cat sat", "the dog ran", "then they thoroughly reconsidered", "aaaaaaaabbbbbbbbc aaaaaaaabbbbbbbbd"] * 2
+    for text in texts:
+        (_, _, data, offsets), = _text.slices(pa.array([text]))
+        assert model.encode(data, offsets)[0].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_long_pieces_are_guessed_too(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from weftline.llm import _text
+
+    library, model = Tokenizer.from_file(queries.BYTE_BPE), bpe.ByteBpe(open(queries.BYTE_BPE).read())
+    monkeypatch.setattr(bpe, "_BLOCK", 50)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("etaoin") for _ in range(n)) for n in (63, 64, 65, 150, 3000)] + ["=" * 400, "the" * 90]
+    merged = []
+    exact = model.merge
+    monkeypatch.setattr(model, "merge", lambda piece: merged.append(piece) or exact(piece))
+    (_, _, data, offsets), = _text.slices(pa.array(texts))
+    ids, first = model.encode(data, offsets)
+    assert [ids[first[k] : first[k + 1]].tolist() for k in range(len(texts))] == [library.encode(x, add_special_tokens=False).ids for x in texts]
+    assert b"=" * 400 not in merged and b"the" * 90 not in merged  # every join holds, so nothing is merged
 
 
 def test_near_duplicates_from_80_percent(spark):
@@ -69,7 +146,7 @@ def test_link_is_exact():
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1000, 300)
     sets = [np.unique(np.where(rng.random(300) < rng.random() * 0.2, rng.integers(0, 10**6, 300), base)).astype(np.uint64) for _ in range(60)]
-    root = near_dup.link(sets, 85)
+    root = near_dup.link(sets, [s * np.uint64(3) for s in sets], 85)
     parent = list(range(60))
     for i in range(60):
         for j in range(i):

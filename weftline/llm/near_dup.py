@@ -7,8 +7,8 @@ has its whole sequence as one shingle; a text without words has none).
 1. Each text gets two collections of M half-keys of R minhashes each, so
    2 * M * R minhashes serve the M * M tables whose keys combine a half-key of
    the first collection with one of the second.
-2. Texts with equal shingle sets (128-bit set fingerprint) form a class; only
-   one row per class goes on.
+2. Texts with equal shingle sets (two fingerprints of 64 bits, each from a hash
+   of the words of its own) form a class; only one row per class goes on.
 3. Classes that share a table key form a bucket. Equal buckets of different
    tables are merged by their membership, so that a group of copies is looked
    at once, not M * M times.
@@ -17,8 +17,13 @@ has its whole sequence as one shingle; a text without words has none).
    every similar pair of the buckets (a pair at the threshold fails the screen
    with a probability below 1e-6).
 5. In a candidate group, full shingle sets decide every link that can still
-   change the components. Oversize buckets and groups are cut into blocks of
-   bounded size and every pair of blocks is worked on.
+   change the components; a link counts if both hashes of the shingles say so.
+   A group of more than GROUP_ROWS texts or GROUP_CAP shingles is first held
+   against its HUBS most screened texts, slice by slice, in one pass; a text
+   that is linked with a hub is absorbed. Then only the texts that no hub
+   absorbed meet the group, block by block: work grows with a group's size
+   times the number of its texts apart from the hubs, not with its square, and
+   no task gets more than about two blocks.
 
 A pair at exactly a threshold of J shares a table with a probability of
 (1 - (1 - J^R)^M)^2: 0.99993 with R = 2 and M = 8 at 0.85. Thresholds from 0.8
@@ -31,11 +36,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as t
 from ._graph import block_pairs, connected_components
+from ._place import file_of, in_place
 from ._session import Scratch, ship, small
 
 R, M = 2, 8
@@ -44,33 +50,36 @@ SKETCH = 64
 SCREEN = 38
 #: M and SCREEN for thresholds from 80 to below 85 percent.
 LOW_M, LOW_SCREEN = 10, 34
-#: Members of a bucket, and shingles of a candidate group, that one task takes on.
+#: Members of a bucket, and texts and shingles of a candidate group, that one task takes on.
 BUCKET_CAP = 8192
-GROUP_CAP = 2_000_000
+GROUP_ROWS = 128
+GROUP_CAP = 500_000
+#: Texts of a larger candidate group that all others are compared with first.
+HUBS = 4
 
 _MUL, _ADD = t.multipliers(SKETCH, 3)
-_FP = t.multipliers(2, 17)[0]
+_FP = t.multipliers(1, 17)[0]
 
-_SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, a array<long>, b array<long>, sketch binary"
+_SIGNED = "doc_id long, file string, n_shingles long, f1 long, f2 long, a array<long>, b array<long>, sketch binary"
 
+#: Sets of shingles, a text after the other: the sorted hashes and each text's first (n + 1 entries).
+Sets = tuple[np.ndarray, np.ndarray]
 
-def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, distinct sorted shingles, offsets) of slices of the texts."""
+
+def shingle_sets(texts: pa.Array) -> Iterator[tuple[int, int, Sets, Sets]]:
+    """(first row, end row, sets by one hash of the words, sets by another) of slices of the texts."""
     for i, j, data, offsets in t.slices(texts):
         starts, ends, first = t.word_bounds(data, offsets)
-        flat, offs = t.shingle_hashes(t.span_hashes(data, starts, ends), first)
-        flat, offs = t.distinct_sorted(flat, offs)
-        yield i, j, flat, offs
+        one, two = (t.distinct_sorted(*t.shingle_hashes(t.span_hashes(data, starts, ends, seed=k), first)) for k in range(2))
+        yield i, j, one, two
 
 
-def fingerprints(flat: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = len(offs) - 1
-    out = np.zeros((2, n), np.uint64)
+def fingerprint(flat: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(offs) - 1, np.uint64)
     some = np.flatnonzero(np.diff(offs))
     if len(some):
-        for k in range(2):
-            out[k, some] = np.add.reduceat(t.mix(flat * _FP[k]), offs[:-1][some])
-    return out[0], out[1]
+        out[some] = np.add.reduceat(t.mix(flat * _FP), offs[:-1][some])
+    return out.view(np.int64)
 
 
 def minhashes(flat: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -93,9 +102,7 @@ def minhashes(flat: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def _sign(m: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0)
-            for i, j, flat, offs in shingle_sets(batch.column(1)):
-                f1, f2 = fingerprints(flat, offs)
+            for i, j, (flat, offs), other in shingle_sets(batch.column("text")):
                 mins = minhashes(flat, offs)
                 halves = []
                 for side in range(2):
@@ -106,14 +113,15 @@ def _sign(m: int):
                 sketch = np.ascontiguousarray(mins.astype(np.uint8))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(i, j - i),
+                        batch.column("doc_id").slice(i, j - i),
+                        batch.column("file").slice(i, j - i),
                         pa.array(np.diff(offs).astype(np.int64)),
-                        pa.array(f1.view(np.int64)),
-                        pa.array(f2.view(np.int64)),
+                        pa.array(fingerprint(flat, offs)),
+                        pa.array(fingerprint(*other)),
                         *halves,
                         t.binary_array([row.tobytes() for row in sketch]),
                     ],
-                    ["doc_id", "n_shingles", "f1", "f2", "a", "b", "sketch"],
+                    ["doc_id", "file", "n_shingles", "f1", "f2", "a", "b", "sketch"],
                 )
 
     return run
@@ -203,28 +211,35 @@ def _forest(node: np.ndarray, size: np.ndarray, sketch: np.ndarray, percent: int
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingle set of each row whose text has the row's fingerprint."""
+    """Both shingle sets of each row whose text has the row's fingerprints."""
     for batch in batches:
-        keep = {name: batch.column(name) for name in ("component", "rep", "total")}
+        keep = {name: batch.column(name) for name in ("component", "rep", "rows", "total", "degree")}
         want = [batch.column(name).to_numpy(zero_copy_only=False) for name in ("f1", "f2")]
-        for i, j, flat, offs in shingle_sets(batch.column("text")):
-            f1, f2 = fingerprints(flat, offs)
-            ok = (f1.view(np.int64) == want[0][i:j]) & (f2.view(np.int64) == want[1][i:j])
-            rows = np.flatnonzero(ok)
-            sets = t.binary_array([flat[offs[r] : offs[r + 1]].tobytes() for r in rows])
+        for i, j, one, two in shingle_sets(batch.column("text")):
+            rows = np.flatnonzero((fingerprint(*one) == want[0][i:j]) & (fingerprint(*two) == want[1][i:j]))
+            sets = [t.binary_array([flat[offs[r] : offs[r + 1]].tobytes() for r in rows]) for flat, offs in (one, two)]
             take = pa.array(rows + i)
-            yield pa.RecordBatch.from_arrays([*(c.take(take) for c in keep.values()), sets], [*keep, "shingles"])
+            yield pa.RecordBatch.from_arrays([*(c.take(take) for c in keep.values()), *sets], [*keep, "shingles", "others"])
+
+
+_MEMBER = "component long, rep long, rows long, total long, degree long, shingles binary, others binary"
 
 
-def link(sets: list[np.ndarray], percent: int) -> np.ndarray:
+def similar(both: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray:
+    return 100 * both >= percent * (a + b - both)
+
+
+def link(sets: list[np.ndarray], others: list[np.ndarray], percent: int, root: np.ndarray | None = None, active: np.ndarray | None = None) -> np.ndarray:
     """For each set the smallest position connected with it by links of 100 * intersection >= percent * union.
 
-    One set after another, the most typical first, is compared with all sets
+    `others` holds the same sets by another hash and must confirm a link. One
+    set after another, the most typical first, is compared with all sets
     outside its component; so copies of one text cost one pass, and a pair is
-    left out only where it cannot change the components.
+    left out only where it cannot change the components. `root` says what is
+    connected already, `active` which sets are compared with the rest (all).
     """
     n = len(sets)
-    parent = np.arange(n)
+    parent = np.arange(n) if root is None else root.copy()
     sizes = np.array([len(s) for s in sets], np.int64)
     flat, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     inverse = inverse.reshape(-1)
@@ -233,69 +248,148 @@ def link(sets: list[np.ndarray], percent: int) -> np.ndarray:
     mark = np.zeros(len(flat), np.int32)
     done = np.zeros(n, bool)
     for x in np.argsort(-typical, kind="stable"):
+        if active is not None and not active[x]:
+            continue
         done[x] = True
-        others = np.flatnonzero((parent != parent[x]) & ~done & (100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x])))
-        if not len(others):
+        near = np.flatnonzero((parent != parent[x]) & ~done & (100 * np.minimum(sizes, sizes[x]) >= percent * np.maximum(sizes, sizes[x])))
+        if not len(near):
             if (parent == parent[0]).all():
                 break
             continue
         own = inverse[offs[x] : offs[x + 1]]
         mark[own] = 1
-        at = np.concatenate([[0], np.cumsum(sizes[others])])
-        both = np.add.reduceat(mark[inverse[t.ragged(offs[others], sizes[others])]], at[:-1])
+        at = np.concatenate([[0], np.cumsum(sizes[near])])
+        both = np.add.reduceat(mark[inverse[t.ragged(offs[near], sizes[near])]], at[:-1])
         mark[own] = 0
-        hit = others[100 * both >= percent * (sizes[others] + sizes[x] - both)]
+        hit = near[similar(both, sizes[near], sizes[x], percent)]
+        hit = hit[[similar(len(np.intersect1d(others[x], others[y], True)), len(others[x]), len(others[y]), percent) for y in hit.tolist()]] if len(hit) else hit
         if len(hit):
             roots = np.unique(np.append(parent[hit], parent[x]))
             parent[np.isin(parent, roots)] = roots[0]
     return parent
 
 
+def _members(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.Table, list[np.ndarray], list[np.ndarray]]]:
+    """Groups of rows without repeats, and both sets of their rows."""
+    for table, bounds in groups(batches, keys):
+        for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            one = table.slice(lo, hi - lo)
+            raw, rep = one.column("shingles").to_pylist(), one.column("rep").to_pylist()
+            rows = sorted({(r, x): k for k, (r, x) in enumerate(zip(rep, raw))}.values())
+            if len(rows) > 1:
+                other = one.column("others").to_pylist()
+                yield one.take(rows), [np.frombuffer(raw[k], np.uint64) for k in rows], [np.frombuffer(other[k], np.uint64) for k in rows]
+
+
+def _edges(ids: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+    moved = np.flatnonzero(root != np.arange(len(ids)))
+    return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["u", "v"])
+
+
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table, bounds in groups(batches, 3):
-            node = table.column("rep").to_numpy()
-            raw = table.column("shingles")
-            u, v = [], []
-            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-                once = {(int(node[k]), raw[k].as_py()): None for k in range(lo, hi)}
-                if len(once) < 2:
-                    continue
-                ids = np.array([k for k, _ in once], np.int64)
-                root = link([np.frombuffer(s, np.uint64) for _, s in once], percent)
-                moved = np.flatnonzero(root != np.arange(len(ids)))
-                u.append(ids[moved])
-                v.append(ids[root[moved]])
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+        for table, sets, others in _members(batches, 2):
+            yield _edges(table.column("rep").to_numpy(), link(sets, others, percent))
 
     return run
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
+def _absorb(percent: int):
+    """(component, rep, hub) of the texts of a slice, its hubs among them.
 
-    component_id is the smallest doc_id reachable over links with
-    100 * intersection >= percent * union of shingle sets (percent from 80 to
-    100), itself included; kept says whether doc_id is that id. A null or empty
-    text, or one of white space, has no shingle and is linked with nothing.
-    Rows that repeat a doc_id are one document: what links one of their texts
-    links them all. A row
-    with a null doc_id has a null component, links nothing and is kept. Other
-    columns are not read.
+    Of the hubs those count that hang together with the most others; all texts
+    linked with one of them get the same hub, the others null.
     """
+
+    def alike(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray]) -> bool:
+        a, b = len(x[0]), len(y[0])
+        return 100 * min(a, b) >= percent * max(a, b) and all(similar(len(np.intersect1d(p, q, True)), len(p), len(q), percent) for p, q in zip(x, y))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, bounds in groups(batches, 2):
+            for lo, hi in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                one = table.slice(lo, hi - lo)
+                rep, is_hub = one.column("rep").to_numpy(), np.asarray(one.column("is_hub"))
+                sets = list(zip(*([np.frombuffer(x, np.uint64) for x in one.column(c).to_pylist()] for c in ("shingles", "others"))))
+                hubs = np.flatnonzero(is_hub).tolist()
+                label = {h: h for h in hubs}
+                for x in hubs:
+                    for y in hubs:
+                        if x < y and label[x] != label[y] and alike(sets[x], sets[y]):
+                            label = {h: label[x] if v == label[y] else v for h, v in label.items()}
+                sizes = {v: list(label.values()).count(v) for v in label.values()}
+                main = max(sizes, key=lambda v: (sizes[v], -v))
+                main = [h for h in hubs if label[h] == main]
+                found = [k in main or not is_hub[k] and any(alike(sets[k], sets[h]) for h in main) for k in range(len(rep))]
+                hub = pa.array(np.full(len(rep), rep[main].min()), mask=~np.array(found))
+                yield pa.RecordBatch.from_arrays([one.column("component").combine_chunks(), one.column("rep").combine_chunks(), hub], ["component", "rep", "hub"])
+
+    return run
+
+
+def _rest(percent: int):
+    """Links of the texts that no hub absorbed with those of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, sets, others in _members(batches, 3):
+            apart = np.asarray(table.column("hub").is_null())
+            start = np.arange(len(apart))
+            start[~apart] = start[~apart][:1]  # one component already
+            yield _edges(table.column("rep").to_numpy(), link(sets, others, percent, start, apart))
+
+    return run
+
+
+def _linked(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Edges (u, v) that connect what the shingle sets of the candidate groups link."""
+    keys = ["component", "bi"]
+    large = (F.col("rows") > GROUP_ROWS) | (F.col("total") > GROUP_CAP)
+    whole = sets.where(~large).select("component", F.lit(0).alias("bi"), "rep", "shingles", "others")
+    edges = whole.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_verify(percent), "u long, v long")
+
+    sets = sets.where(large)
+    if sets.isEmpty():
+        return edges
+    n = F.ceil(F.greatest(F.col("rows") / F.lit(GROUP_ROWS), F.col("total") / F.lit(GROUP_CAP))).cast("int")
+    own = F.pmod(F.xxhash64("rep"), n).cast("int")
+    every = F.sequence(F.lit(0), n - 1)
+    typical = Window.partitionBy("component").orderBy(F.desc("degree"), "rep")
+    hubs = sets.select("component", "rep", "degree").distinct().withColumn("k", F.row_number().over(typical)).where(F.col("k") <= HUBS).select(F.col("rep").alias("hub"))
+    hubs = sets.join(small(hubs, hubs.count()), sets.rep == F.col("hub"), "left").withColumn("is_hub", F.col("hub").isNotNull()).drop("hub")
+    slices = hubs.withColumn("bi", F.explode(F.when(F.col("is_hub"), every).otherwise(F.array(own))))
+    slices = slices.select("component", "bi", "rep", "is_hub", "shingles", "others").repartition(*keys).sortWithinPartitions(*keys, F.desc("is_hub"), "rep")
+    absorbed = scratch.table(slices.mapInArrow(_absorb(percent), "component long, rep long, hub long").distinct(), "absorbed")
+    star = absorbed.where("hub <> rep").select(F.col("rep").alias("u"), F.col("hub").alias("v"))
+
+    # Blocks (bi, bj): the bi-th part of the texts apart, and the bj-th of the whole group.
+    left = absorbed.where("hub is null").groupBy("component").agg(F.count("*").alias("apart")).withColumnRenamed("component", "_c")
+    absorbed = absorbed.select(F.col("rep").alias("_rep"), "hub")
+    rest = sets.join(left, F.col("component") == F.col("_c")).join(absorbed, F.col("rep") == F.col("_rep"))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("apart") * n / F.col("rows"))).cast("int")
+    mine = F.struct(F.pmod(F.xxhash64("rep", F.lit(1)), parts).cast("int").alias("bi"), F.lit(None).cast("int").alias("bj"))
+    pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.struct(i.alias("bi"), own.alias("bj")))
+    both = F.transform(every, lambda j: F.struct(mine["bi"].alias("bi"), j.cast("int").alias("bj")))
+    rest = rest.withColumn("b", F.explode(F.when(F.col("hub").isNull(), F.array_union(pairs, both)).otherwise(pairs)))
+    keys = ["component", "bi", "bj"]
+    rest = rest.select("component", "b.bi", "b.bj", "rep", "hub", "shingles", "others").repartition(*keys).sortWithinPartitions(*keys)
+    return edges.unionByName(star).unionByName(rest.mapInArrow(_rest(percent), "u long, v long"))
+
+
+def _components(docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """near_duplicates' rows, and the input file of each where there is one."""
     if not 80 <= percent <= 100:
         raise ValueError("percent: 80 to 100")
     m, screen = (M, SCREEN) if percent >= 85 else (LOW_M, LOW_SCREEN)
-    spark = docs.sparkSession
-    ship(spark)
-    scratch = Scratch(spark, "near_dup")
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").alias("text"))
-    signed = scratch.table(docs.mapInArrow(_sign(m), _SIGNED), "signed")
+    ship(docs.sparkSession)
+    at = file_of(docs)
+    id_, text = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
+    named = docs.select(id_, text, (F.lit(None).cast("string") if at is None else at).alias("file"))
+    signed = scratch.table(named.mapInArrow(_sign(m), _SIGNED), "signed")
 
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles")
-    classes = classes.agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first(F.struct("a", "b", "sketch")).alias("s"))
-    classes = scratch.table(classes.select("f1", "f2", "n_shingles", "copies", "rep", "s.*"), "classes")
+    first = F.min(F.struct("doc_id", "file"))
+    classes = classes.agg(first.alias("low"), F.count("*").alias("copies"), F.first(F.struct("a", "b", "sketch")).alias("s"))
+    classes = scratch.table(classes.select("f1", "f2", "n_shingles", "copies", F.col("low.doc_id").alias("rep"), "low.file", "s.*"), "classes")
 
     keys = classes.select("rep", F.posexplode("a").alias("i", "x"), "b").select("rep", "i", "x", F.posexplode("b").alias("j", "y"))
     keys = keys.select(F.xxhash64("i", "j", "x", "y").alias("key"), "rep")
@@ -308,27 +402,58 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     members = scratch.table(members.join(classes.select("rep", "n_shingles", "sketch"), "rep"), "members")
     members = block_pairs(members, "c", BUCKET_CAP, "rep").select("bucket", "bi", "bj", "rep", "n_shingles", "sketch")
     members = members.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
-    candidates = connected_components(members.mapInArrow(_screen(percent, screen), "u long, v long"), scratch, "candidates")
-
-    sized = candidates.join(classes.select(F.col("rep").alias("node"), "f1", "f2", "n_shingles"), "node")
-    totals = sized.groupBy("component").agg(F.sum("n_shingles").alias("total"))
-    sized = scratch.table(sized.join(totals, "component").select("component", F.col("node").alias("rep"), "f1", "f2", "total"), "groups")
-    texts = docs.join(small(sized, sized.count()), docs.doc_id == sized.rep).select("component", "rep", "total", "f1", "f2", "text")
-    sets = texts.mapInArrow(_sets, "component long, rep long, total long, shingles binary")
-    sets = block_pairs(sets, "total", GROUP_CAP, "rep").select("component", "bi", "bj", "rep", "shingles")
-    sets = sets.repartition("component", "bi", "bj").sortWithinPartitions("component", "bi", "bj")
-    linked = connected_components(sets.mapInArrow(_verify(percent), "u long, v long"), scratch, "linked")
+    screened = scratch.table(members.mapInArrow(_screen(percent, screen), "u long, v long"), "screened")
+    candidates = connected_components(screened, scratch, "candidates")
+
+    degree = screened.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
+    sized = candidates.join(classes.select(F.col("rep").alias("node"), "file", "f1", "f2", "n_shingles"), "node")
+    totals = sized.groupBy("component").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("rows"))
+    sized = sized.join(totals, "component").select("component", F.col("node").alias("rep"), "file", "f1", "f2", "rows", "total")
+    sized = scratch.table(sized.join(degree, "rep"), "groups").withColumnRenamed("file", "_file")
+
+    def sets_of(part: DataFrame, groups_of: DataFrame) -> DataFrame:
+        texts = part.select(id_, text)
+        texts = texts.join(groups_of, texts.doc_id == groups_of.rep).select("component", "rep", "rows", "total", "degree", "f1", "f2", "text")
+        return texts.mapInArrow(_sets, _MEMBER)
+
+    sets = scratch.table(in_place(docs, sized, sets_of, scratch, "texts"), "sets", "none")
+    linked = scratch.table(_linked(sets, percent, scratch), "links")
+    # Texts of one doc_id are one document: its classes' first ids are one, too.
+    known = signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", "f1", "f2")
+    twice = known.groupBy("doc_id").agg(F.min(F.struct("f1", "f2")).alias("low"), F.max(F.struct("f1", "f2")).alias("high"))
+    twice = scratch.table(twice.where("low <> high").select("doc_id"), "twice")
+    several = known.join(small(twice, twice.count()), "doc_id").distinct()
+    several = several.join(classes.select("f1", "f2", "rep"), ["f1", "f2"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    linked = connected_components(linked.unionByName(several), scratch, "linked")
 
     low = classes.join(linked, classes.rep == linked.node, "left")
     low = low.where("copies > 1 or component is not null").select("f1", "f2", F.coalesce("component", "rep").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "f1", "f2").join(low, ["f1", "f2"], "left")
+    out = signed.select("doc_id", "n_shingles", "f1", "f2", F.col("file").alias("_file")).join(low, ["f1", "f2"], "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), "_file")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text).
+
+    component_id is the smallest doc_id reachable over links with
+    100 * intersection >= percent * union of shingle sets (percent from 80 to
+    100), itself included; kept says whether doc_id is that id. A null or empty
+    text, or one of white space, has no shingle and is linked with nothing.
+    Rows that repeat a doc_id are one document: what links one of their texts
+    links them all. A row with a null doc_id has a null component, links
+    nothing and is kept. Other columns are not read.
+    """
+    return _components(docs, percent, Scratch(docs.sparkSession, "near_dup")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """docs without the rows that near_duplicates does not keep; rows that share a doc_id stay or go together."""
+    """docs without the rows that near_duplicates does not keep; rows that share a doc_id stay or go together.
+
+    Texts are not shuffled: see in_place().
+    """
     scratch = Scratch(docs.sparkSession, "keep_one")
-    gone = scratch.table(near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(small(gone, gone.count()), docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = _components(docs, percent, Scratch(docs.sparkSession, "near_dup")).where("not kept")
+    gone = scratch.table(gone.select(F.col("doc_id").alias("_gone"), "_file").distinct(), "gone")
+    return in_place(docs, gone, lambda part, ids: part.join(ids, part["doc_id"].cast("long") == ids["_gone"], "left_anti"), scratch, "kept")
