@@ -20,7 +20,7 @@ def file_of(docs: DataFrame) -> Column | None:
     return F.col("_metadata.file_path") if any(hidden.apply(k).name() == "_metadata" for k in range(hidden.size())) else None
 
 
-def in_place(docs: DataFrame, side: DataFrame, meet: Callable[[DataFrame, DataFrame], DataFrame], scratch: Scratch, name: str) -> DataFrame:
+def in_place(docs: DataFrame, side: DataFrame, meet: Callable[[DataFrame, DataFrame], DataFrame], scratch: Scratch, name: str, weight: str = "1") -> DataFrame:
     """meet(docs, side) for a side that has, in the column `_file`, the input file of the row of docs that it is meant for.
 
     A side of up to BROADCAST_ROWS rows is broadcast. For a larger one the
@@ -30,15 +30,15 @@ def in_place(docs: DataFrame, side: DataFrame, meet: Callable[[DataFrame, DataFr
     once and none is shuffled. The driver sees one row a file. Only where docs
     is no table of files (`_file` is null), or a file alone has more than
     FILE_ROWS rows of the side, the texts in question are shuffled. `meet`
-    must work row by row on docs.
+    must work row by row on docs. A row of the side counts as `weight` rows.
     """
     bound = _session.BROADCAST_ROWS
-    if side.count() <= bound:
+    if (side.agg(F.expr(f"sum({weight})")).first()[0] or 0) <= bound:
         return meet(docs, F.broadcast(side.drop("_file")))
     at = file_of(docs)
     if at is None:
         return meet(docs, side.drop("_file"))
-    rows = dict(side.groupBy("_file").count().collect())
+    rows = dict(side.groupBy("_file").agg(F.expr(f"sum({weight})")).collect())
     blocks: list[tuple[list[str], int]] = []
     for file in sorted(r[0] for r in docs.select(at).distinct().collect()):
         n = rows.get(file, 0)

@@ -18,13 +18,19 @@ line, run-length coded as alternating numbers of kept and dropped lines.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._session import BROADCAST_ROWS, Scratch, small
+from . import _session
+from ._place import file_of, in_place
+from ._session import Scratch
 
 #: Columns that apply_bitmaps adds.
 ADDED = ("n_lines", "n_dropped", "kept_text")
+#: Lines of a key from which on, where keys are too many to be broadcast, the key is broadcast and the others are shuffled.
+HOT_ROWS = 100_000
 
 _BLANK = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -60,10 +66,10 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, scratc
     ranged = lines.select("h1", "h2", "doc_id", "pos").repartitionByRange("h1", "h2", "doc_id")
     ranged = ranged.sortWithinPartitions("h1", "h2", F.desc("doc_id"), "pos")
     first = F.row_number().over(Window.partitionBy("h1", "h2", "doc_id").orderBy("pos")) == 1
-    keys = ranged.withColumn("first", first).where("first").groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
-    keys = scratch.table(keys.where(F.col("n") >= min_docs).select("h1", "h2", "last"), "keys")
+    keys = ranged.withColumn("first", first.cast("int")).groupBy("h1", "h2").agg(F.sum("first").alias("n"), F.count("*").alias("rows"), F.max("doc_id").alias("last"))
+    keys = scratch.table(keys.where(F.col("n") >= min_docs).select("h1", "h2", "rows", "last"), "keys")
 
-    drop = lines.join(small(keys, keys.count()), ["h1", "h2"]).where("doc_id is null or doc_id < last")
+    drop = _of_keys(lines, keys).where("doc_id is null or doc_id < last")
     drop = drop.select("doc_id", "_text", "pos").distinct()
     drop = drop.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("doc_id", "_text").orderBy("pos")))
     runs = drop.groupBy("doc_id", "_text", "run").agg(F.min("pos").alias("start"), F.count("*").cast("int").alias("n"))
@@ -72,6 +78,23 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, scratc
     )
 
 
+def _of_keys(lines: DataFrame, keys: DataFrame) -> DataFrame:
+    """The lines of the keys, with the key's largest document.
+
+    Keys that are too many to be broadcast meet the lines in a shuffle, but
+    for the hot ones: those are broadcast, so that no task gets all lines of a
+    key that stands everywhere. The bound of hot rises until they are few.
+    """
+    by = ["h1", "h2"]
+    if keys.count() <= _session.BROADCAST_ROWS:
+        return lines.join(F.broadcast(keys), by)
+    hot = HOT_ROWS
+    while keys.where(F.col("rows") >= hot).count() > _session.BROADCAST_ROWS:
+        hot *= 8
+    often = F.broadcast(keys.where(F.col("rows") >= hot))
+    return lines.join(often, by).unionByName(lines.join(often, by, "left_anti").join(keys.where(F.col("rows") < hot), by))
+
+
 def _kept(text: Column, runs: Column) -> Column:
     """The lines outside the runs, joined by newlines; slices the lines once for each run kept."""
 
@@ -87,38 +110,56 @@ def _kept(text: Column, runs: Column) -> Column:
     return F.array_join(F.get(F.transform(F.array(_lines(text)), slices), F.lit(0)), "\n")
 
 
-def apply_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
-    """docs with all columns, and n_lines (before dropping), n_dropped and kept_text added.
+def apply_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, then: Callable[[DataFrame], DataFrame] = lambda out: out) -> DataFrame:
+    """docs with all columns, and n_lines (before dropping), n_dropped and kept_text added; `then` finishes the rows, one by one.
 
-    Small bitmaps are broadcast, by their measured size; others meet the texts
-    in a shuffled hash join that sorts nothing. Columns of docs that bear the
+    The bitmaps go to the texts: see in_place(). Columns of docs that bear the
     added names are replaced.
     """
     scratch = Scratch(docs.sparkSession, "line_dedup")
     maps = scratch.table(keep_bitmaps(docs, min_chars, min_docs, scratch), "maps")
     scratch.drop("lines")
-    rows, runs = maps.agg(F.count("*"), F.sum(F.size("dropped"))).first()
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # The row travels as one column, so that its names meet no others.
-    rows_of = docs.select(F.struct(*(c for c in docs.columns if c not in ADDED)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("hash"), text.alias("text"))
-    maps = small(maps, rows + (runs or 0))
-    maps = maps if rows + (runs or 0) <= BROADCAST_ROWS else maps.hint("shuffle_hash")
-    out = rows_of.join(maps, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
-    return out.select(
-        "row.*",
-        F.size(_lines(F.col("text"))).cast("long").alias("n_lines"),
-        F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("n_dropped").isNull(), F.col("text")).otherwise(_kept(F.col("text"), F.col("dropped"))).alias("kept_text"),
-    )
+    weight = "1 + size(dropped)"
+    side, at = maps.withColumn("_file", F.lit(None).cast("string")), file_of(docs)
+    if at is not None and (maps.agg(F.expr(f"sum({weight})")).first()[0] or 0) > _session.BROADCAST_ROWS:
+        where = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text_hash"), at.alias("_file")).distinct()
+        same = where["doc_id"].eqNullSafe(maps["doc_id"]) & (where["text_hash"] == maps["text_hash"])
+        side = scratch.table(maps.join(where, same).select(maps["*"], "_file"), "placed")
+
+    def meet(part: DataFrame, side: DataFrame) -> DataFrame:
+        # The row travels as one column, so that its names meet no others.
+        row = F.struct(*(c for c in part.columns if c not in ADDED)).alias("row")
+        part = part.select(row, F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("hash"))
+        out = part.join(side, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("hash") == F.col("text_hash")), "left")
+        text = F.coalesce(F.col("row")["text"].cast("string"), F.lit(""))
+        return then(
+            out.select(
+                "row.*",
+                F.size(_lines(text)).cast("long").alias("n_lines"),
+                F.coalesce("n_dropped", F.lit(0)).cast("long").alias("n_dropped"),
+                F.when(F.col("n_dropped").isNull(), text).otherwise(_kept(text, F.col("dropped"))).alias("kept_text"),
+            )
+        )
+
+    return in_place(docs, side, meet, scratch, "kept", weight)
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """docs with the kept text in place of text, and n_chars set to its code points; a null text stays null."""
     # Columns of docs with the names that apply_bitmaps adds would be lost: they go by other names meanwhile.
-    aside = {c: f"own {k} {c}" for k, c in enumerate(docs.columns) if c in ADDED}
-    out = apply_bitmaps(docs.withColumnsRenamed(aside), min_chars, min_docs)
-    out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_text"))).drop(*ADDED)
-    out = out.withColumnsRenamed({v: k for k, v in aside.items()})
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    aside = {}
+    for c in docs.columns:
+        if c in ADDED:
+            name = f"_own_{c}"
+            while name in docs.columns:
+                name = f"_{name}"
+            aside[c] = name
+
+    def finish(out: DataFrame) -> DataFrame:
+        out = out.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept_text"))).drop(*ADDED)
+        out = out.withColumnsRenamed({v: k for k, v in aside.items()})
+        if "n_chars" in docs.columns:
+            out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+        return out.select(*docs.columns)
+
+    return apply_bitmaps(docs.withColumnsRenamed(aside), min_chars, min_docs, finish)
