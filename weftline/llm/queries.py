@@ -50,8 +50,8 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_dedup.apply_bitmaps(documents(spark, sf_dir))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+    digest = F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    return line_dedup.apply_bitmaps(documents(spark, sf_dir), then=lambda out: out.select("doc_id", "n_lines", "n_dropped", digest))
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,27 +74,34 @@ QUERIES = {
     )
 }
 
-#: The scans of secrets, as (scan, pattern, value group); SQL's own versions of the operator's patterns.
-_SCANS = (
-    ("assign", secrets.ASSIGN, 2),
-    ("access", secrets.ACCESS, 0),
-    ("hex", secrets.HEX, 0),
-    ("blob", secrets.BLOB, 0),
-    ("user", secrets.USER, 0),
-    ("endpoint", secrets.ENDPOINT, 0),
-)
-_QUOTED = {scan: "'" + pattern.replace("'", "''") + "'" for scan, pattern, _ in _SCANS}
-_FOUND = " UNION ALL ".join(
-    f"SELECT doc_id, '{scan}' AS scan, unnest(range(1, len(hits) + 1)) AS i, unnest(gaps[1:len(hits)]) AS gap, unnest(hits) AS hit, unnest(vals) AS val "
-    f"FROM (SELECT doc_id, regexp_extract_all(t, {_QUOTED[scan]}) AS hits, regexp_extract_all(t, {_QUOTED[scan]}, {value}) AS vals, string_split_regex(t, {_QUOTED[scan]}) AS gaps FROM d)"
-    for scan, _, value in _SCANS
-)
-
-
-def _near(kinds: str) -> str:
-    test = f"kind IN ({kinds})"
-    before, after = "OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", "OVER (o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)"
-    return f"(coalesce(start - max(CASE WHEN {test} THEN stop END) {before} <= {secrets.REACH}, false) OR coalesce(min(CASE WHEN {test} THEN start END) {after} - stop <= {secrets.REACH}, false))"
+#: SQL's scans of secrets, written from the contract and the kinds' definitions: pattern, value group, shortest match or value.
+_SCANS = {
+    "assign": (r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 1),
+    "access": (r"AKIA[A-Z0-9]+", 0, 18),
+    "hex": (r"[0-9a-f]+", 0, 16),
+    "blob": (r"[A-Za-z0-9+/]+", 0, 20),
+    "user": (r"""(?i:user|username|login|account|client_?id|access_?key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9_.@-]{3,}""", 0, 1),
+    "endpoint": (r"""(?i:(?:https?|ftp|ssh|jdbc:[a-z0-9]+|postgres|postgresql|mysql|mongodb|redis|amqp)://[a-z0-9_.@:/-]+|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[a-z0-9_.-]+)""", 0, 1),
+}
+
+
+def _scan_sql(scan: str) -> str:
+    pattern, value, least = _SCANS[scan]
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return (
+        f"SELECT doc_id, '{scan}' AS scan, hit, val, stop FROM (SELECT doc_id, hit, val, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM ("
+        f"SELECT doc_id, unnest(range(1, len(hits) + 1)) AS i, unnest(gaps[1:len(hits)]) AS gap, unnest(hits) AS hit, unnest(vals) AS val FROM ("
+        f"SELECT doc_id, regexp_extract_all(t, {quoted}) AS hits, regexp_extract_all(t, {quoted}, {value}) AS vals, string_split_regex(t, {quoted}) AS gaps FROM d))) WHERE length(val) >= {least}"
+    )
+
+
+_FOUND = " UNION ALL ".join(map(_scan_sql, _SCANS))
+
+
+def _beside(kinds: str) -> str:
+    """Whether another span of the kinds lies beside the span a, not over it, at most 160 code points off."""
+    gap = "CASE WHEN b.stop <= a.start THEN a.start - b.stop WHEN b.start >= a.stop THEN b.start - a.stop END"
+    return f"EXISTS (SELECT 1 FROM q b WHERE b.doc_id = a.doc_id AND b.kind IN ({kinds}) AND {gap} <= 160)"
 
 
 _BASE = "'assign', 'access', 'hex'"
@@ -125,13 +132,10 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 """,
     "op5_secret_scan": f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({_FOUND}),
-p AS (SELECT doc_id, scan, hit, val, sum(length(gap) + length(hit)) OVER (PARTITION BY doc_id, scan ORDER BY i ROWS UNBOUNDED PRECEDING) AS stop FROM f),
-q AS (SELECT DISTINCT doc_id, CASE scan WHEN 'assign' THEN CASE WHEN length(val) >= 12 THEN 'assign' ELSE 'weak' END
-    WHEN 'blob' THEN CASE WHEN regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[0-9]') THEN 'weak' END ELSE scan END AS kind, stop - length(hit) AS start, stop FROM p),
-m AS (SELECT *, {_near("'assign', 'hex', 'weak'")} AS by_secret, {_near("'access', 'user'")} AS by_name, {_near("'endpoint'")} AS by_place,
-    coalesce(max(CASE WHEN kind IN ({_BASE}) THEN stop END) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) > start, false)
-    OR coalesce(min(CASE WHEN kind IN ({_BASE}) THEN start END) OVER (o ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) < stop, false) AS covered
-  FROM q WHERE kind IS NOT NULL WINDOW o AS (PARTITION BY doc_id ORDER BY start, stop, kind)),
+q AS MATERIALIZED (SELECT * FROM (SELECT DISTINCT doc_id, CASE WHEN scan = 'assign' AND length(val) < 12 THEN 'weak'
+    WHEN scan = 'blob' THEN CASE WHEN regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[0-9]') THEN 'weak' END ELSE scan END AS kind, stop - length(hit) AS start, stop FROM f) WHERE kind IS NOT NULL),
+m AS (SELECT *, {_beside("'assign', 'hex', 'weak'")} AS by_secret, {_beside("'access', 'user'")} AS by_name, {_beside("'endpoint'")} AS by_place,
+    EXISTS (SELECT 1 FROM q b WHERE b.doc_id = a.doc_id AND b.kind IN ({_BASE}) AND b.start < a.stop AND b.stop > a.start) AS covered FROM q a),
 k AS (SELECT *, kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS s, list_position(['assign', 'access', 'hex', 'weak', 'user', 'endpoint'], kind) AS rank FROM m
   WHERE kind IN ({_BASE}) OR (NOT covered AND CASE kind WHEN 'weak' THEN by_name OR by_place WHEN 'user' THEN by_secret ELSE by_secret AND by_name END)),
 g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS b, count(*) FILTER (kind = 'hex') AS c,

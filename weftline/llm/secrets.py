@@ -10,7 +10,8 @@ Base kinds, each leftmost and non-overlapping; failing matches are dropped:
 * access: an access key id of 18 or more characters,
 * hex: a run of 16 or more lower-case hex digits.
 
-Weak parts are reported only with their complement. Scopes are the REACH code
+Weak parts are reported only with their complement, another span beside the
+part: spans that overlap it never vouch for it. Scopes are the REACH code
 points on both sides of a part:
 
 * weak (secret): an assignment whose value is shorter, or a run of 20 or more
@@ -20,8 +21,9 @@ points on both sides of a part:
   stands within its scope,
 * endpoint: a URL or a host assignment, when both a secret and an identifier do.
 
-The interval join takes, for each part, the nearest part of each class before
-and after it: one sorted pass a document and no list of pairs.
+The interval join runs over the ends of the spans in order: before a span's
+start the last stop of each class, after its stop the next start. One sorted
+pass a document each way, and no list of pairs.
 """
 
 from __future__ import annotations
@@ -110,22 +112,25 @@ def spans(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy(*doc).orderBy("start", "stop", "kind")
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
     is_base = F.col("kind").isin("assign", "access", "hex")
+    overlapped = F.coalesce(F.max(F.when(is_base, F.col("stop"))).over(before) > F.col("start"), F.lit(False))
+    overlaps = F.coalesce(F.min(F.when(is_base, F.col("start"))).over(after) < F.col("stop"), F.lit(False))
+    found = found.withColumn("covered", overlapped | overlaps)
+
+    ends = F.array(F.struct(F.lit(1).alias("opens"), F.col("start").alias("at")), F.struct(F.lit(0).alias("opens"), F.col("stop").alias("at")))
+    found = found.withColumn("end", F.explode(ends)).select(*found.columns, "end.*")
+    # At one place stops come before starts, seen from either side, so that spans that touch are beside each other.
+    up = Window.partitionBy(*doc).orderBy("at", "opens").rowsBetween(Window.unboundedPreceding, -1)
+    down = Window.partitionBy(*doc).orderBy(F.desc("at"), F.desc("opens")).rowsBetween(Window.unboundedPreceding, -1)
     secret, name, place = F.col("kind").isin("assign", "hex", "weak"), F.col("kind").isin("access", "user"), F.col("kind") == "endpoint"
 
     def near(of: Column) -> Column:
-        left = F.col("start") - F.max(F.when(of, F.col("stop"))).over(before)
-        right = F.min(F.when(of, F.col("start"))).over(after) - F.col("stop")
-        return F.coalesce(left <= REACH, F.lit(False)) | F.coalesce(right <= REACH, F.lit(False))
-
-    found = found.withColumns(
-        {
-            "by_secret": near(secret),
-            "by_name": near(name),
-            "by_place": near(place),
-            "covered": F.coalesce(F.max(F.when(is_base, F.col("stop"))).over(before) > F.col("start"), F.lit(False))
-            | F.coalesce(F.min(F.when(is_base, F.col("start"))).over(after) < F.col("stop"), F.lit(False)),
-        }
-    )
+        left = F.col("start") - F.max(F.when(of & (F.col("opens") == 0), F.col("at"))).over(up)
+        right = F.min(F.when(of & (F.col("opens") == 1), F.col("at"))).over(down) - F.col("stop")
+        return F.coalesce(F.when(F.col("opens") == 1, left).otherwise(right) <= REACH, F.lit(False))
+
+    found = found.withColumns({"by_secret": near(secret), "by_name": near(name), "by_place": near(place)})
+    seen = [F.bool_or(c).alias(c) for c in ("covered", "by_secret", "by_name", "by_place")]
+    found = found.groupBy(*doc, "kind", "start", "stop").agg(*seen)
     linked = (
         F.when(F.col("kind") == "weak", F.col("by_name") | F.col("by_place"))
         .when(F.col("kind") == "user", F.col("by_secret"))
