@@ -360,22 +360,61 @@ def test_language(documents, pairs):
     assert len(long) > 8 and np.mean([got[d][1] == lang[d] for d in long]) > 0.9
 
 
-def test_cross_parse_counts_phrases():
-    text = list(np.random.default_rng(2).integers(1, 5, 300))
-    table = lang_id.automaton(text)
-    query = [1, 2, 3, 9, 1, 1, 2, 4, 4, 3, 2, 1, 7, 7, 1]
-    row = count = 0
-    for c in query:
-        got = int(table[row + c])
-        count, row = count + (got & 3), got >> 2
-    count += row > 0
-    joined, phrases, i = bytes(text), 0, 0
-    while i < len(query):
-        j = i
-        while j < len(query) and bytes(query[i : j + 1]) in joined:
-            j += 1
-        phrases, i = phrases + 1, max(j, i + 1)
-    assert count == phrases
+@pytest.mark.parametrize("dense", [4_000_000, 0])
+def test_cross_parse_counts_phrases(dense, monkeypatch):
+    """Whole texts, of many lanes too, against longest matches found one by one; with a table and with a hash map."""
+    monkeypatch.setattr(lang_id, "DENSE", dense)
+    rng = random.Random(3)
+    make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    samples = {"a": [make("abcde   ", 2000)], "b": [make("abxyz  ", 900), make("Xyz9", 300)], "g": [make("αβγδε  ", 900)], "h": [make([chr(0x4E00 + k) for k in range(700)], 1500)]}
+    model = lang_id.Model(samples)
+
+    def normal(text):
+        out = []
+        for c in text:
+            k = int(model.classes[ord(c)])
+            if k or not out or out[-1]:
+                out.append(k)
+        return out
+
+    def phrases(text, sample):
+        text, sample, n, i = "".join(map(chr, normal(text))), "".join(map(chr, normal(sample))), 0, 0
+        while i < len(text):
+            j = i
+            while j < len(text) and text[i : j + 1] in sample:
+                j += 1
+            n, i = n + 1, max(j, i + 1)
+        return n
+
+    texts = ["", "q", make("abcde  ", 5), samples["a"][0], samples["a"][0][100:1500], make("αβγδε  q", 700), samples["h"][0][5:800], "!!! ", make("abcdexyz 12", 1500), samples["b"][0] + samples["a"][0][:700]]
+    code = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    kind, ends = lang_id.normalise(code, np.cumsum([len(x) for x in texts]), model.classes)
+    got = model.phrases(kind, ends)
+    want = [[phrases(x, " ".join(samples[k])) for x in texts] for k in sorted(samples)]
+    assert got.tolist() == want
+    named, score = model.predict(texts)
+    for k, text in enumerate(texts):
+        sizes = {lang: normal(" ".join(samples[lang])) for lang in samples}
+        letters = math.log2(len({c for x in sizes.values() for c in x} | {0}) + 1)
+        strange = {lang: sum(c not in set(x) for c in normal(text)) for lang, x in sizes.items()}
+        bits = sorted((n * math.log2(len(sizes[lang])) + strange[lang] * letters, lang) for lang, n in zip(sorted(samples), [w[k] for w in want]))
+        letter = any(c.isalpha() for c in text)
+        assert named[k] == (bits[0][1] if letter else "und")
+        assert score[k] == pytest.approx(bits[1][0] / (bits[0][0] + bits[1][0]) if letter else 0.0)
+
+
+def test_every_language_and_whole_texts_are_learned(spark):
+    rng = random.Random(4)
+    rows = []
+    for lang in range(135):
+        letters = [chr(0x4E00 + 40 * lang + k) for k in range(30)]
+        rows += [(100 * lang + k, "".join(rng.choice(letters) for _ in range(60)), f"l{lang:03}") for k in range(6 if lang else 40)]
+    rows += [(99_999, "z" * 50_000, "long"), (99_998, "q" * 40_000, "long")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = by_id(lang_id.identify(docs), "lang_pred")
+    assert all(got[d] == (lang,) for d, _, lang in rows if lang != "long")
+    learned = [d for d in (99_999, 99_998) if brute.fold(d, 5)]
+    assert learned and got[learned[-1]] == ("long",)
 
 
 def test_quality_classifier(documents, labels, pairs):
@@ -388,15 +427,51 @@ def test_quality_classifier(documents, labels, pairs):
     assert kept.columns == documents.columns and {r[0] for r in kept.select("doc_id").collect()} - {None} == {d for d in got if got[d][2]}
 
 
-def test_neighbour_vote_is_exact():
-    rng = np.random.default_rng(4)
-    space = quality_knn.Space(rng.poisson(0.2, (60, quality_knn.TERMS)).astype(np.float32), rng.integers(0, 2, 60))
-    x = rng.poisson(0.2, (5, quality_knn.TERMS)).astype(np.float32)
-    near = space._unit(space._scaled(np.log1p(x)) @ space.basis) @ space.vectors.T
-    for row, got in zip(near, space.scores(x, block=2)):
-        top = np.argsort(-row)[: quality_knn.NEIGHBOURS]
-        w = np.maximum(row[top], 0).astype(float) ** quality_knn.SHARPNESS
-        assert got == pytest.approx((w * space.labels[top]).sum() / w.sum(), abs=1e-5)
+def test_neighbour_vote_against_a_plain_one():
+    import pyarrow as pa
+
+    from weftline.llm import _text
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 6))) for _ in range(40)]
+    make = lambda: " ".join(w for w in rng.choices(words, k=rng.randint(0, 30)) for _ in range(rng.choice([1, 1, 3])))
+    texts = ["", "ab", *(make() for _ in range(70))]
+    texts += [texts[9]] * 30  # ties: equal texts with labels of both kinds
+    labels = np.array([rng.randrange(2) for _ in texts])
+
+    def terms(text):
+        raw, out = text.encode(), np.zeros(quality_knn.TERMS)
+        for i in range(len(raw) - 2):
+            out[(int.from_bytes(raw[i : i + 3], "big") * 0x9E3779B1 % (1 << 32)) >> 20] += 1
+        w = brute.WORD.findall(text.translate(brute.LOWER))
+        for k in (1, 2, 3):
+            out[4095 + k] = sum(a == b for a, b in zip(w, w[k:]))
+        return out
+
+    (_, _, data, offsets), = _text.slices(pa.array(texts))
+    counts = quality_knn.term_counts(data, offsets)
+    plain = np.array([terms(x) for x in texts])
+    assert (counts == plain).all()
+    space = quality_knn.Space(counts, labels)
+    x = np.log1p(plain)
+    x *= np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.05
+    x[:, 4096:] *= 4
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    _, s, v = np.linalg.svd(x, full_matrices=False)
+    basis = v[: space.basis.shape[1]].T
+    assert np.linalg.norm(x @ space.basis) == pytest.approx(np.linalg.norm(x @ basis), rel=1e-4)  # the leading singular vectors' share
+    v = x @ space.basis.astype(float)
+    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+    for k, got in enumerate(space.scores(counts, block=7)):
+        if not plain[k].any():
+            assert got == pytest.approx(labels.mean())
+            continue
+        near = [round(float(v[k] @ u), 5) for u in v]
+        last = sorted(near)[-quality_knn.NEIGHBOURS]
+        votes = [(max(c, 0) ** quality_knn.SHARPNESS, y) for c, y in zip(near, labels) if c >= last - 2e-5]
+        strict = [(w, y) for (w, y), c in zip(votes, [c for c in near if c >= last - 2e-5]) if c >= last]
+        assert any(got == pytest.approx(sum(w * y for w, y in some) / sum(w for w, _ in some), abs=2e-3) for some in (votes, strict))
+    assert (space.scores(counts, block=1) == pytest.approx(space.scores(counts, block=64), abs=1e-4))
 
 
 def test_quality_rules(documents, labels, pairs):
@@ -408,6 +483,24 @@ def test_quality_rules(documents, labels, pairs):
     assert any(v[6] for v in got.values())
 
 
+def test_trees_against_a_plain_walk():
+    rng = np.random.default_rng(9)
+    x = rng.random((500, len(quality_rules.FEATURES)))
+    y = (x[:, 1] + x[:, 4] * x[:, 7] > 0.8).astype(int)
+    trees = quality_rules.Trees(x, y)
+
+    def margin(row):
+        total = trees.start
+        for node in trees.roots:
+            while trees.left[node] != node:
+                node = trees.left[node] if row[trees.feature[node]] <= trees.threshold[node] else trees.right[node]
+            total += trees.value[node]
+        return total
+
+    assert trees.probability(x) == pytest.approx([1 / (1 + math.exp(-margin(row))) for row in x])
+    assert len(trees.roots) == quality_rules.TREES
+
+
 def test_trees_are_monotone():
     rng = np.random.default_rng(6)
     x = rng.random((600, len(quality_rules.FEATURES)))

@@ -1,18 +1,20 @@
 """Quality by nearest-neighbour voting in a latent semantic space.
 
-A text's terms are the pairs of neighbouring byte classes (letters by name,
-capitals, digits and marks) and some of its shape, as shares of its words: word
-lengths, words equal to one shortly before, distinct words, capital and marked
-words, line lengths, size. Logarithms of both, the pairs weighted by inverse
-document frequency, each kind scaled to a length of its own, are projected on the
-leading right singular vectors of the labelled sample. The sample's vectors with their labels are broadcast (SAMPLE_ROWS x
+A text's terms are its subwords, the runs of GRAM bytes hashed to GRAMS
+places, and three more: how often a word stands again one, two or three words
+on, which no single subword shows. Logarithms of the counts, weighted by
+inverse document frequency (the three by REPEAT as well) and scaled to length
+one, are projected on the leading right singular vectors of the labelled
+sample. The sample's vectors with their labels are broadcast (SAMPLE_ROWS x
 DIMENSIONS numbers). Every text is compared with all of them by exact cosines,
 a block of texts at a time; its NEIGHBOURS nearest vote with their similarity
-to the power of SHARPNESS as weight.
+to the power of SHARPNESS as weight. Similarities are rounded to DIGITS
+places, and all that tie with the last of the neighbours vote.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,82 +31,34 @@ from ._session import remainder, ship
 SAMPLE_ROWS = 4000
 DIMENSIONS = 48
 NEIGHBOURS = 25
-SHARPNESS = 16
-#: Length of the shape terms' part of a vector; that of the pairs' part is 1.
-SHAPE = 2
+SHARPNESS = 64
+DIGITS = 5
+#: Bytes of a subword, places that subwords are hashed to, and the weight of the terms of repeated words.
+GRAM, GRAMS, REPEAT = 3, 4096, 4
+TERMS = GRAMS + 3
 #: Scores from here on are accepted.
 ACCEPT = 0.3
 
-_MARKS = b".,!?-_/:;'\"()[]{}#*$%&|<>=@+\\"
-_CLASSES = 32 + len(_MARKS)
-
-
-def _byte_class() -> np.ndarray:
-    out = np.zeros(256, np.int64)
-    out[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    out[ord("A") : ord("Z") + 1] = 27
-    out[ord("0") : ord("9") + 1] = 28
-    out[0x80:0xC0] = 29
-    out[0xC0:] = 30
-    out[ord("\n")] = 31
-    for k, c in enumerate(_MARKS):
-        out[c] = 32 + k
-    return out
-
-
-_CLASS = _byte_class()
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
-_MARK = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>!=@", np.uint8))
-_SHAPES = 48
-TERMS = _CLASSES * _CLASSES + _SHAPES
-
 
 def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The terms' counts, a row a text."""
     n = len(offsets) - 1
     out = np.zeros((n, TERMS), np.float32)
-    size = np.diff(offsets)
-    if not len(data):
-        return out
-    doc = np.repeat(np.arange(n), size)
-    kind = _CLASS[data]
-    pair = kind[:-1] * _CLASSES + kind[1:]
-    pair = (doc[:-1] * (_CLASSES * _CLASSES) + pair)[doc[:-1] == doc[1:]]
-    out[:, : _CLASSES * _CLASSES] = np.bincount(pair, minlength=n * _CLASSES * _CLASSES).reshape(n, -1)
-
+    doc = np.repeat(np.arange(n), np.diff(offsets))
+    size = len(data) - GRAM + 1
+    if size > 0:
+        gram = np.zeros(size, np.uint32)
+        for k in range(GRAM):
+            gram = gram << np.uint32(8) | data[k : size + k]
+        place = (gram * np.uint32(0x9E3779B1)) >> np.uint32(32 - int(GRAMS - 1).bit_length())
+        inside = doc[:size] == doc[GRAM - 1 :]
+        out[:, :GRAMS] = np.bincount((doc[:size] * GRAMS + place)[inside], minlength=n * GRAMS).reshape(n, -1)
     starts, ends, first = t.word_bounds(data, offsets)
+    words = t.span_hashes(data, starts, ends)
     of = np.repeat(np.arange(n), np.diff(first))
-    shape = out[:, _CLASSES * _CLASSES :]
-
-    total = np.diff(first)
-
-    def add(column: int, which: np.ndarray) -> None:
-        shape[:, column] += 100 * np.bincount(of[which], minlength=n) / np.maximum(total, 1)
-
-    if len(starts):
-        length = ends - starts
-        words = t.span_hashes(data, starts, ends, fold=False)
-        for k, (low, high) in enumerate(((1, 1), (2, 2), (3, 4), (5, 7), (8, 12), (13, 20), (21, 1 << 40))):
-            add(k, np.flatnonzero((length >= low) & (length <= high)))
-        for k, back in enumerate((1, 2, 3)):
-            add(8 + k, np.flatnonzero((words[back:] == words[:-back]) & (of[back:] == of[:-back])) + back)
-        _, at = np.unique(t.mix(words + t.mix(of.astype(np.uint64) + np.uint64(1))), return_index=True)
-        add(11, np.setdiff1d(np.arange(len(words)), at))
-        upper = np.concatenate([[0], np.cumsum(_UPPER[data])])
-        marks = np.concatenate([[0], np.cumsum(_MARK[data])])
-        capitals = upper[ends] - upper[starts]
-        add(12, np.flatnonzero((capitals == length) & (length > 1)))
-        add(13, np.flatnonzero((capitals > 1) & (capitals < length)))
-        marked = marks[ends] - marks[starts]
-        add(14, np.flatnonzero(marked == 1))
-        add(15, np.flatnonzero((marked >= 2) & (marked < length)))
-        add(16, np.flatnonzero(marked == length))
-    scale = np.minimum(np.log2(total + 1).astype(int), 15)
-    shape[np.arange(n), 18 + scale] = 3.0
-    lines = np.add.reduceat(np.append(data == 10, False).astype(np.int64), offsets[:-1]) * (size > 0) + 1
-    shape[np.arange(n), 34 + np.minimum(np.log2(total / lines + 1).astype(int), 10)] = 3.0
-    shape[size == 0] = 0
+    for k in range(1, TERMS - GRAMS + 1):
+        if len(words) > k:
+            out[:, GRAMS + k - 1] = np.bincount(of[k:][(words[k:] == words[:-k]) & (of[k:] == of[:-k])], minlength=n)
     return out
 
 
@@ -114,8 +68,8 @@ class Space:
     def __init__(self, counts: np.ndarray, labels: np.ndarray):
         x = np.log1p(counts)
         seen = (x > 0).sum(0)
-        self.idf = (np.log((1 + len(x)) / (1 + seen)) + 0.2).astype(np.float32)
-        self.idf[-_SHAPES:] = 1
+        self.idf = (np.log((1 + len(x)) / (1 + seen)) + 0.05).astype(np.float32)
+        self.idf[GRAMS:] *= REPEAT
         x = self._scaled(x)
         rng = np.random.default_rng(7)
         d = min(DIMENSIONS, *x.shape) if len(x) else 0
@@ -131,10 +85,7 @@ class Space:
         self.vectors = self._unit(x @ self.basis)
 
     def _scaled(self, x: np.ndarray) -> np.ndarray:
-        x = x * self.idf
-        for part, weight in ((x[:, :-_SHAPES], 1), (x[:, -_SHAPES:], SHAPE)):
-            part *= weight / np.maximum(np.linalg.norm(part, axis=1, keepdims=True), 1e-9)
-        return x
+        return self._unit(x * self.idf)
 
     @staticmethod
     def _unit(v: np.ndarray) -> np.ndarray:
@@ -148,12 +99,13 @@ class Space:
         for lo in range(0, len(counts), block):
             x = np.log1p(counts[lo : lo + block])
             some = x.any(1)
-            near = self._unit(self._scaled(x) @ self.basis) @ self.vectors.T
+            near = np.round(self._unit(self._scaled(x) @ self.basis) @ self.vectors.T, DIGITS)
             k = min(NEIGHBOURS, near.shape[1])
-            top = np.argpartition(-near, k - 1, axis=1)[:, :k] if k < near.shape[1] else np.tile(np.arange(k), (len(near), 1))
-            weight = np.maximum(np.take_along_axis(near, top, 1), 0).astype(np.float64) ** SHARPNESS
-            total = weight.sum(1)
-            vote = (weight * self.labels[top]).sum(1)
+            last = np.partition(near, near.shape[1] - k, axis=1)[:, near.shape[1] - k]
+            row, one = np.nonzero(near >= last[:, None])
+            weight = np.maximum(near[row, one], 0).astype(np.float64) ** SHARPNESS
+            total = np.bincount(row, weight, len(near))
+            vote = np.bincount(row, weight * self.labels[one], len(near))
             ok = some & (total > 0)
             out[lo : lo + block][ok] = vote[ok] / total[ok]
         return np.clip(out, 0.0, 1.0)
@@ -167,25 +119,29 @@ def _counts(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Space:
-    """The space of a bounded labelled sample; see labelled(). Term counts of the sample come to the driver, a few kB a row."""
+    """The space of a bounded labelled sample; see labelled(). Term counts of the sample come to the driver, about a kB a row."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, counts in _counts(batch.column(2)):
-                rows = [c.astype("<f4").tobytes() for c in counts]
+                rows = [zlib.compress(c.astype("<f4").tobytes(), 1) for c in counts]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), t.binary_array(rows)], ["doc_id", "quality", "counts"])
 
     rows = labelled(docs, labels, SAMPLE_ROWS).mapInArrow(run, "doc_id long, quality int, counts binary").toArrow().sort_by("doc_id")
-    counts = np.frombuffer(b"".join(rows.column("counts").to_pylist()), "<f4").reshape(-1, TERMS)
+    counts = np.zeros((len(rows), TERMS), np.float32)
+    for k, row in enumerate(rows.column("counts")):
+        counts[k] = np.frombuffer(zlib.decompress(row.as_py()), "<f4")
     return Space(counts, np.asarray(rows.column("quality")))
 
 
 def score(docs: DataFrame, space: Space, into: str = "score") -> DataFrame:
     """docs with a column `into` added, from 0 to 1: how likely label 1 is. Replaces a column of that name.
 
-    A null or empty text has the sample's share of label 1; without labelled
-    rows every text has 1. Other columns stay as they are.
+    A null or empty text, and one without a term (of under GRAM bytes), has
+    the sample's share of label 1; without labelled rows every text has 1. Of
+    neighbours that tie for the last place all vote. Repeated rows get a score
+    each. Other columns stay as they are.
     """
     ship(docs.sparkSession)
     docs = docs.drop(into)
