@@ -1,5 +1,7 @@
 """Token-id files: flat unsigned integers, 64-bit document offsets, memory-mapped reading.
 
+(In a store that cannot be mapped, such as an object store, ranges are read instead.)
+
 A dataset is a folder of parts, one a task, in ascending order of doc_id:
 
 * part-NNNNN.ids: the ids of its documents one after another, little-endian,
@@ -37,6 +39,8 @@ from ._intmap import PieceCache
 from ._session import Scratch, ship
 
 NULL_ID = -(1 << 63)
+#: Hadoop's names of schemes that pyarrow names otherwise.
+_SCHEMES = {"s3a": "s3", "s3n": "s3"}
 
 _tokenizers: dict[int, Encoder] = {}
 
@@ -79,10 +83,27 @@ class Encoder:
         return out, total + n
 
 
-def _store(path: str):
+def _open(address: str):
+    """The file system and the path in it, as pyarrow names them, of an address with a scheme."""
     import pyarrow.fs as fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    scheme, _, rest = address.partition(":")
+    return fs.FileSystem.from_uri(f"{_SCHEMES.get(scheme, scheme)}:{rest}")
+
+
+def qualified(spark: SparkSession, out: str) -> str:
+    """The address with the scheme that Spark gives it: that of fs.defaultFS, if it has none."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(out)
+    return openable(path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString())
+
+
+def openable(address: str) -> str:
+    """The address; ValueError if Python workers, which write and read id files, cannot open it."""
+    try:
+        _open(address)
+    except Exception as e:
+        raise ValueError(f"{address}: Python workers cannot open it ({e})") from e
+    return address
 
 
 def write(docs: DataFrame, path: str, out: str, end_id: int = 2) -> list[tuple[int, int, int]]:
@@ -91,20 +112,23 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 2) -> list[tuple[i
     `path` is the tokenizer's JSON file, `out` a folder that all executors
     reach. Documents are ordered by doc_id (null first), repeated ids by a hash
     of the text. A null or empty text has the end id alone. An empty table
-    gives no parts. Rows are range-partitioned by doc_id before encoding.
+    gives no parts. Rows are range-partitioned by doc_id and that hash before
+    encoding, so that rows of one id may lie in several parts.
     """
     spark = docs.sparkSession
     ship(spark)
+    out = qualified(spark, out)
     spec = Path(path).read_text()
     shared = spark.sparkContext.broadcast(spec)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    docs = docs.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Encoder.of(shared.value)
         kind = "<u2" if model.model.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
         part = TaskContext.get().partitionId()
-        store, folder = _store(out)
+        store, folder = _open(out)
         store.create_dir(folder, recursive=True)
         own = f"{folder}/.part-{part:05d}-{uuid.uuid4().hex}"
         docs = ids = 0
@@ -128,13 +152,26 @@ def write(docs: DataFrame, path: str, out: str, end_id: int = 2) -> list[tuple[i
     return sorted((r[0], r[1], r[2]) for r in rows)
 
 
-def _mapped(store, name: str, kind: str) -> np.ndarray:
-    import pyarrow.fs as fs
+class _Numbers:
+    """A file of numbers: memory-mapped on a local disk, else read by ranges."""
+
+    def __init__(self, store, name: str, kind: str):
+        import pyarrow.fs as fs
+
+        self.kind, self.width = kind, np.dtype(kind).itemsize
+        self.size = store.get_file_info(name).size // self.width
+        self.mapped = (np.memmap(name, kind, "r") if self.size else np.zeros(0, kind)) if isinstance(store, fs.LocalFileSystem) else None
+        self.file = None if self.mapped is not None else store.open_input_file(name)
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        if self.mapped is not None:
+            return np.asarray(self.mapped[part])
+        self.file.seek(part.start * self.width)
+        return np.frombuffer(self.file.read((part.stop - part.start) * self.width), self.kind)
+
 
-    if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(name, kind, "r")
-    with store.open_input_file(name) as f:
-        return np.frombuffer(f.read(), kind)
+#: Documents whose offsets, and ids that, are read at once (one document's ids at least).
+_DOCS, _IDS = 1 << 16, 1 << 19
 
 
 def read(spark: SparkSession, out: str, parts: list[tuple[int, int, int]]) -> DataFrame:
@@ -144,6 +181,7 @@ def read(spark: SparkSession, out: str, parts: list[tuple[int, int, int]]) -> Da
     part's base plus the document's offset.
     """
     ship(spark)
+    out = qualified(spark, out)
     base, rows = 0, []
     for part, docs, ids in parts:
         rows.append((part, docs, ids, base))
@@ -154,32 +192,33 @@ def read(spark: SparkSession, out: str, parts: list[tuple[int, int, int]]) -> Da
     index = spark.createDataFrame(rows, "part long, docs long, ids long, base long").repartition(len(rows), "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = _store(out)
+        store, folder = _open(out)
         for batch in batches:
             for r in batch.to_pylist():
                 name = f"{folder}/part-{r['part']:05d}"
-                offsets = _mapped(store, f"{name}.idx", "<i8")
-                names = _mapped(store, f"{name}.doc", "<i8")
-                if len(offsets) != r["docs"] + 1 or offsets[-1] != r["ids"]:
+                offsets, names = _Numbers(store, f"{name}.idx", "<i8"), _Numbers(store, f"{name}.doc", "<i8")
+                if offsets.size != r["docs"] + 1 or offsets[r["docs"] : r["docs"] + 1][0] != r["ids"]:
                     raise ValueError(f"{name}: not the part that was written")
                 info = store.get_file_info(f"{name}.ids")
-                flat = _mapped(store, f"{name}.ids", f"<u{info.size // max(1, r['ids'])}")
-                k = 0
-                while k < r["docs"]:
-                    e = max(k + 1, int(np.searchsorted(offsets, offsets[k] + (1 << 19), "right")) - 1)
-                    at = np.asarray(offsets[k : e + 1])
-                    ids = np.asarray(flat[at[0] : at[-1]]).astype("<u4")
-                    doc = np.asarray(names[k:e])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(doc, mask=doc == NULL_ID),
-                            pa.array(at[:-1] + r["base"]),
-                            pa.array(np.diff(at)),
-                            pa.Array.from_buffers(pa.binary(), e - k, [None, pa.py_buffer((4 * (at - at[0])).astype(np.int32)), pa.py_buffer(ids)]),
-                        ],
-                        ["doc_id", "start", "n_tokens", "ids"],
-                    )
-                    k = e
+                flat = _Numbers(store, f"{name}.ids", f"<u{info.size // max(1, r['ids'])}")
+                for lo in range(0, r["docs"], _DOCS):
+                    hi = min(lo + _DOCS, r["docs"])
+                    block, docs = offsets[lo : hi + 1], names[lo:hi]
+                    k = 0
+                    while k < len(docs):
+                        e = max(k + 1, int(np.searchsorted(block, block[k] + _IDS, "right")) - 1)
+                        at, doc = block[k : e + 1], docs[k:e]
+                        ids = flat[int(at[0]) : int(at[-1])].astype("<u4")
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(doc, mask=doc == NULL_ID),
+                                pa.array(at[:-1] + r["base"]),
+                                pa.array(np.diff(at)),
+                                pa.Array.from_buffers(pa.binary(), e - k, [None, pa.py_buffer((4 * (at - at[0])).astype(np.int32)), pa.py_buffer(ids)]),
+                            ],
+                            ["doc_id", "start", "n_tokens", "ids"],
+                        )
+                        k = e
 
     return index.mapInArrow(run, schema)
 
