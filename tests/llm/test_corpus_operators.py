@@ -173,9 +173,26 @@ def test_leaks(spark, documents, pairs):
 def test_leaks_in_several_blocks(spark, documents, pairs, monkeypatch):
     items = [(k, " ".join(x.split()[:30])) for k, x in pairs if x and len(x.split()) > 70][:12]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 5)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 5000)
+    assert len(list(decontam._blocks(bench))) > 2
     got = {(r[0], r[1]) for r in decontam.find_leaks(documents, bench).collect() if r[0] is not None}
     assert got == set(brute.leaks(pairs, items))
+    left = decontam.drop_contaminated(documents, bench)
+    assert {r[0] for r in left.select("doc_id").collect()} - {None} == {d for d, _ in pairs} - {d for d, _ in got} and left.columns == documents.columns
+
+
+def test_many_items_of_one_header(spark):
+    """Items that share a passage are no candidates of all documents that have it, and tables stay small."""
+    import pickle
+
+    rng = random.Random(5)
+    words = lambda n: " ".join(f"w{rng.randrange(10**7)}" for _ in range(n))
+    header = words(12)
+    items = [(k, f"{header} {words(rng.choice([10, 40, 70]))}") for k in range(3000)]
+    docs = [(k, f"{words(50)} {items[7 * k][1]} {words(30)}") for k in range(100)] + [(200 + k, f"{words(40)} {header} {words(40)}") for k in range(200)]
+    got = {(r[0], r[1]) for r in decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(k, 7 * k) for k in range(100)}
+    assert len(pickle.dumps(decontam.Items(items))) < 3000 * 2500
 
 
 def test_short_items_leak_anywhere(spark):
@@ -349,6 +366,26 @@ def test_token_file_format(spark, tmp_path):
         token_output.read(spark, f"file://{tmp_path}/set", [(p, n + 1, ids)]).collect()
 
 
+def test_token_files_by_ranges(spark, tmp_path, monkeypatch):
+    """An address without a scheme, a store that cannot be mapped, one id in many rows, and a store that workers cannot open."""
+    import pyarrow.fs as fs
+
+    rows = [(7 if k % 3 else None if k % 9 else k, f"ab {k} " * (k % 7)) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    parts = token_output.write(docs, queries.WORD_BPE, f"{tmp_path}/set")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) > 1 and max(n for _, n, _ in parts) < 200  # one id is two thirds of the rows
+    mapped = sorted(map(tuple, token_output.read(spark, f"{tmp_path}/set", parts).collect()), key=lambda r: r[1])
+    assert [r[1] for r in mapped] == [sum(r[2] for r in mapped[:k]) for k in range(len(mapped))] and len(mapped) == 300
+    store = fs.SubTreeFileSystem(str(tmp_path), fs.LocalFileSystem())
+    p, n, ids = parts[0]
+    numbers = token_output._Numbers(store, f"set/part-{p:05d}.idx", "<i8")
+    assert numbers.mapped is None and numbers[3:9].tolist() == np.memmap(f"{tmp_path}/set/part-{p:05d}.idx", "<i8", "r")[3:9].tolist()
+    with pytest.raises(ValueError, match="cannot open"):
+        token_output.openable("har:///x")
+
+
 def test_language(documents, pairs):
     got = by_id(lang_id.identify(documents), "held_out", "lang_pred", "score")
     lang = {r[0]: r[1] for r in documents.select("doc_id", "lang").collect()}

@@ -21,7 +21,8 @@ taken one larger. A document's first words follow a start mark.
 How it runs. The corpus is cut into chunks of about CHUNK_TOKENS tokens, each
 one row of a bucketed table: a vocabulary of word hashes, and the tokens as
 positions in it. Every chunk adds up its own n-grams, and sends them level by level, sorted, packed and compressed,
-to the parts of a table that is partitioned by context. A part merges what the
+to the parts of a table that is partitioned by context; what is empty is not
+sent, so there is one row for each chunk and part, and never more than n-grams. A part merges what the
 chunks sent, and returns to each chunk the counts of its n-grams and, of each
 context, the number of n-grams, their counts of counts up to GT and the
 lower-order mass of its followers; the discounts, which need all parts' counts
@@ -39,7 +40,6 @@ next word, by its count in the level below, and its sums are added up again.
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,6 +53,8 @@ from . import _text as t
 from ._session import Scratch, remainder, ship
 
 CHUNK_TOKENS = 1_000_000
+#: Bytes of text whose chunks one bucket gets on average.
+BUCKET_BYTES = 64 << 20
 #: N-grams, as sent, that a part of a table gets on average.
 PART_ENTRIES = 1_500_000
 #: Counts that are discounted.
@@ -136,7 +138,7 @@ def _tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # Level 1: words
 
 _ASK1 = "part long, chunk long, words binary, seen binary"
-_REPLY = "level int, chunk long, part long, counts binary, ids binary, sums binary, lower binary, info string"
+_REPLY = "level int, chunk long, part long, counts binary, ids binary, sums binary, lower binary, info array<long>"
 
 
 def _parts_of(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -152,7 +154,7 @@ def _ask_words(parts: int):
             for r in batch.to_pylist():
                 words, seen = unpack(r["words"], np.uint64), unpack(r["seen"])
                 cut = np.append(np.searchsorted(words, np.array([p * step for p in range(parts)], np.uint64)), len(words))
-                rows = [(p, r["chunk"], pack(words[a:b]), pack(seen[a:b])) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:]))]
+                rows = [(p, r["chunk"], pack(words[a:b]), pack(seen[a:b])) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b]
                 kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
                 yield _batch({k: pa.array(v, kind) for k, v, kind in zip(("part", "chunk", "words", "seen"), zip(*rows), kinds)})
 
@@ -160,13 +162,14 @@ def _ask_words(parts: int):
 
 
 def _reply_rows(rows: list[dict]) -> pa.Table:
-    kinds = {"level": pa.int32(), "chunk": pa.int64(), "part": pa.int64(), "counts": pa.binary(), "ids": pa.binary(), "sums": pa.binary(), "lower": pa.binary(), "info": pa.string()}
+    kinds = {"level": pa.int32(), "chunk": pa.int64(), "part": pa.int64(), "counts": pa.binary(), "ids": pa.binary(), "sums": pa.binary(), "lower": pa.binary(), "info": pa.list_(pa.int64())}
     return pa.table({k: pa.array([r.get(k) for r in rows], v) for k, v in kinds.items()})
 
 
-def _info(counts: np.ndarray) -> str:
+def _info(counts: np.ndarray) -> list[int]:
+    """The sum of the counts, how many are over 0, and the counts of counts up to GT + 1."""
     of = np.bincount(np.minimum(counts, GT + 2), minlength=GT + 3)
-    return json.dumps({"n": int(counts.sum()), "v": int((counts > 0).sum()), "of": of[1 : GT + 2].tolist()})
+    return [int(counts.sum()), int((counts > 0).sum()), *of[1 : GT + 2].tolist()]
 
 
 def _numbered(counts: np.ndarray, part: int, parts: int) -> np.ndarray:
@@ -221,10 +224,8 @@ def discounts(of: list[int]) -> np.ndarray:
 class Level:
     """The global sums of one level."""
 
-    def __init__(self, infos: list[str]):
-        rows = [json.loads(x) for x in infos]
-        self.n, self.v = sum(r["n"] for r in rows), sum(r["v"] for r in rows)
-        self.of = [sum(r["of"][k] for r in rows) for k in range(GT + 1)]
+    def __init__(self, info: list[int]):
+        self.n, self.v, *self.of = info
         self.d = discounts(self.of)
 
     def discounted(self, counts: np.ndarray) -> np.ndarray:
@@ -261,7 +262,10 @@ class Chunk:
 
     def level1(self, replies: list[dict], level: Level) -> None:
         # The parts' stretches, one after another, are the words in the order of their hashes.
-        self.count = np.concatenate([unpack(r["counts"]) for r in replies])[self.places]
+        counts = np.concatenate([unpack(r["counts"]) for r in replies])
+        if len(counts) != len(self.places):
+            raise ValueError("a part's reply is missing")
+        self.count = counts[self.places]
         self.id = np.concatenate([unpack(r["ids"]) for r in replies])[self.places]
         self.p = level.word(self.count)
         self.gram, self.gram_id, self.gram_count = self.tokens, self.id, self.count
@@ -346,8 +350,6 @@ _ASK = "part long, chunk long, contexts binary, salts binary, sizes binary, word
 def _state(body: pa.Table, replied: pa.Table, levels: list[Level], parts: int, hot: int, starts: int) -> tuple[int, Chunk]:
     (body,), rows = body.to_pylist(), replied.to_pylist()
     replies = [sorted((r for r in rows if r["level"] == k + 1), key=lambda r: r["part"]) for k in range(len(levels))]
-    if len(replies[0]) != parts:
-        raise ValueError("a part's reply is missing")
     chunk = Chunk(body, parts, hot)
     chunk.level1(replies[0], levels[0])
     for k in range(1, len(levels)):
@@ -378,8 +380,9 @@ def _count(level: int, parts: int, last: bool):
         rows = group.to_pylist()
         part = rows[0]["part"]
         contexts, salts, sizes = ([unpack(r[k]) for r in rows] for k in ("contexts", "salts", "sizes"))
-        # A request's context and salt as one number: salts are few, contexts below 2^40.
-        asked, request = np.unique(np.concatenate([c * 4096 + s for c, s in zip(contexts, salts)]), return_inverse=True)
+        salt = np.concatenate(salts)
+        _, context = np.unique(np.concatenate(contexts), return_inverse=True)  # numbered anew, so that it and the salt fit one number
+        asked, request = np.unique(context.reshape(-1) * (int(salt.max(initial=0)) + 1) + salt, return_inverse=True)
         request = request.reshape(-1)
         word = np.concatenate([unpack(r["words"]) for r in rows])
         of = np.repeat(request, np.concatenate(sizes))
@@ -464,7 +467,8 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
     scratch = Scratch(spark, "katz")
     train = F.coalesce(remainder("doc_id", 7) != 2, F.lit(False))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), train.alias("train"), F.col("text").cast("string").alias("text"))
-    made = scratch.bucketed(docs.mapInArrow(_tokenise, _CHUNK), "chunks", "chunk")
+    size, starts = docs.agg(F.sum(F.octet_length("text")), F.count_if("train")).first()
+    made = scratch.bucketed(docs.mapInArrow(_tokenise, _CHUNK), "chunks", "chunk", -(-(size or 0) // BUCKET_BYTES))
     tokens = made.agg(F.sum("n_tokens")).first()[0] or 0
     chunks = made.drop("words", "seen")
     parts = max(4, -(-tokens // PART_ENTRIES))
@@ -472,12 +476,12 @@ def score(docs: DataFrame, order: int = 2) -> DataFrame:
 
     def reply(frame: DataFrame, k: int) -> tuple[DataFrame, Level]:
         table = scratch.table(frame, f"level{k}", "none")
-        return table.where("chunk >= 0").drop("info"), Level([r[0] for r in table.where("chunk = -1").select("info").collect()])
+        sums = table.where("chunk = -1").agg(*(F.sum(F.get("info", F.lit(i))) for i in range(GT + 3))).first()
+        return table.where("chunk >= 0").drop("info"), Level([x or 0 for x in sums])
 
     asked = made.select("chunk", "words", "seen").mapInArrow(_ask_words(parts), _ASK1)
     replies, level = reply(asked.groupBy("part").applyInArrow(_count_words(parts), _REPLY), 1)
     levels = [level]
-    starts = docs.where("train").count()
 
     def meet(run, schema: str) -> DataFrame:
         return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(run, schema)
