@@ -230,3 +230,20 @@ def test_report_bundle_and_question(spark, analysis, root, tmp_path):
     assert {"risk", "callee"} <= parts
     report.write_tables(analysis, str(tmp_path / "t"))
     assert spark.read.json(str(tmp_path / "t/edges")).count() == out["meta"]["edges"]
+
+
+def test_other_files_are_not_read(spark, tmp_path):
+    """Archives and images beside the sources are listed and not read, of whatever size; manifests of any size are."""
+    from weftline.sources import tree
+
+    (tmp_path / "a.py").write_text("x = 1\n")
+    (tmp_path / "_b.py").write_text("y = 1\n")
+    (tmp_path / "blob.bin").write_bytes(b"0" * 200_000)
+    (tmp_path / "package.json").write_text('{"name": "' + "n" * 30_000 + '"}')
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", 100_000)
+    try:
+        assert sorted(r.path for r in tree.source_files(spark, str(tmp_path)).collect()) == ["_b.py", "a.py"]
+        assert sorted(r.path for r in tree.all_files(spark, str(tmp_path)).select("path", "size").collect()) == ["_b.py", "a.py", "blob.bin", "package.json"]
+        assert len(tree.named_files(spark, str(tmp_path), ["package.json"])["package.json"]) > 30_000
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")

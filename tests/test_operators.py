@@ -106,7 +106,7 @@ def test_rules_and_flows(spark):
     nodes = spark.createDataFrame(rows, "node string, signals array<string>, reachable array<string>")
     got = sorted((r.node, r.rule) for r in signals.arch_rules(nodes).collect())
     assert got == [("a", "unguarded_entry"), ("c", "cache_coherence_risk"), ("c", "concurrent_mutation"), ("e", "stateful_input_boundary")]
-    refs = spark.createDataFrame([("n", "f", s, k, k, "") for k, s in enumerate(["output_boundary", "input_boundary", "database_io", "database_io", "output_boundary"], 1)], "node string, file string, signal string, start int, stop int, reason string")
+    refs = spark.createDataFrame([("n", "f", s, k, k, "names a response object") for k, s in enumerate(["output_boundary", "input_boundary", "database_io", "database_io", "output_boundary"], 1)], "node string, file string, signal string, start int, stop int, reason string")
     runs = spark.createDataFrame([("n", "function", 1)], "node string, kind string, start int")
     r = signals.flow_summary(signals.flow_steps(refs, runs)).first()
     assert (r.path, r.boundary_first, r.ends_in_output) == ("input_boundary -> database_io -> output_boundary", True, True)
@@ -182,3 +182,37 @@ def test_contract(spark):
         "follow": ["must_not_open_followup_when_disabled"], "unset": ["must_set_final_outcome_for_terminal_result"], "open": [], "ambiguous": ["must_not_claim_uniqueness_while_ambiguous"],
     }
     assert got["fine"].valid and got["fine"].status == "accepted" and got["high"].capped_outcome == "partial" and got["open"].status == "open"
+
+
+def test_calls_of_fetch_are_no_definitions(spark):
+    rows = ["async fetch(url) {", "fetch(x) {", "export function fetch(u) {", "static async fetch(a, b) { return 1 }", "$fetch('/x')", "axios.defaults", "this.fetch(1)"]
+    calls = ["const r = await fetch('/x')", "return fetch(u)", "axios.get('/x')", "axios(o)", "fetch('/a').then(x => { go(x) })"]
+    lines = spark.createDataFrame([(f"n{k}", "f.js", "javascript", k + 1, x) for k, x in enumerate(rows + calls)], "node string, file string, language string, lineno int, text string")
+    got = {r["node"] for r in signals.match_lines(lines).where("signal = 'network_io'").collect()}
+    assert got == {f"n{len(rows) + k}" for k in range(len(calls))}
+
+
+def test_flow_keeps_the_output_of_a_single_line(spark):
+    refs = [("a", "f", "output_boundary", 5, 5, "prints"), ("b", "f", "output_boundary", 5, 5, "Names a Response Object"), ("b", "f", "database_io", 7, 7, "q")]
+    refs += [("c", "f", "output_boundary", 3, 3, "prints"), ("c", "f", "config_access", 3, 3, "x"), ("c", "f", "database_io", 9, 9, "q"), ("c", "f", "output_boundary", 9, 9, "prints")]
+    refs = spark.createDataFrame(refs, "node string, file string, signal string, start int, stop int, reason string")
+    nodes = spark.createDataFrame([("a", "function", 5), ("b", "function", 5), ("c", "function", 1)], "node string, kind string, start int")
+    got = sorted((r["node"], r["step"], r["signal"], r["start"]) for r in signals.flow_steps(refs, nodes).collect())
+    assert [r for r in got if r[0] == "a"] == [("a", 1, "output_boundary", 5)]
+    assert [r for r in got if r[0] == "b"] == [("b", 1, "database_io", 7)]
+    assert [(r[2], r[3]) for r in got if r[0] == "c"] == [("config_access", 3), ("database_io", 9), ("output_boundary", 9)]
+
+
+def test_ranges_of_many_blocks(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(f"n{k}", f"f{k % 2}", s, s + rng.choice([0, 3, 70, 900])) for k in range(120) for s in [rng.randrange(1, 1500)]]
+    spans = spark.createDataFrame(rows, "node string, file string, start int, stop int")
+    pairs = [(a, b) for a in rows for b in rows if a[1] == b[1]]
+    inside = lambda a, b: b[2] >= a[2] and b[3] <= a[3]
+    assert sorted(map(tuple, intervals.contained(spans).collect())) == sorted((a[0], b[0]) for a, b in pairs if a[0] != b[0] and inside(a, b))
+    got = intervals.overlapping(spans, spans.withColumnRenamed("node", "target")).select("node", "target").collect()
+    assert sorted(map(tuple, got)) == sorted((a[0], b[0]) for a, b in pairs if a[2] <= b[3] and b[2] <= a[3])
+    few = spans.where("stop - start > 60")
+    assert {r[0] for r in intervals.covered(spans, few).collect()} == {b[0] for a, b in pairs if a[3] - a[2] > 60 and inside(a, b)}

@@ -11,7 +11,7 @@ ALL = ("python", *JS, "java", "go", "rust", "csharp", "kotlin", "php", "ruby")
 PATTERNS: list[tuple[tuple[str, ...], str, str, str]] = [
     # Network clients
     (("python",), "network_io", r"\b(requests|httpx|aiohttp|urllib\.request|urllib3|socket|boto3|grpc)\.\w+", "uses a network client"),
-    (JS, "network_io", r"(?<!function )(?<![.\w])fetch\s*\(|\baxios\b\s*[.(]|\bnew\s+(WebSocket|XMLHttpRequest|EventSource)\b|\bhttps?\.(get|request)\s*\(", "uses a network client"),
+    (JS, "network_io", r"^(?!\s*((export|default|public|private|protected|static|readonly|override|async)\s+)*(function\s+fetch\s*\(|fetch\s*\([^)]*\)\s*\{)).*(?<![\w$.])fetch\s*\(|\baxios(\.[A-Za-z_]\w*)?\s*\(|\bnew\s+(WebSocket|XMLHttpRequest|EventSource)\b|\bhttps?\.(get|request)\s*\(", "uses a network client"),
     (("java",), "network_io", r"\b(RestTemplate|WebClient|HttpClient|OkHttpClient|FeignClient|HttpURLConnection|Socket)\b", "uses a network client"),
     (("go",), "network_io", r"\bhttp\.(Get|Post|PostForm|Head|NewRequest\w*|Client)\b|\bnet\.(Dial|Listen)\w*|\bgrpc\.(Dial|NewClient)\w*", "uses a network client"),
     (("rust",), "network_io", r"\b(reqwest|hyper|tonic)::|\b(TcpStream|UdpSocket|TcpListener)::", "uses a network client"),
@@ -80,11 +80,12 @@ PATTERNS: list[tuple[tuple[str, ...], str, str, str]] = [
     # Output
     (("python",), "output_boundary", r"(?<![.\w])print\s*\(|\b(logger|logging|log)\.(debug|info|warning|error|exception|critical)\s*\(|\b(jsonify|render|render_template|JSONResponse|HttpResponse|Response)\s*\(|\bsys\.stdout\b", "sends output"),
     (JS, "output_boundary", r"\bconsole\.\w+\s*\(|\bres\.(send|json|status|render|end)\s*\(|\bprocess\.stdout\b", "sends output"),
-    (("java",), "output_boundary", r"\bSystem\.(out|err)\.|\b(log|logger|LOG|LOGGER)\.(debug|info|warn|error)\s*\(|\bResponseEntity\b", "sends output"),
+    (("java",), "output_boundary", r"\bSystem\.(out|err)\.|\b(log|logger|LOG|LOGGER)\.(debug|info|warn|error)\s*\(", "sends output"),
+    (("java", "kotlin"), "output_boundary", r"\bResponseEntity\b", "names a response object"),
     (("go",), "output_boundary", r"\bfmt\.(Print|Fprint)\w*\s*\(|\blog\.\w+\s*\(|\bw\.Write\w*\s*\(|\b\w+\.(JSON|String|HTML)\s*\(\s*http\.", "sends output"),
     (("rust",), "output_boundary", r"\be?println!|\b(info|warn|error|debug|trace)!\s*\(|\bHttpResponse::", "sends output"),
     (("csharp",), "output_boundary", r"\bConsole\.Write\w*\s*\(|\b_?logger\.Log\w+\s*\(|\breturn\s+(Ok|BadRequest|NotFound|View|Json|Created\w*)\s*\(", "sends output"),
-    (("kotlin",), "output_boundary", r"(?<![.\w])println?\s*\(|\b(log|logger)\.(debug|info|warn|error)\b|\bcall\.respond\w*\s*\(|\bResponseEntity\b", "sends output"),
+    (("kotlin",), "output_boundary", r"(?<![.\w])println?\s*\(|\b(log|logger)\.(debug|info|warn|error)\b|\bcall\.respond\w*\s*\(", "sends output"),
     (("php",), "output_boundary", r"^\s*(echo|print)\b|\bresponse\(\)|\bview\s*\(|\bLog::\w+|\berror_log\s*\(|\bnew\s+JsonResponse\b", "sends output"),
     (("ruby",), "output_boundary", r"\b(puts|render|redirect_to)\b|\blogger\.\w+", "sends output"),
     # Guards by declaration

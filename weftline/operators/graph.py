@@ -62,13 +62,19 @@ def degrees(nodes: DataFrame, edges: DataFrame, external: DataFrame | None = Non
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 30, damping: float = 0.85, places: int = 8, cut: int = 5) -> DataFrame:
     """(node, pagerank) after exactly `rounds` rounds from 1/n; dangling rank spreads evenly, self-loops count.
 
-    Every `cut` rounds the ranks are written to the shared folder.
+    A graph of up to TASK_EDGES nodes and edges is ranked in one task, a larger
+    one by joins; every `cut` rounds the ranks are then written to the shared
+    folder.
     """
     spark = nodes.sparkSession
     scratch = Scratch(spark, "pagerank")
     node = nodes.select("node").distinct()
     out = edge_set(edges, loops=True)
     out = out.join(node.withColumnRenamed("node", "src"), "src", "left_semi").join(node.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    out = scratch.table(out, "edges")
+    if _small(out) and _small(node):
+        found = _in_one_task(node.where("node is not null"), out, lambda n, src, dst: rank_shares(n, src, dst, rounds, damping), "r double")
+        return found.select("node", F.round("r", places).alias("pagerank"))
     degree = out.groupBy("src").agg(F.count("*").alias("degree"))
     links = scratch.table(out.join(degree, "src"), "links")
     base = scratch.table(node.join(degree.withColumnRenamed("src", "node"), "node", "left"), "nodes")
@@ -91,6 +97,16 @@ def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int = 30, damping: floa
 # Whole-graph walks in one task
 
 
+def rank_shares(n: int, src: np.ndarray, dst: np.ndarray, rounds: int, damping: float) -> np.ndarray:
+    """The rank of each of the nodes 0..n-1 after so many rounds."""
+    degree = np.bincount(src, minlength=n)
+    rank = np.full(n, 1 / max(n, 1))
+    for _ in range(rounds):
+        given = np.bincount(dst, rank[src] / degree[src], n)
+        rank = (1 - damping) / n + damping * (given + rank[degree == 0].sum() / n)
+    return rank
+
+
 def _adjacent(pairs: list[tuple[str, str]]) -> dict[str, list[str]]:
     out: dict[str, list[str]] = defaultdict(list)
     for a, b in sorted(pairs):
@@ -191,7 +207,7 @@ def shares_of_paths(sources: list[str], ahead: dict[str, list[str]]) -> dict[str
 
 
 def _in_one_task(nodes: DataFrame, edges: DataFrame, run: Callable[[int, np.ndarray, np.ndarray], np.ndarray], column: str) -> DataFrame:
-    """(node, column) by run(nodes, sources, targets) on the nodes' positions by name, in one task; the caller has counted the edges.
+    """(node, column) by run(nodes, sources, targets) on the nodes' positions by name, in one task; the caller has counted nodes and edges.
 
     A column of type string is a position's name.
     """
@@ -218,13 +234,20 @@ def _small(edges: DataFrame, bound: int | None = None) -> bool:
     return edges.limit(bound + 1).count() <= bound
 
 
+def _linked(nodes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The nodes that have an edge, twice as many as edges at most, and the others."""
+    linked = pairs.select("src").union(pairs.select("dst")).distinct().toDF("node")
+    return linked, nodes.select("node").where("node is not null").distinct().join(linked, "node", "left_anti")
+
+
 def scc(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, scc_id, scc_size): the least member of the strongly connected component, and its size. A lone node is its own."""
     scratch = Scratch(nodes.sparkSession, "scc")
     pairs = scratch.table(edge_set(edges), "edges")
     names = nodes.select("node").union(pairs.select("src")).union(pairs.select("dst")).where("node is not null").distinct()
     if _small(pairs):
-        found = _in_one_task(names, pairs, strong_components, "scc_id string")
+        linked, alone = _linked(nodes, pairs)
+        found = _in_one_task(linked, pairs, strong_components, "scc_id string").unionByName(alone.withColumn("scc_id", F.col("node")))
     else:
         found = _scc_by_joins(names, pairs, scratch)
     found = scratch.table(found, "found")
@@ -306,7 +329,9 @@ def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     pairs = scratch.table(edge_set(edges), "edges")
     names = nodes.select("node").union(pairs.select("src")).union(pairs.select("dst")).where("node is not null").distinct()
     if _small(pairs):
-        found = _in_one_task(names, pairs, lambda n, src, dst: longest_depths(strong_components(n, src, dst), src, dst), "layer long")
+        linked, alone = _linked(nodes, pairs)
+        found = _in_one_task(linked, pairs, lambda n, src, dst: longest_depths(strong_components(n, src, dst), src, dst), "layer long")
+        found = found.unionByName(alone.withColumn("layer", F.lit(0).cast("long")))
         return nodes.select("node").distinct().join(found, "node")
     member = scratch.table(scc(names, pairs).select("node", F.col("scc_id").alias("c")), "member")
     links = pairs.join(member.select(F.col("node").alias("src"), F.col("c").alias("a")), "src").join(member.select(F.col("node").alias("dst"), F.col("c").alias("b")), "dst")

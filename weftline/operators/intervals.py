@@ -1,22 +1,37 @@
 """Line ranges: containment, own lines, coverage, merging.
 
-Ranges are closed, in lines from 1. Joins carry the file as their equi-key, so
-they plan as hash or sort-merge joins with the range as a residual predicate.
+Ranges are closed, in lines from 1. Ranges of a file meet by blocks of BLOCK
+lines: joins carry the file and the block as their equi-key, with the range as
+a residual predicate, so the work follows how many ranges lie over each other
+and not how many a file has.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.constants import MERGE_GAP
 
 
+#: Lines of a block in which ranges meet.
+BLOCK = 64
+
+
+def _block(line: str) -> Column:
+    return F.floor(F.col(line) / BLOCK)
+
+
+def _blocks(start: str, stop: str) -> Column:
+    """A row for each block that a range touches."""
+    return F.explode(F.sequence(_block(start), F.greatest(_block(start), _block(stop))))
+
+
 def contained(spans: DataFrame) -> DataFrame:
     """(outer, inner): pairs of spans(node, file, start, stop) of one file, the inner within the outer and not the same row."""
-    a = spans.select(F.col("node").alias("outer"), "file", F.col("start").alias("s1"), F.col("stop").alias("e1"))
-    b = spans.select(F.col("node").alias("inner"), "file", F.col("start").alias("s2"), F.col("stop").alias("e2"))
-    return a.join(b, "file").where("s2 >= s1 and e2 <= e1 and outer <> inner").select("outer", "inner")
+    a = spans.select(F.col("node").alias("outer"), "file", F.col("start").alias("s1"), F.col("stop").alias("e1"), _blocks("start", "stop").alias("block"))
+    b = spans.select(F.col("node").alias("inner"), "file", F.col("start").alias("s2"), F.col("stop").alias("e2"), _block("start").alias("block"))
+    return a.join(b, ["file", "block"]).where("s2 >= s1 and e2 <= e1 and outer <> inner").select("outer", "inner")
 
 
 def span_lines(spans: DataFrame) -> DataFrame:
@@ -40,14 +55,18 @@ def own_lines(lines: DataFrame, spans: DataFrame) -> DataFrame:
 
 def covered(ranges: DataFrame, slices: DataFrame) -> DataFrame:
     """The ranges(file, start, stop) that lie within one of slices(file, start, stop)."""
-    s = slices.select("file", F.col("start").alias("s"), F.col("stop").alias("e"))
-    return ranges.join(s, (ranges.file == s.file) & (s.s <= ranges.start) & (s.e >= ranges.stop), "left_semi")
+    s = slices.select("file", F.col("start").alias("s"), F.col("stop").alias("e"), _blocks("start", "stop").alias("block"))
+    same = (ranges.file == s.file) & (_block("start") == s.block)
+    return ranges.join(s, same & (s.s <= ranges.start) & (s.e >= ranges.stop), "left_semi")
 
 
 def overlapping(ranges: DataFrame, slices: DataFrame) -> DataFrame:
     """(node, file, target): the slices(target, file, start, stop) that share a line with each of ranges(node, file, start, stop)."""
-    s = slices.select("target", "file", F.col("start").alias("s"), F.col("stop").alias("e"))
-    return ranges.join(s, "file").where("s <= stop and e >= start").select("node", "file", "target")
+    r = ranges.select("node", "file", "start", "stop", _blocks("start", "stop").alias("block"))
+    s = slices.select("target", "file", F.col("start").alias("s"), F.col("stop").alias("e"), _blocks("start", "stop").alias("block"))
+    both = r.join(s, ["file", "block"]).where("s <= stop and e >= start")
+    # Two ranges meet in every block that both touch; the first of these counts.
+    return both.where(F.col("block") == F.greatest(_block("start"), _block("s"))).select("node", "file", "target")
 
 
 def padded(slices: DataFrame, pad: int = 3) -> DataFrame:

@@ -44,6 +44,15 @@ def analyse_questions(questions: DataFrame) -> DataFrame:
     return out.withColumn("scope", scope)
 
 
+#: Questions up to which they are broadcast.
+QUESTIONS = 1_000
+
+
+def _few(questions: DataFrame) -> DataFrame:
+    """The stated questions, marked for broadcast if counted few."""
+    return F.broadcast(questions) if questions.limit(QUESTIONS + 1).count() <= QUESTIONS else questions
+
+
 def mentions(questions: DataFrame, names: DataFrame, limit: int = 8) -> DataFrame:
     """(id, node, score, rank): the nodes that analysed questions mention, from names(node, forms, kind, span).
 
@@ -54,10 +63,10 @@ def mentions(questions: DataFrame, names: DataFrame, limit: int = 8) -> DataFram
     such a form gets 1.5 for each part of its first form among the words, 6 at
     most, if there are two, or 3.5 for one of eight letters or more. At one
     score executable nodes go first, then shorter ones, then by name.
-    Questions are few and broadcast.
+    Up to QUESTIONS questions are broadcast.
     """
     q = questions.select("id", "plain", "compact", "strict")
-    pairs = names.crossJoin(F.broadcast(q))  # a stated set of questions against all names
+    pairs = names.crossJoin(_few(q))  # a stated set of questions against all names
 
     def scored(form: Column, i: Column) -> Column:
         words, flat = spaced_text(form), compact_text(form)
@@ -81,7 +90,7 @@ def file_mentions(questions: DataFrame, files: DataFrame, limit: int = 6) -> Dat
     """(id, file, score, rank) of files(file): 12 for its name as a phrase, 10 for its stem as a word, 8 for equality without separators."""
     base = F.regexp_replace("file", "^.*/", "")
     stem = F.regexp_replace(base, r"(?<=.)\.[^.]*$", "")
-    pairs = files.select("file").distinct().crossJoin(F.broadcast(questions.select("id", "plain", "compact", "strict")))
+    pairs = files.select("file").distinct().crossJoin(_few(questions.select("id", "plain", "compact", "strict")))
     words = spaced_text(base)
     score = (
         F.when(words.contains(" ") & F.col("plain").contains(words), 12.0)
@@ -105,7 +114,7 @@ def rank_candidates(questions: DataFrame, nodes: DataFrame, limit: int = 10) ->
     """
     q = questions.select("id", "tokens", F.col("signals").alias("wanted"), "intents")
     n = nodes.withColumn("parts", identifier_tokens(F.concat_ws(" ", "name", "file")))
-    pairs = n.crossJoin(F.broadcast(q))  # a stated set of questions against all nodes
+    pairs = n.crossJoin(_few(q))  # a stated set of questions against all nodes
     words = F.size(F.array_intersect("parts", "tokens"))
     direct = F.size(F.array_intersect("signals", "wanted"))
     within = F.size(F.array_intersect("contained", "wanted"))

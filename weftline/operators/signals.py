@@ -113,16 +113,25 @@ def contained_rollup(refs: DataFrame, children: DataFrame, limit: int = SIGNAL_R
 def flow_steps(refs: DataFrame, nodes: DataFrame, limit: int = 12) -> DataFrame:
     """(node, step, signal, start, stop): the steps of executable nodes(node, kind, start) in order.
 
-    Signals that are steps, without output on the node's first line; ordered by
-    start, stop and the steps' own order; repeats of (signal, start, stop)
-    once; neighbours of one kind are kept, compact_steps joins them.
+    Signals that are steps, without an output on the node's first line that
+    only names a response object; ordered by start, stop and the steps' own
+    order; repeats of (signal, start, stop) once; the first `limit` count. Of
+    these an output before the earliest side effect is left out where another
+    step is on its lines. Neighbours of one kind are kept, compact joins them.
     """
     runs = nodes.where(F.col("kind").isin(*EXECUTABLE_KINDS)).select("node", F.col("start").alias("first"))
     rank = F.create_map(*(F.lit(x) for k, v in STEP_ORDER.items() for x in (k, v)))[F.col("signal")]
-    steps = refs.join(runs, "node").withColumn("k", rank).where(F.col("k").isNotNull() & ~((F.col("signal") == "output_boundary") & (F.col("start") == F.col("first"))))
+    output = F.col("signal") == "output_boundary"
+    named = output & (F.col("start") <= F.col("first")) & F.lower(F.coalesce("reason", F.lit(""))).contains("response object")
+    steps = refs.join(runs, "node").withColumn("k", rank).where(F.col("k").isNotNull() & ~named)
     steps = steps.select("node", "signal", "start", "stop", "k").distinct()
     order = Window.partitionBy("node").orderBy("start", "stop", "k", "signal")
-    return steps.withColumn("step", F.row_number().over(order)).where(F.col("step") <= limit).select("node", "step", "signal", "start", "stop")
+    steps = steps.withColumn("step", F.row_number().over(order)).where(F.col("step") <= limit)
+    effect = F.min(F.when(F.col("signal").isin(*SIDE_EFFECT), F.col("start"))).over(Window.partitionBy("node"))
+    others = F.count(F.when(~output, 1)).over(Window.partitionBy("node", "start", "stop"))
+    steps = steps.withColumns({"effect": effect, "others": others})
+    steps = steps.where(~(output & F.coalesce(F.col("start") < F.col("effect"), F.lit(False)) & (F.col("others") > 0)))
+    return steps.withColumn("step", F.row_number().over(Window.partitionBy("node").orderBy("step"))).select("node", "step", "signal", "start", "stop")
 
 
 def compact(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:

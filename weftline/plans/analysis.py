@@ -245,7 +245,7 @@ class Analysis:
 
     @cached_property
     def configs(self) -> dict[str, str]:
-        return tree.small_files(self.spark, self.root, r"(^|/)(apps\.txt|go\.mod|package\.json|pyproject\.toml|Cargo\.toml|pom\.xml|requirements[^/]*\.txt|(tsconfig[^/]*|jsconfig)\.json)$")
+        return tree.named_files(self.spark, self.root, ["apps.txt", "go.mod", "package.json", "pyproject.toml", "Cargo.toml", "pom.xml", "requirements*.txt", "tsconfig*.json", "jsconfig.json"])
 
     @cached_property
     def context(self) -> dict:
@@ -265,7 +265,7 @@ class Analysis:
 
     @cached_property
     def doctypes(self) -> DataFrame:
-        found = tree.all_files(self.spark, self.root).where("path like '%.json'")
+        found = tree.all_files(self.spark, self.root, ["*.json"])
         return self._table(doctypes.doctypes(found.select("path", F.expr("try_validate_utf8(cast(content as string))").alias("text"))), "doctypes")
 
     @cached_property

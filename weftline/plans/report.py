@@ -65,7 +65,7 @@ def _rows(df: DataFrame) -> list[dict]:
 
 
 def summary(a: Analysis, top: int = 20) -> dict:
-    """The bounded parts of a report: counts, the riskiest symbols, cycles, modules, warnings, inventory."""
+    """A report but for its nodes and edges: counts, the riskiest symbols, cycles, modules, all warnings, inventory."""
     files = tree.all_files(a.spark, a.root).select("path", "size")
     shown = ["node", "kind", "file", "start_line", "end_line", "risk", "ca", "ce_internal", "ce_external", "instability", "layer", "scc_size", "pagerank", "betweenness", "signals", "reasons"]
     languages = [r[0] for r in a.nodes.select("language").distinct().orderBy("language").collect()]
@@ -84,8 +84,8 @@ def summary(a: Analysis, top: int = 20) -> dict:
         "top_risks": _rows(risk.top_risks(a.metrics, top).select(*shown, "single_point")),
         "cycles": _rows(cycles.limit(CYCLES_SHOWN)),
         "modules": _rows(a.modules.orderBy(F.desc("risk"), "module").limit(40)),
-        "warnings": _rows(warnings.orderBy(rank, "rule", "node").limit(100)),
-        "parse_errors": _rows(a.parse_errors.orderBy("file").limit(100)),
+        "warnings": _rows(warnings.orderBy(rank, "rule", "node")),
+        "parse_errors": _rows(a.parse_errors.orderBy("file")),
         "signals": {
             "candidates": _rows(evidence.signal_candidates(a.signal_nodes)),
             "watchlist": _rows(evidence.watchlist(a.signal_nodes)),
@@ -93,7 +93,7 @@ def summary(a: Analysis, top: int = 20) -> dict:
             "by_signal": {r["signal"]: r["n"] for r in _rows(evidence.nodes_by_signal(a.signal_nodes).orderBy("signal"))},
             "files": _rows(evidence.files_by_weight(a.refs)),
         },
-        "tainted": _rows(a.taint.orderBy("node").limit(100)),
+        "tainted": _rows(a.taint.orderBy("node")),
         "confidence": {r["label"]: r["n"] for r in _rows(a.edges.groupBy("label").agg(F.count("*").alias("n")).orderBy("label"))},
         "inventory": {
             "extensions": _rows(extensions(files)),

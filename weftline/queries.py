@@ -124,18 +124,20 @@ def degrees(spark, sf):
 
 
 def _pagerank_sql(rounds: int) -> str:
-    steps = ["r0 AS (SELECT node, 1.0 / (SELECT count(*) FROM v2) AS r FROM v2)"]
-    for k in range(1, rounds + 1):
-        steps.append(
-            f"r{k} AS (SELECT v2.node, 0.15 / (SELECT count(*) FROM v2) + 0.85 * (coalesce(got, 0) + (SELECT coalesce(sum(r), 0) FROM r{k - 1} WHERE node NOT IN (SELECT src FROM g2)) / (SELECT count(*) FROM v2)) AS r "
-            f"FROM v2 LEFT JOIN (SELECT dst AS node, sum(r / d) AS got FROM g2 JOIN deg USING (src) JOIN r{k - 1} ON r{k - 1}.node = g2.src GROUP BY 1) USING (node))"
-        )
-    return f"WITH {G2}, deg AS (SELECT src, count(*) AS d FROM g2 GROUP BY 1), " + ", ".join(steps) + f" SELECT node, round(r, 6) AS pagerank FROM r{rounds}"
-
-
-@query(_pagerank_sql(5))
+    return f"""WITH RECURSIVE {G2}, deg AS (SELECT src, count(*) AS d FROM g2 GROUP BY 1), n AS (SELECT count(*) AS n FROM v2),
+names AS (SELECT node, row_number() OVER (ORDER BY node) AS i FROM v2),
+gives AS (SELECT a.i AS i, list([b.i, d] ORDER BY b.i) AS links FROM g2 JOIN names a ON a.node = src JOIN names b ON b.node = dst JOIN deg USING (src) GROUP BY a.i),
+ranked AS (SELECT 0 AS k, list(CAST(1.0 / n AS DOUBLE) ORDER BY i) AS r FROM names, n
+  UNION ALL SELECT k + 1, (SELECT list(CAST(0.15 / n + 0.85 * (coalesce(got, 0) + loose / n) AS DOUBLE) ORDER BY names.i) FROM names, n,
+      (SELECT coalesce(sum(r[names.i]), 0) AS loose FROM names WHERE names.i NOT IN (SELECT i FROM gives))
+      LEFT JOIN (SELECT link[1] AS i, sum(share) AS got FROM (SELECT unnest(links) AS link, r[gives.i] / len(links) AS share FROM gives) GROUP BY 1) g ON g.i = names.i)
+    FROM ranked WHERE k < {rounds})
+SELECT node, round(r[i], 8) AS pagerank FROM names, ranked WHERE k = {rounds}"""
+
+
+@query(_pagerank_sql(30))
 def pagerank(spark, sf):
-    return graph.pagerank(_nations(spark, sf), g2_edges(spark, sf), rounds=5, places=6)
+    return graph.pagerank(_nations(spark, sf), g2_edges(spark, sf))
 
 
 @query(f"""WITH {G2},
@@ -408,12 +410,13 @@ def _paths(spark, sf):
     return _t(spark, sf, "pages").select("page_id", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "").alias("path"))
 
 
-@query(f"""WITH {_PATHS}, i AS (SELECT DISTINCT string_split(path, '/')[1] || '/' || string_split(path, '/')[2] AS name FROM pa WHERE page_id % 2 = 0),
+@query(f"""WITH {_PATHS}, i AS (SELECT DISTINCT string_split(path, '/')[1] || '/' || string_split(path, '/')[2] AS name FROM pa WHERE path LIKE 'blog.%' UNION SELECT DISTINCT string_split(path, '/')[1] FROM pa),
 r AS (SELECT DISTINCT path AS ref FROM pa), t AS (SELECT ref, array_to_string(list_slice(string_split(ref, '/'), 1, k), '/') AS name FROM (SELECT ref, unnest(range(1, len(string_split(ref, '/')) + 1)) AS k FROM r))
 SELECT ref, arg_max(name, length(name)) AS name, 'd:' || arg_max(name, length(name)) AS node FROM t JOIN i USING (name) GROUP BY ref""")
 def longest_prefix(spark, sf):
     paths = _paths(spark, sf)
-    names = paths.where("page_id % 2 = 0").select(F.array_join(F.slice(F.split("path", "/"), 1, 2), "/").alias("name")).where(F.col("name").contains("/")).distinct()
+    first = lambda k: F.array_join(F.slice(F.split("path", "/"), 1, k), "/").alias("name")
+    names = paths.where("path like 'blog.%'").select(first(2)).union(paths.select(first(1))).distinct()
     return resolve.longest_prefix(paths.select(F.col("path").alias("ref")), names.withColumn("node", F.concat(F.lit("d:"), "name")), "/")
 
 
@@ -456,12 +459,12 @@ def unresolved_anti(spark, sf):
 
 # Ranges of lines: a document takes some lines of its source
 
-_SPANS = "sp AS (SELECT 'd' || doc_id AS node, source AS file, CAST(1 + doc_id * 37 % 4000 AS INT) AS start, CAST(1 + doc_id * 37 % 4000 + n_chars % 25 AS INT) AS stop, n_chars FROM documents)"
+_SPANS = "sp AS (SELECT 'd' || doc_id AS node, source AS file, CAST(1 + doc_id * 37 % 4000 AS INT) AS start, CAST(1 + doc_id * 37 % 4000 + n_chars % 25 AS INT) AS stop, n_chars, lang FROM documents)"
 
 
 def _spans(spark, sf):
     start = 1 + F.col("doc_id") * 37 % 4000
-    return _t(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("node"), F.col("source").alias("file"), start.cast("int").alias("start"), (start + F.col("n_chars") % 25).cast("int").alias("stop"), "n_chars")
+    return _t(spark, sf, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("node"), F.col("source").alias("file"), start.cast("int").alias("start"), (start + F.col("n_chars") % 25).cast("int").alias("stop"), "n_chars", "lang")
 
 
 @query(f"WITH {_SPANS} SELECT a.node AS \"outer\", b.node AS \"inner\" FROM sp a JOIN sp b ON a.file = b.file AND b.start >= a.start AND b.stop <= a.stop AND a.node <> b.node")
@@ -476,16 +479,16 @@ def slice_merge(spark, sf):
     return intervals.merge_slices(_spans(spark, sf).withColumnsRenamed({"node": "name", "n_chars": "score"}))
 
 
-@query(f"WITH {_SPANS} SELECT node FROM sp WHERE EXISTS (SELECT 1 FROM sp b WHERE b.file = sp.file AND b.start <= sp.start AND b.stop >= sp.stop AND b.n_chars % 3 = 0)")
+@query(f"WITH {_SPANS} SELECT node FROM sp WHERE EXISTS (SELECT 1 FROM sp b WHERE b.file = sp.file AND b.start <= sp.start AND b.stop >= sp.stop AND b.lang <> 'en')")
 def slice_coverage(spark, sf):
     rows = _spans(spark, sf)
-    return intervals.covered(rows, rows.where("n_chars % 3 = 0")).select("node")
+    return intervals.covered(rows, rows.where("lang <> 'en'")).select("node")
 
 
-@query(f"WITH {_SPANS} SELECT a.node, a.file, b.node AS target FROM sp a JOIN sp b ON a.file = b.file AND b.start <= a.stop AND b.stop >= a.start WHERE a.n_chars % 10 = 0")
+@query(f"WITH {_SPANS} SELECT a.node, a.file, b.node AS target FROM sp a JOIN sp b ON a.file = b.file AND b.start <= a.stop AND b.stop >= a.start")
 def slice_overlap(spark, sf):
     rows = _spans(spark, sf)
-    return intervals.overlapping(rows.where("n_chars % 10 = 0"), rows.withColumnRenamed("node", "target"))
+    return intervals.overlapping(rows, rows.withColumnRenamed("node", "target"))
 
 
 _LINES = "ln AS (SELECT 'd' || doc_id AS node, source AS file, CAST(i AS INT) AS lineno, lines[i] AS text FROM (SELECT *, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents)))"
@@ -561,24 +564,32 @@ def flow_compact(spark, sf):
     return signals.compact(_t(spark, sf, "events"), "user_id", ["ts", "event_id"], "event_type").select("user_id", "event_id", "event_type")
 
 
-def _event_refs(spark, sf):
-    e = _t(spark, sf, "events")
-    signal = F.create_map(*(F.lit(x) for k, v in _SIGNAL_OF.items() for x in (k, v)))[F.col("event_type")]
-    return e.select(_id("u", "user_id").alias("node"), F.lit("f").alias("file"), signal.alias("signal"), F.col("event_id").alias("start"), F.col("event_id").alias("stop"), F.lit("").alias("reason"))
+_STEP_OF = {"click": "input_boundary", "error": "error_handling", "purchase": "database_io", "signup": "output_boundary", "view": "config_access"}
+_CASE_STEP = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _STEP_OF.items()) + " END"
+_STEP_RANK = "CASE signal " + " ".join(f"WHEN '{v}' THEN {signals.STEP_ORDER[v]}" for v in _STEP_OF.values()) + " END"
+_FLOW = f"""r AS (SELECT 'u:' || user_id AS node, {_CASE_STEP} AS signal, event_id // 300 AS start, value > 20 AS named, min(event_id // 300) OVER (PARTITION BY user_id) AS first FROM events),
+d AS (SELECT DISTINCT node, signal, start FROM r WHERE NOT (signal = 'output_boundary' AND named AND start <= first)),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY start, {_STEP_RANK}, signal) AS k FROM d) WHERE k <= 12),
+e AS (SELECT node, min(start) AS effect FROM o WHERE signal = 'database_io' GROUP BY node),
+f AS (SELECT o.* FROM o LEFT JOIN e USING (node) WHERE NOT (signal = 'output_boundary' AND coalesce(start < effect, false) AND EXISTS (SELECT 1 FROM o x WHERE x.node = o.node AND x.start = o.start AND x.signal <> 'output_boundary'))),
+st AS (SELECT node, row_number() OVER (PARTITION BY node ORDER BY k) AS step, signal, start, start AS stop FROM f)"""
 
 
-@query(f"""WITH r AS (SELECT 'u:' || user_id AS node, {_CASE_SIGNAL} AS signal, event_id AS start FROM events)
-SELECT * FROM (SELECT node, row_number() OVER (PARTITION BY node ORDER BY start) AS step, signal, start, start AS stop FROM r) WHERE step <= 12""")
+@query(f"WITH {_FLOW} SELECT * FROM st")
 def flow_steps(spark, sf):
-    refs = _event_refs(spark, sf)
-    return signals.flow_steps(refs, refs.select("node").distinct().select("node", F.lit("function").alias("kind"), F.lit(-1).alias("start")))
+    e = _t(spark, sf, "events")
+    signal = F.create_map(*(F.lit(x) for k, v in _STEP_OF.items() for x in (k, v)))[F.col("event_type")]
+    line = F.floor(F.col("event_id") / 300)
+    reason = F.when(F.col("value") > 20, "names a response object").otherwise("sends output")
+    refs = e.select(_id("u", "user_id").alias("node"), F.lit("f").alias("file"), signal.alias("signal"), line.alias("start"), line.alias("stop"), reason.alias("reason"))
+    return signals.flow_steps(refs, refs.groupBy("node").agg(F.min("start").alias("start")).withColumn("kind", F.lit("function")))
 
 
-@query(f"""WITH r AS (SELECT 'u:' || user_id AS node, {_CASE_SIGNAL} AS signal, event_id AS start FROM events),
-s AS (SELECT *, lag(signal) OVER (PARTITION BY node ORDER BY step) AS b FROM (SELECT node, row_number() OVER (PARTITION BY node ORDER BY start) AS step, signal FROM r) WHERE step <= 12),
+@query(f"""WITH {_FLOW},
+s AS (SELECT *, lag(signal) OVER (PARTITION BY node ORDER BY step) AS b FROM st),
 c AS (SELECT * FROM s WHERE b IS NULL OR b <> signal)
 SELECT node, string_agg(signal, ' -> ' ORDER BY step) AS path,
-  coalesce(min(step) FILTER (signal = 'input_boundary') < min(step) FILTER (signal IN ('database_io', 'state_mutation', 'network_io')), false) AS boundary_first,
+  coalesce(min(step) FILTER (signal = 'input_boundary') < min(step) FILTER (signal = 'database_io'), false) AS boundary_first,
   arg_max(signal, step) = 'output_boundary' AS ends_in_output, bool_or(signal = 'error_handling') AS handles_errors FROM c GROUP BY node""")
 def flow_summary(spark, sf):
     return signals.flow_summary(flow_steps(spark, sf))
@@ -703,7 +714,27 @@ def primary_coverage(spark, sf):
     return rows.select("user_id", F.size("matched").alias("matched"), "ratio", "status")
 
 
-@query()
+@query("""WITH e AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS seen, max(event_id) AS m FROM events GROUP BY user_id),
+r AS (SELECT user_id, seen, ['a', 'b', 'c'][m % 3 + 1] AS used, ['ambiguous', 'partial', 'confirmed', 'unproven', ''][m % 5 + 1] AS said, ['done', ''][m % 2 + 1] AS stop,
+  ['in_progress', 'completed_within_bounds', 'odd'][m % 3 + 1] AS state, m % 4 = 0 AS followed, list_position(seen, 'view') AS v FROM e),
+q AS (SELECT *, state = 'completed_within_bounds' AS final, v IS NULL AS missing, CASE WHEN v IS NULL THEN 0 WHEN list_contains(seen[v + 1:], 'click') THEN 2 ELSE 1 END AS matched FROM r),
+x AS (SELECT *, array_to_string(list_filter([
+    CASE WHEN used <> 'a' THEN 'must_respect_allowed_claims' END,
+    CASE WHEN used = 'b' THEN 'must_not_use_disallowed_claims' END,
+    CASE WHEN said = 'confirmed' THEN 'must_not_exceed_outcome_ceiling' END,
+    CASE WHEN said = 'unproven' THEN 'must_not_drop_below_minimum_honest_outcome' END,
+    CASE WHEN said = '' AND final THEN 'must_set_final_outcome_for_terminal_result' END,
+    CASE WHEN seen[1] <> 'view' THEN 'must_read_primary_slice_first' END,
+    CASE WHEN final AND matched < 2 THEN 'must_read_required_sequence_for_terminal_result' END,
+    CASE WHEN final AND missing THEN 'must_cover_required_primary_symbols_for_terminal_result' END,
+    CASE WHEN state = 'odd' OR final AND stop <> 'done' THEN 'must_stop_when_completion_criteria_met' END,
+    CASE WHEN followed THEN 'must_not_open_followup_when_disabled' END,
+    CASE WHEN said NOT IN ('', 'ambiguous') THEN 'must_not_claim_uniqueness_while_ambiguous' END], lambda t: t IS NOT NULL), ',') AS violations,
+  array_to_string(list_filter([CASE WHEN said = '' AND state = 'odd' THEN 'must_not_exceed_outcome_ceiling' END,
+    CASE WHEN missing AND NOT final THEN 'must_cover_required_primary_symbols_for_terminal_result' END], lambda t: t IS NOT NULL), ',') AS warnings,
+  CASE WHEN said IN ('', 'confirmed') THEN 'partial' ELSE said END AS capped_outcome FROM q),
+y AS (SELECT *, CASE WHEN violations <> '' THEN 'rejected' WHEN state = 'in_progress' THEN 'open' WHEN warnings <> '' THEN 'accepted_with_warnings' ELSE 'accepted' END AS status FROM x)
+SELECT user_id, violations = '' AS valid, violations, warnings, capped_outcome, status, CASE status WHEN 'rejected' THEN 'fix_violations' WHEN 'open' THEN 'continue' ELSE 'close' END AS next_action FROM y""")
 def contract_validation(spark, sf):
     """A result a user: the events are what was inspected."""
     e = _t(spark, sf, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type"))), lambda x: x["event_type"]).alias("seen"), F.max("event_id").alias("m"))

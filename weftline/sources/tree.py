@@ -57,11 +57,19 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([address]), pa.array([len(data)]), pa.array([data], pa.binary())], ["path", "length", "content"])
 
 
-def all_files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, size, content) of the files below a folder outside ignored directories; paths are relative to it."""
+def all_files(spark: SparkSession, root: str, names: list[str] | None = None) -> DataFrame:
+    """(path, size, content) of the files below a folder outside ignored directories; paths are relative to it.
+
+    names: globs of which a file's name must match one; other files are only
+    listed. Where `content` is not selected, no file is read.
+    """
     base = root.rstrip("/")
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path", "length", "content")
-    if more := _underscored(spark, base):
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if names:
+        reader = reader.option("pathGlobFilter", f"{{{','.join(names)}}}")
+    raw = reader.load(base).select("path", "length", "content")
+    more = [x for x in _underscored(spark, base) if not names or any(fnmatch.fnmatchcase(posixpath.basename(x), g) for g in names)]
+    if more:
         ship(spark)
         listed = spark.createDataFrame([(x,) for x in more], "path string")
         raw = raw.unionByName(listed.mapInArrow(_read, "path string, length long, content binary"))
@@ -81,9 +89,9 @@ def source_files(spark: SparkSession, root: str, exclude: list[str] | None = Non
     """(path, language, text): files of known suffixes, without declaration files; text is null where it is no UTF-8.
 
     exclude: globs that a directory's name, the whole path or the file's name
-    may match. Only the path is looked at before the content is read.
+    may match. Files of other suffixes are not read.
     """
-    files = all_files(spark, root)
+    files = all_files(spark, root, [f"*{x}" for x in LANGUAGE_BY_SUFFIX])
     suffix = F.regexp_extract("path", r"(\.[A-Za-z0-9]+)$", 1)
     language = F.create_map(*(F.lit(x) for k, v in LANGUAGE_BY_SUFFIX.items() for x in (k, v)))[suffix]
     files = files.withColumn("language", language).where(F.col("language").isNotNull() & ~F.col("path").endswith(".d.ts"))
@@ -124,9 +132,9 @@ def relaxed_json(text: str) -> dict:
     return out if isinstance(out, dict) else {}
 
 
-def small_files(spark: SparkSession, root: str, expression: str, limit: int = 1 << 20) -> dict[str, str]:
-    """path -> text of the files whose path matches and whose size is within the limit: configurations, manifests."""
-    rows = all_files(spark, root).where(F.col("path").rlike(expression) & (F.col("size") <= limit)).select("path", F.expr("try_validate_utf8(cast(content as string))")).collect()
+def named_files(spark: SparkSession, root: str, names: list[str]) -> dict[str, str]:
+    """path -> text of the files whose name matches one of the globs: configurations and manifests, which the driver reads as a whole."""
+    rows = all_files(spark, root, names).select("path", F.expr("try_validate_utf8(cast(content as string))")).collect()
     return {r[0]: r[1] for r in rows if r[1] is not None}
 
 
