@@ -402,10 +402,12 @@ def _components(docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     members = scratch.table(members.join(classes.select("rep", "n_shingles", "sketch"), "rep"), "members")
     members = block_pairs(members, "c", BUCKET_CAP, "rep").select("bucket", "bi", "bj", "rep", "n_shingles", "sketch")
     members = members.repartition("bucket", "bi", "bj").sortWithinPartitions("bucket", "bi", "bj")
-    screened = scratch.table(members.mapInArrow(_screen(percent, screen), "u long, v long"), "screened")
+    screened = members.mapInArrow(_screen(percent, screen), "u long, v long")
+    screened = scratch.table(screened.distinct(), "screened")  # many buckets of a group give one edge
     candidates = connected_components(screened, scratch, "candidates")
 
-    degree = screened.select(F.explode(F.array("u", "v")).alias("rep")).groupBy("rep").agg(F.count("*").alias("degree"))
+    ends = [screened.groupBy(F.col(c).alias("rep")).agg(F.count("*").alias("n")) for c in ("u", "v")]
+    degree = ends[0].unionByName(ends[1]).groupBy("rep").agg(F.sum("n").alias("degree"))
     sized = candidates.join(classes.select(F.col("rep").alias("node"), "file", "f1", "f2", "n_shingles"), "node")
     totals = sized.groupBy("component").agg(F.sum("n_shingles").alias("total"), F.count("*").alias("rows"))
     sized = sized.join(totals, "component").select("component", F.col("node").alias("rep"), "file", "f1", "f2", "rows", "total")
