@@ -240,6 +240,14 @@ class Analysis:
         self.with_doctypes = doctypes
         self.scratch = Scratch(spark, "analysis")
 
+    @classmethod
+    def of_files(cls, spark: SparkSession, files: DataFrame, configs: dict[str, str] | None = None, **options) -> Analysis:
+        """The analysis of files(path, language, text) that some other source gave, with the texts of configurations by path."""
+        out = cls(spark, "", **options)
+        out.files = out._table(files.select("path", "language", "text"), "files")
+        out.configs = dict(configs or {})
+        return out
+
     def _table(self, df: DataFrame, name: str) -> DataFrame:
         return self.scratch.table(df, name)
 

@@ -543,7 +543,8 @@ def _parse_curly(path: str, text: str, d: Dialect) -> list[dict]:
                     if q:
                         local_q[p] = q
             end = inner[1] + 1 if inner else stop + 1
-            given = [p for p, *_ in params] or [q.split(":")[0].split("=")[0].split()[-1].lstrip("$&.") for q in split_top(plain[k.end("open") : stop]) if q.split(":")[0].split("=")[0].split()]
+            # Kotlin names a parameter before its type.
+            given = [p for p, *_ in params if d.name != "kotlin"] or [q.split(":")[0].split("=")[0].split()[-1].lstrip("$&.") for q in split_top(plain[k.end("open") : stop]) if q.split(":")[0].split("=")[0].split()]
             out.append(
                 row(path, d.name, module, f"{name}.{k.group('name')}", "method", src.lines(k.start("name"), end), class_context=name, calls=calls_of(plain[inner[0] : inner[1]], _CURLY_WORDS) if d.calls and inner else [], params=given, decorators=re.findall(r"[@\[]\s*([A-Za-z_]\w*)", _annotations(text, k.start())), exported="public" in k.group("mods"), **(shared | {"member_types": local, "member_qualifiers": local_q}))
             )
