@@ -208,6 +208,10 @@ def test_report_bundle_and_question(spark, analysis, root, tmp_path):
     assert "filesystem_io" in answer["signals"] and answer["outcome"] == "confirmed" and answer["mentions"] == []
     assert answer["plan"]["steps"][0]["open"] == "pkg/far.py:3-4" and answer["result"]["posture"] == "firm" and answer["packet"]["mode"] == "verify"
     assert "pkg/far.py:4-4#filesystem_io" in answer["evidence"] and answer["followup"] is None
+    # The slice holds the line that opens the file, not the test before it; nothing is called from there.
+    assert answer["completeness"] == {"pkg.far:away": "partial"} and answer["gaps"] == answer["paths"] == answer["chains"] == []
+    file = ask.ask(analysis, "What is in far.py?", 40)
+    assert file["mentioned_files"] == ["pkg/far.py"] and file["candidates"][0]["file"] == "pkg/far.py"
     other = ask.ask(analysis, "How does away open the file and query the database?", 40)
     assert other["outcome"] == "partial" and other["missing_signals"] == ["database_io"] and "no evidence of database_io" in other["result"]["limits"]
     assert all(x["blocked_by"] or x["allowed"] for x in other["escalation"])

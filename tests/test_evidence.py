@@ -73,3 +73,23 @@ def test_chains_and_order(spark):
     assert got == [("p1", "input_boundary -> database_io -> output_boundary", 2, True), ("p2", "input_boundary", 1, False)]
     edges = spark.createDataFrame([("x", 1, "b", "c"), ("x", 2, "a", "b"), ("y", 1, "m", "n"), ("y", 2, "n", "m"), ("z", 1, "s", "t"), ("z", 2, "u", "v")], "id string, position int, src string, dst string")
     assert {r.id: r.nodes for r in evidence.ordered_nodes(edges).collect()} == {"x": ["a", "b", "c"], "y": ["m", "n"], "z": ["s", "t", "u", "v"]}
+
+
+def test_paths_and_states_of_an_answer(spark):
+    from types import SimpleNamespace
+
+    from weftline.plans import ask
+
+    edges = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.8), ("b", "a", 0.99), ("c", "d", 0.9), ("x", "a", 0.9)], "src string, dst string, score double")
+    rows = ask.evidence_paths(SimpleNamespace(edges=edges), spark.createDataFrame([("a",)], "node string"))
+    got = sorted((r.path, r.position, r.node, r.confidence) for r in rows.collect())
+    assert got == [("a -> b", 0, "a", 0.9), ("a -> b", 1, "b", 0.9), ("a -> b -> c", 0, "a", 0.8), ("a -> b -> c", 1, "b", 0.8), ("a -> b -> c", 2, "c", 0.8)]
+    flows = spark.createDataFrame([("a", ["input_boundary"]), ("b", ["output_boundary", "database_io"]), ("c", ["database_io", "output_boundary"])], "node string, steps array<string>")
+    chains = {r.path: (r.chain, r.complete) for r in evidence.flow_chains(rows, flows).collect()}
+    assert chains == {"a -> b": ("input_boundary -> output_boundary -> database_io", True), "a -> b -> c": ("input_boundary -> database_io -> output_boundary", True)}
+
+    steps = spark.createDataFrame([("n", "s", 5, 5), ("n", "t", 70, 71), ("m", "s", 5, 6), ("o", "s", 200, 200), ("p", "s", 130, 130)], "node string, signal string, start int, stop int")
+    spans = spark.createDataFrame([(n, "f") for n in "nmop"], "node string, file string")
+    primary = spark.createDataFrame([("f", 1, 10)], "file string, start int, stop int")
+    every = primary.union(spark.createDataFrame([("f", 60, 140)], "file string, start int, stop int"))
+    assert {r.node: r.completeness for r in ask.flow_states(steps, spans, primary, every).collect()} == {"n": "partial", "m": "complete", "o": "missing", "p": "context_only"}

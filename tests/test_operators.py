@@ -128,6 +128,26 @@ def test_names(spark):
     assert sorted(one(spark, "How is the userToken for di checked?", tx.strict_tokens)) == ["checked", "di", "usertoken"]
 
 
+def test_candidates_by_mention_scope_and_cover(spark):
+    q = retrieve.analyse_questions(spark.createDataFrame([("q", "How does saveOrder reach the database over the network?")], "id string, question string"))
+    rows = [
+        ("m:saveOrder", "saveOrder", "m.py", "function", 0.0, ["database_io", "network_io"], [], 0.0, False, True),
+        ("m:half", "half", "m.py", "function", 0.0, ["database_io"], [], 0.0, False, False),
+        ("m:Box", "Box", "m.py", "class", 0.0, [], ["database_io", "network_io"], 0.0, False, False),
+        ("m:other", "other", "m.py", "function", 90.0, [], [], 1.0, False, False),
+    ]
+    nodes = spark.createDataFrame(rows, "node string, name string, file string, kind string, risk double, signals array<string>, contained array<string>, support double, ambiguous boolean, leads boolean")
+    named = spark.createDataFrame([("q", "m:saveOrder")], "id string, node string")
+    got = {r.node: r.score for r in retrieve.rank_candidates(q, nodes, 10, named).collect()}
+    wanted = q.first()
+    assert set(wanted.signals) == {"database_io", "network_io"} and wanted.scope == "path"
+    # 16 by name, 4.5 for three words (saveorder, save, order), 16 for two signals, 4 for their share, 3.5 as a function, 10 for all of them, 1.5 on a path
+    assert got["m:saveOrder"] == 16 + 4.5 + 16 + 4 + 3.5 + 10 + 1.5
+    # one of two signals, and nothing that ties it to the question
+    assert got["m:half"] == 8 + 2 + 3.5 - 4 - 10
+    assert got["m:Box"] == 6 + 1.5 + 0.5 - 2 + 1.5 - 3 and "m:other" not in got
+
+
 def test_budget_skips_and_goes_on(spark):
     rows = spark.createDataFrame([("q", k, c) for k, c in enumerate([50, 60, 30, 40, 5])], "g string, key int, cost int")
     got = {r.key: r.taken for r in retrieve.within_budget(rows, "g", ["key"], "cost", 100, first=1, share=0.9).collect()}

@@ -103,30 +103,69 @@ def file_mentions(questions: DataFrame, files: DataFrame, limit: int = 6) -> Dat
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("id", "file", "score", "rank")
 
 
-def rank_candidates(questions: DataFrame, nodes: DataFrame, limit: int = 10) -> DataFrame:
-    """(id, node, score, rank) of nodes(node, name, file, kind, risk, signals, contained, support, ambiguous) for analysed questions.
-
-    Words of the name in the question, signals it asks for that the node shows
-    itself (8 each) or contains (3 each), risk / 18 up to 5, 2.5 times the best
-    edge's score, a bonus for executable and a malus for module nodes, 5 if the
-    node's calls are ambiguous and the question is about that. Nodes without
-    a word or signal in common do not count.
+def rank_candidates(questions: DataFrame, nodes: DataFrame, limit: int = 10, named: DataFrame | None = None, named_files: DataFrame | None = None) -> DataFrame:
+    """(id, node, score, rank) of nodes(node, name, file, kind, risk, signals, contained, support, ambiguous, leads) for analysed questions.
+
+    named(id, node) and named_files(id, file) are what the questions mention.
+    The score adds up:
+
+    * 16 for a mentioned node, else 9 if its last name stands in the question; 9 for a mentioned file, else 4 for its stem;
+      1.5 for each other word in common, 6 at most, generic words apart,
+    * 8 for each signal asked for that the node shows itself, 3 for each that it contains, 4 and 1.5 times the shares of those,
+      less 2 if it only contains some; risk / 18 up to 5; 2.5 times the best edge's score; a bonus for executable and a malus for module nodes,
+    * 5 if calls of the node are ambiguous and the question is about that or mentions it,
+    * for several signals: 10 for all of them, 1.5 for all contained; less for a part, and less still if the question is about a path and nothing ties the node to it,
+    * up to 2 for what the question's scope prefers.
+
+    leads, which may be absent, tells whether an edge leaves the node. Nodes without a word, signal
+    or mention in common do not count.
     """
-    q = questions.select("id", "tokens", F.col("signals").alias("wanted"), "intents")
-    n = nodes.withColumn("parts", identifier_tokens(F.concat_ws(" ", "name", "file")))
+    q = questions.select("id", "tokens", "compact", "scope", F.col("signals").alias("wanted"), "intents")
+    n = nodes if "leads" in nodes.columns else nodes.withColumn("leads", F.lit(False))
+    n = n.withColumn("parts", identifier_tokens(F.concat_ws(" ", "name", "file")))
     pairs = n.crossJoin(_few(q))  # a stated set of questions against all nodes
-    words = F.size(F.array_intersect("parts", "tokens"))
-    direct = F.size(F.array_intersect("signals", "wanted"))
-    within = F.size(F.array_intersect("contained", "wanted"))
-    asked = F.size("wanted")
+    for rows, by, mark in ((named, "node", "by_name"), (named_files, "file", "by_file")):
+        if rows is None:
+            pairs = pairs.withColumn(mark, F.lit(False))
+        else:  # a few a question, as mentions and file_mentions limit them
+            pairs = pairs.join(rows.select("id", by).distinct().withColumn(mark, F.lit(True)), ["id", by], "left").withColumn(mark, F.coalesce(mark, F.lit(False)))
+    common = F.array_except(F.array_intersect("parts", "tokens"), F.array(*map(F.lit, GENERIC_WORDS)))
+    words = F.size(common)
+    last, stem = compact_text(F.element_at(F.split("name", r"\."), -1)), compact_text(F.regexp_replace(F.regexp_replace("file", "^.*/", ""), r"(?<=.)\.[^.]*$", ""))
+    within_question = lambda x: (x != "") & F.col("compact").contains(x)
+    by_name, by_file = F.col("by_name"), F.col("by_file")
+    lexical = F.when(by_name, 16.0).when(within_question(last), 9.0).otherwise(0.0) + F.when(by_file, 9.0).when(within_question(stem), 4.0).otherwise(0.0) + F.least(F.lit(6.0), 1.5 * words)
+    anchored = by_name | by_file | (words >= 2) | F.exists(common, lambda t: F.length(t) >= 8)
+
+    shown = F.array_intersect("signals", "wanted")
+    direct, within, asked = F.size(shown), F.size(F.array_intersect("contained", "wanted")), F.size("wanted")
     cover = lambda k: F.when(asked > 0, k / asked).otherwise(0.0)
-    kind = F.when(F.col("kind").isin(*EXECUTABLE_KINDS), 3.5).when(F.col("kind") == "module", -2.0).otherwise(0.5)
-    about = F.array_contains("intents", "ambiguity_resolution") & F.col("ambiguous")
-    score = (
-        F.least(F.lit(6.0), 1.5 * words) + 8.0 * direct + 3.0 * within + F.least(F.col("risk") / 18, F.lit(5.0)) + 2.5 * F.col("support") + 4.0 * cover(direct) + 1.5 * cover(within) + kind + F.when(about, 5.0).otherwise(0.0)
+    runs = F.col("kind").isin(*EXECUTABLE_KINDS)
+    kind = F.when(runs, 3.5).when(F.col("kind") == "module", -2.0).otherwise(0.5)
+    about = F.col("ambiguous") & (F.array_contains("intents", "ambiguity_resolution") | by_name)
+    base = 8.0 * direct + 3.0 * within + F.least(F.col("risk") / 18, F.lit(5.0)) + 2.5 * F.col("support") + 4.0 * cover(direct) + 1.5 * cover(within) + kind
+    base = base + F.when(about, 5.0).otherwise(0.0) - F.when((direct == 0) & (within > 0), 2.0).otherwise(0.0)
+
+    scope = F.col("scope")
+    loose = lambda malus: F.when((scope == "path") & ~anchored, malus).otherwise(0.0)
+    several = (
+        F.when(asked < 2, 0.0)
+        .when(direct == asked, 10.0)
+        .when(direct > 0, -8.0 * (1 - cover(direct)) - loose(10.0))
+        .when(within == asked, 1.5 - F.when(scope == "path", 3.0).otherwise(0.0))
+        .when(within > 0, -6.0 * (1 - cover(within)) - 4.0 - loose(6.0))
+        .otherwise(-loose(3.0))
+    )
+    limits = F.array(*map(F.lit, (*BOUNDARY, "auth_guard", "validation_guard")))
+    preferred = (
+        F.when((scope == "path") & runs & F.col("leads"), 1.5)
+        .when((scope == "boundary") & (F.size(F.array_intersect(shown, limits)) > 0), 2.0)
+        .when((scope == "semantic") & (direct > 0), 2.0)
+        .when((scope == "symbol") & by_name, 2.0)
+        .otherwise(0.0)
     )
-    pairs = pairs.where((words > 0) | (direct > 0) | (within > 0)).withColumn("score", F.round(score, 4))
-    order = Window.partitionBy("id").orderBy(F.desc("score"), F.desc(F.col("kind").isin(*EXECUTABLE_KINDS)), F.desc("risk"), "node")
+    pairs = pairs.where((words > 0) | (direct > 0) | (within > 0) | by_name | by_file).withColumn("score", F.round(lexical + base + several + preferred, 4))
+    order = Window.partitionBy("id").orderBy(F.desc("score"), F.desc(runs), F.desc("risk"), "node")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("id", "node", "score", "rank")
 
 

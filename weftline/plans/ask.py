@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.constants import COMPLETION_STATES, OUTCOME_ORDER
-from weftline.operators import evidence, graph, intervals, retrieve, risk
+from weftline.operators import evidence, graph, intervals, retrieve, risk, signals
 from weftline.plans.analysis import Analysis
 
 #: The share of the budget for the best candidates; what supports them may use the rest.
@@ -17,9 +17,10 @@ def _candidate_nodes(a: Analysis) -> DataFrame:
     support = graph.support_edges(a.edges.select("src", "dst", F.col("kinds").alias("kind"), "score"), 1).select("node", F.col("score").alias("support"))
     inside = a.children.join(a.signals.select(F.col("node").alias("inner"), "signals"), "inner").groupBy(F.col("outer").alias("node")).agg(F.array_distinct(F.flatten(F.collect_list("signals"))).alias("contained"))
     open_ = a.resolved.where("kind = 'ambiguous_candidates'").select("node").distinct().withColumn("ambiguous", F.lit(True))
+    leads = a.edges.where("src <> dst").select(F.col("src").alias("node"), F.lit(True).alias("leads")).distinct()
     none = F.array().cast("array<string>")
-    out = a.metrics.join(a.nodes.select("node", F.col("qualname").alias("name")), "node").join(support, "node", "left").join(inside, "node", "left").join(open_, "node", "left")
-    return out.select("node", "name", "file", "kind", "risk", "signals", F.coalesce("contained", none).alias("contained"), F.coalesce("support", F.lit(0.0)).alias("support"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"), "start_line", "end_line")
+    out = a.metrics.join(a.nodes.select("node", F.col("qualname").alias("name")), "node").join(support, "node", "left").join(inside, "node", "left").join(open_, "node", "left").join(leads, "node", "left")
+    return out.select("node", "name", "file", "kind", "risk", "signals", F.coalesce("contained", none).alias("contained"), F.coalesce("support", F.lit(0.0)).alias("support"), F.coalesce("ambiguous", F.lit(False)).alias("ambiguous"), F.coalesce("leads", F.lit(False)).alias("leads"), "start_line", "end_line")
 
 
 def ambiguities(a: Analysis, limit: int = 12) -> DataFrame:
@@ -28,6 +29,30 @@ def ambiguities(a: Analysis, limit: int = 12) -> DataFrame:
     return rows.orderBy(F.desc("risk"), "node", "raw").limit(limit).select("node", "raw", "options")
 
 
+def evidence_paths(a: Analysis, nodes: DataFrame) -> DataFrame:
+    """(id, path, confidence, position, node): the paths of one or two edges that start at nodes(node), a row a node of a path.
+
+    Only the edges of the nodes and of those next to them are looked at.
+    """
+    edges = a.edges.select("src", "dst", "score")
+    first = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_semi")
+    then = edges.join(first.select(F.col("dst").alias("src")), "src", "left_semi")
+    paths = graph.two_hop_paths(first.unionByName(then).distinct()).join(nodes.select("node"), "node", "left_semi")
+    parts = F.posexplode(F.split("path", " -> ")).alias("position", "node")
+    return paths.select(F.lit("q").alias("id"), "path", "confidence", parts)
+
+
+def flow_states(steps: DataFrame, spans: DataFrame, primary: DataFrame, slices: DataFrame) -> DataFrame:
+    """(node, completeness) of flow steps(node, signal, start, stop): how many of a node's steps lie in primary, and in all, slices(file, start, stop)."""
+    rows = steps.join(spans.select("node", "file"), "node").select("node", "file", "start", "stop").distinct()
+    ref = F.concat_ws("-", "start", "stop")
+    refs_of = lambda df, name: df.groupBy("node").agg(F.collect_set(ref).alias(name))
+    out = refs_of(rows, "wanted")
+    for name, within in (("direct", primary), ("context", slices)):
+        out = out.join(refs_of(intervals.covered(rows, within), name), "node", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return retrieve.completeness(out).select("node", "completeness")
+
+
 def ask(a: Analysis, question: str, budget: int = 110, limit: int = 10) -> dict:
     """What the question asks for, who matches it, the slices to read in order, the flows among them and what may honestly be said.
 
@@ -41,9 +66,11 @@ def ask(a: Analysis, question: str, budget: int = 110, limit: int = 10) -> dict:
     asked = retrieve.analyse_questions(spark.createDataFrame([("q", question)], "id string, question string"))
     info = asked.first().asDict()
     nodes = a._table(_candidate_nodes(a), f"ask{abs(hash(question))}")
-    ranked = a._table(retrieve.rank_candidates(asked, nodes, limit), f"ranked{abs(hash(question))}")
     forms = a.nodes.select("node", F.array("qualname", F.element_at(F.split("qualname", r"\."), -1), "node", F.regexp_replace(F.regexp_replace("file", "^.*/", ""), r"\.[^.]*$", "")).alias("forms"), "kind", (F.col("end_line") - F.col("start_line")).alias("span"))
-    mentioned = [r["node"] for r in retrieve.mentions(asked, forms).orderBy("rank").collect()]
+    named = a._table(retrieve.mentions(asked, forms), f"named{abs(hash(question))}")
+    named_files = a._table(retrieve.file_mentions(asked, a.nodes.select("file")), f"files{abs(hash(question))}")
+    mentioned = [r["node"] for r in named.orderBy("rank").collect()]
+    ranked = a._table(retrieve.rank_candidates(asked, nodes, limit, named, named_files), f"ranked{abs(hash(question))}")
     wanted = info["signals"]
     best = ranked.join(nodes.drop("signals", "contained"), "node").select("node", "file", "start_line", "end_line", "score", "rank", "ambiguous")
     refs = a.refs.join(best.select("node"), "node")
@@ -64,9 +91,21 @@ def ask(a: Analysis, question: str, budget: int = 110, limit: int = 10) -> dict:
     direct = chosen.where("taken and role = 0").select("node")
     flows = a.flows.join(direct, "node").orderBy("node").collect()
     covered = {r["signal"] for r in refs.join(direct, "node").select("signal").distinct().collect()}
-    states = [("q", "complete" if r["path"] else "missing", len(set(wanted) & covered), len(wanted)) for r in flows if not wanted or set(wanted) & covered] or [("q", "context_only" if direct.count() else "missing", len(set(wanted) & covered), len(wanted))]
+    steps = a._table(signals.flow_steps(a.refs.join(best.select("node"), "node", "left_semi"), a.spans.select("node", "kind", "start")), f"steps{abs(hash(question))}")
+    whole = chosen.where("taken")
+    state = {r["node"]: r["completeness"] for r in flow_states(steps, a.spans, whole.where("role = 0").select("file", "start", "stop"), whole.select("file", "start", "stop")).collect()}
+    some = len(set(wanted) & covered)
+    states = [("q", state.get(r["node"], "missing"), some, len(wanted)) for r in flows if not wanted or some] or [("q", "context_only" if direct.count() else "missing", some, len(wanted))]
     if wanted and not set(wanted) <= covered:
         states = [(i, "partial" if s == "complete" else s, k, n) for i, s, k, n in states]
+    paths = a._table(evidence_paths(a, best.select("node")), f"paths{abs(hash(question))}")
+    along = a.refs.join(paths.select("node").distinct(), "node", "left_semi")
+    taken = signals.flow_steps(along, a.spans.select("node", "kind", "start"))
+    flow = taken.groupBy("node").agg(F.transform(F.sort_array(F.collect_list(F.struct("step", "signal"))), lambda x: x["signal"]).alias("steps"))
+    chains = evidence.flow_chains(paths, flow).orderBy(F.desc("complete"), F.desc("n_flows"), "path").collect()
+    asked_for = F.array(*map(F.lit, wanted)) if wanted else F.array().cast("array<string>")
+    shown = steps.groupBy("node").agg(F.collect_set("signal").alias("shown"))
+    gaps = evidence.flow_gaps(shown.select(F.lit("q").alias("id"), "node", asked_for.alias("wanted"), "shown")).orderBy(F.desc(F.size("missing")), "node").collect()
     unclear = [r.asDict() for r in ambiguities(a).join(best.select("node"), "node").collect()] if "ambiguity_resolution" in info["intents"] else []
     outcome = retrieve.outcome_mode(spark.createDataFrame(states, "id string, completeness string, covered int, wanted int"), spark.createDataFrame([("q",)] * bool(unclear), "id string")).first()["outcome"]
     deferred = [r.asDict() for r in chosen.where("not taken").orderBy("role", "rank", "node").select("node", "file", "start", "stop").limit(6).collect()]
@@ -79,6 +118,11 @@ def ask(a: Analysis, question: str, budget: int = 110, limit: int = 10) -> dict:
         "candidates": [r.asDict() for r in best.orderBy("rank").select("node", "score", "file").collect()],
         "slices": [r.asDict() for r in slices.orderBy(F.desc("score"), "file", "start").collect()],
         "flows": {r["node"]: r["path"] for r in flows},
+        "completeness": state,
+        "mentioned_files": [r["file"] for r in named_files.orderBy("rank").collect()],
+        "paths": [r.asDict() for r in paths.select("path", "confidence").distinct().orderBy(F.desc("confidence"), "path").limit(6).collect()],
+        "chains": [{"path": r["path"], "chain": r["chain"], "complete": r["complete"]} for r in chains],
+        "gaps": [{"node": r["node"], "missing": r["missing"]} for r in gaps],
         "missing_signals": sorted(set(wanted) - covered),
         "ambiguities": unclear,
         "deferred": deferred,
