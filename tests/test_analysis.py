@@ -1,8 +1,12 @@
 import json
+import random
 
+import pyarrow as pa
 import pytest
 
+from weftline.plans import analysis as plans
 from weftline.plans.analysis import Analysis
+from weftline.plans.workspace import Scratch
 from weftline.sources import parsers, tree
 
 TREE = {
@@ -251,3 +255,64 @@ def test_other_files_are_not_read(spark, tmp_path):
         assert len(tree.named_files(spark, str(tmp_path), ["package.json"])["package.json"]) > 30_000
     finally:
         spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_files_of_one_task_are_parsed_in_several(spark):
+    line = "# " + "x" * 98 + "\n"
+    files = spark.createDataFrame([(f"m{k}.py", "python", f"def f{k}():\n    pass\n" + line * 3000) for k in range(4)], "path string, language string, text string").coalesce(1)
+    a = Analysis.of_files(spark, files)
+    assert len(a.files.inputFiles()) == 1 and len(a.parsed.inputFiles()) > 1
+    assert sorted(r.node for r in a.nodes.collect()) == [f"m{k}:f{k}" for k in range(4)]
+
+
+def test_small_files_share_a_batch(monkeypatch):
+    files = [(f"s{k}.rb", "ruby", f"class S{k}\nend\n") for k in range(50)]
+    given = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*files[i : i + 5])], ["path", "language", "text"]) for i in range(0, 50, 5)]
+    kinds = pa.schema([("node", pa.string()), ("import_symbols", pa.map_(pa.string(), pa.string()))])
+    nodes = [f"ruby:{n}" for k in range(50) for n in (f"s{k}.rb", f"S{k}")]
+    for rows, chars, n in ((1000, 10_000, 1), (20, 10_000, 5), (1000, 1, 50)):
+        monkeypatch.setattr(parsers, "BATCH_ROWS", rows)
+        monkeypatch.setattr(parsers, "BATCH_CHARS", chars)
+        out = list(parsers.parsed_batches(iter(given), {}, kinds))
+        assert len(out) == n and [x for b in out for x in b.column(0).to_pylist()] == nodes
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_members_of_nearest_bases(spark, seed):
+    """Random classes with cycles among their bases, against a plain search; only what is asked for is answered."""
+    rng = random.Random(seed)
+    names = [f"C{k}" for k in range(14)]
+    pairs = sorted({(rng.choice(names), rng.choice(names)) for _ in range(16)})
+    has = sorted({(rng.choice(names), rng.choice("xyz")) for _ in range(8)})
+    asked = sorted({(rng.choice(("own", "up")), rng.choice([*names, "F"]), rng.choice("xyzw")) for _ in range(40)})
+    nodes = [(f"m:{n}", "m", n, rng.choice(("class", "interface"))) for n in names] + [(f"m:{n}.{x}", "m", f"{n}.{x}", "method") for n, x in [*has, ("F", "x")]] + [("m:F", "m", "F", "function")]
+    out = plans.member_index(
+        spark.createDataFrame([(s, f"m:{n}", x) for s, n, x in asked], "space string, seed string, member string"),
+        spark.createDataFrame([(f"m:{a}", f"m:{b}") for a, b in pairs], "src string, dst string"),
+        spark.createDataFrame(nodes, "node string, module string, qualname string, kind string"),
+        Scratch(spark, "test"),
+    )
+    want = set()
+    for space, n, member in asked:
+        level, seen = {n} - {"F"}, {n}
+        for step in range(len(names) + 1):
+            hits = sorted(c for c in level if (c, member) in has) if step or space == "own" else []
+            if hits:
+                want.add((space, f"m:{n}|{member}", f"m:{hits[0]}.{member}"))
+                break
+            level = {b for a, b in pairs if a in level} - seen
+            seen |= level
+    got = [tuple(r) for r in out.collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_no_walk_for_members_at_hand(spark):
+    """A chain of classes is not walked where every called member is the class's own."""
+    text = "package p.c{k};\nimport p.c{b}.C{b};\nclass C{k} extends C{b} {{\n  int go() {{\n    return C{b}.make();\n  }}\n  static int make() {{\n    return 1;\n  }}\n}}\n"
+    files = [(f"p/C{k}.java", "java", text.format(k=k, b=max(0, k - 1))) for k in range(12)]
+    a = Analysis.of_files(spark, spark.createDataFrame(files, "path string, language string, text string"))
+    calls = {(r.src, r.dst) for r in a.edges.collect() if r.kinds == "call" and r.src.endswith(".go")}
+    assert calls == {(f"java.p.c{k}:C{k}.go", f"java.p.c{max(0, k - 1)}:C{max(0, k - 1)}.make") for k in range(12)}
+    path = spark._jvm.org.apache.hadoop.fs.Path(a.scratch.path("walk2"))
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    assert a.spark.read.parquet(a.scratch.path("asked")).count() == 11

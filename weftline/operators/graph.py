@@ -421,13 +421,14 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int | None = None) -> DataFr
     return found
 
 
-def subtype_closure(inherits: DataFrame, types: DataFrame) -> DataFrame:
+def subtype_closure(inherits: DataFrame, types: DataFrame, bases: DataFrame | None = None) -> DataFrame:
     """(base, target): each type of types(node, concrete) with its concrete subtypes, itself included if concrete.
 
-    inherits(src, dst): src extends dst.
+    inherits(src, dst): src extends dst. bases(node): the types asked for, where not all are.
     """
     down = inherits.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    found = reach(down, types.select(F.col("node").alias("seed")))
+    seeds = types if bases is None else types.join(bases.select("node"), "node", "left_semi")
+    found = reach(down, seeds.select(F.col("node").alias("seed")))
     concrete = types.where("concrete").select("node")
     return found.join(concrete, "node", "left_semi").select(F.col("seed").alias("base"), F.col("node").alias("target"))
 

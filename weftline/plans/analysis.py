@@ -39,7 +39,8 @@ def reference_candidates(nodes: DataFrame, context: dict) -> DataFrame:
                 kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows), kinds)], ["node", "ref_kind", "raw", "prio", "kind", "space", "key"])
 
-    return nodes.select(*names).mapInArrow(run, _CANDIDATE)
+    refer = nodes.where("size(calls) > 0 or size(bases) > 0 or size(imports) > 0 or size(strings) > 0")
+    return refer.select(*names).mapInArrow(run, _CANDIDATE)
 
 
 def _unique(index: DataFrame, space: str) -> DataFrame:
@@ -158,34 +159,39 @@ def script_exports(nodes: DataFrame, context: dict, scratch: Scratch, rounds: in
     return every.select(F.lit("script").alias("space"), F.concat_ws("#", "file", "name").alias("key"), "target", "barrel")
 
 
-def ancestors(inherits: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(seed, node, hops): the bases of each class and their distance, itself included."""
-    return graph.reach(inherits, nodes.where(F.col("kind").isin(*_TYPES)).select(F.col("node").alias("seed")))
+def member_index(wanted: DataFrame, inherits: DataFrame, nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(space, key, target) for wanted(space, seed, member): class|member of the nearest base that has it; `own` counts the class itself, `up` does not.
 
-
-def member_index(above: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(space, key, target): class|member of the nearest base that has it; `own` counts the class itself, `up` does not."""
-    owner = F.concat(F.col("module"), F.lit(":"), F.regexp_replace("qualname", r"\.[^.]*$", ""))
-    members = nodes.where("contains(qualname, '.')").select(owner.alias("node"), F.element_at(F.split("qualname", r"\."), -1).alias("member"), F.col("node").alias("target"))
-    found = above.join(members, "node")
-
-    def nearest(rows: DataFrame, space: str) -> DataFrame:
-        best = rows.groupBy("seed", "member").agg(F.min(F.struct("hops", "node", "target")).alias("b"))
-        return best.select(F.lit(space).alias("space"), F.concat_ws("|", "seed", "member").alias("key"), "b.target")
-
-    return nearest(found, "own").unionByName(nearest(found.where("hops > 0"), "up"))
+    Step by step from the classes up; a pair that has found its member goes no
+    further. Of several bases at one distance the least by name.
+    """
+    members = nodes.where("contains(qualname, '.')").select(
+        F.concat(F.col("module"), F.lit(":"), F.regexp_replace("qualname", r"\.[^.]*$", "")).alias("node"), F.element_at(F.split("qualname", r"\."), -1).alias("member"), F.col("node").alias("target")
+    )
+    members = scratch.table(members.join(wanted.select("member").distinct(), "member", "left_semi"), "wanted_members")
+    pairs = scratch.table(graph.edge_set(inherits), "inherits")
+    seeds = wanted.join(nodes.where(F.col("kind").isin(*_TYPES)).select(F.col("node").alias("seed")), "seed", "left_semi")
+    frontier = scratch.table(seeds.select("space", "seed", "member", F.col("seed").alias("node")).distinct(), "walk0")
+    key = ["space", "seed", "member"]
+    every, seen, step = None, frontier, 0
+    while True:
+        # A class that is its own base by a cycle was there at the start.
+        found = (frontier if step else frontier.where("space = 'own'")).join(members, ["node", "member"])
+        found = scratch.table(found.groupBy(*key).agg(F.min(F.struct("node", "target")).alias("b")).select(*key, "b.target"), f"found{step}")
+        every = found if every is None else every.unionByName(found)
+        rest = frontier.join(found, key, "left_anti").join(pairs, F.col("node") == F.col("src"))
+        more = rest.select(*key, F.col("dst").alias("node")).distinct().join(seen, [*key, "node"], "left_anti")
+        step += 1
+        frontier = scratch.table(more, f"walk{step}")
+        if not frontier.limit(1).count():
+            break
+        seen = seen.unionByName(frontier)
+    return every.select("space", F.concat_ws("|", "seed", "member").alias("key"), "target")
 
 
 _REF = ["node", "ref_kind", "raw"]
 
 
-def first_hits(found: DataFrame, index: DataFrame) -> DataFrame:
-    """(node, ref_kind, raw, prio, kind, target): each reference's first candidate that the index holds."""
-    hits = found.join(index.select("space", "key", "target"), ["space", "key"])
-    best = hits.groupBy(*_REF).agg(F.min(F.struct("prio", "target", "kind")).alias("b"))
-    return best.select(*_REF, "b.prio", "b.kind", "b.target")
-
-
 def injected(wanted: DataFrame, types: DataFrame, nodes: DataFrame, closure: DataFrame, own: DataFrame) -> DataFrame:
     """(node, ref_kind, raw, prio, kind, target, n) of calls on typed members: the implementation that would be injected.
 
@@ -232,6 +238,17 @@ def injected(wanted: DataFrame, types: DataFrame, nodes: DataFrame, closure: Dat
     return abstract.unionByName(plain).where("target is not null or options is not null")
 
 
+#: Characters of source text that a parsing task gets at most, and at least where cores would otherwise be idle.
+PARSE_MOST, PARSE_LEAST = 4 << 20, 1 << 18
+
+
+def spread(files: DataFrame) -> DataFrame:
+    """files(path, language, text) over as many tasks as their size asks for, however few the files are that they are read from."""
+    chars = files.agg(F.sum(F.length("text"))).first()[0] or 0
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    return files.repartition(max(1, -(-chars // PARSE_MOST), min(-(-chars // PARSE_LEAST), 4 * cores)))
+
+
 class Analysis:
     """The tables of one analysis of a source tree."""
 
@@ -265,7 +282,7 @@ class Analysis:
 
     @cached_property
     def parsed(self) -> DataFrame:
-        return self._table(parsers.parse(self.files, self.context), "parsed")
+        return self._table(parsers.parse(spread(self.files), self.context), "parsed")
 
     @cached_property
     def parse_errors(self) -> DataFrame:
@@ -306,33 +323,46 @@ class Analysis:
         """(node, ref_kind, raw, kind, target, options) of every reference: the first candidate that exists; options where it is ambiguous."""
         c = F.col
         nodes, found, index = self.nodes, self.candidates, self.index
-        early = found.where("ref_kind in ('base', 'type')")
-        first = self._table(first_hits(early, index), "bases")
+        # What the index alone decides, for all references at once; types are only gone through.
+        hits = found.where("space not in ('typed', 'di', 'dotted', 'up')").join(index, ["space", "key"])
+        hits = self._table(hits.select(*_REF, "prio", "kind", "target", "barrel"), "hits")
+        first = hits.where("ref_kind in ('base', 'type')").groupBy(*_REF).agg(F.min(F.struct("prio", "target", "kind")).alias("b"))
+        first = self._table(first.select(*_REF, "b.prio", "b.kind", "b.target"), "bases")
         inherits = first.where("ref_kind = 'base' and target <> node").select(c("node").alias("src"), c("target").alias("dst"))
         # A module of other languages repeats its classes' bases; only types inherit.
         inherits = inherits.join(nodes.where(c("kind").isin(*_TYPES)).select(c("node").alias("src")), "src", "left_semi")
-        members = self._table(member_index(ancestors(inherits, nodes), nodes), "members")
         types = first.where("ref_kind = 'type'")
         named = types.select("node", "raw", "target")
 
         split = F.split("key", r"\|")
         typed = found.where("space = 'typed'").select(*_REF, "prio", "kind", split[0].alias("type"), split[1].alias("member"))
-        typed = typed.join(named.select("node", c("raw").alias("type"), c("target").alias("class")), ["node", "type"])
-        typed = typed.join(members.where("space = 'own'").select(c("key").alias("k"), "target"), F.concat_ws("|", "class", "member") == c("k")).select(*_REF, "prio", "kind", "target").withColumn("options", F.lit(None).cast("string"))
-        wanted = found.where("space = 'di'").select(*_REF, "prio", split[0].alias("type"), split[1].alias("member"), split[2].alias("qualifier"))
+        typed = self._table(typed.join(named.select("node", c("raw").alias("type"), c("target").alias("class")), ["node", "type"]), "typed")
+        wanted = self._table(found.where("space = 'di'").select(*_REF, "prio", split[0].alias("type"), split[1].alias("member"), split[2].alias("qualifier")), "wanted")
         of_types = nodes.where(c("kind").isin(*_TYPES))
         concrete = of_types.select("node", (c("kind").isin("class", "enum") & ~c("is_abstract")).alias("concrete"))
-        di = injected(wanted, named, nodes, graph.subtype_closure(inherits, concrete), members.where("space = 'own'"))
-        every = index.select("space", "key", "target", "barrel").unionByName(members.withColumn("barrel", F.lit(False)))
-        plain = found.where("ref_kind in ('base', 'call', 'import') and space not in ('typed', 'di', 'dotted')")
-        hits = plain.join(every, ["space", "key"])
+        declared = wanted.join(named.select("node", c("raw").alias("type"), c("target").alias("declared")), ["node", "type"]).select("declared", "member").distinct()
+        abstract = declared.join(nodes.where("is_abstract").select(c("node").alias("declared")), "declared", "left_semi")
+        closure = self._table(graph.subtype_closure(inherits, concrete, abstract.select(c("declared").alias("node"))), "closure")
+
+        # Only the members that some reference asks for are looked up along the bases.
+        of = lambda df, space, seed: df.select(F.lit(space).alias("space"), c(seed).alias("seed"), "member")
+        asked = of(typed, "own", "class").unionByName(of(declared, "own", "declared"))
+        asked = asked.unionByName(of(closure.join(abstract, c("base") == c("declared")), "own", "target"))
+        asked = asked.unionByName(of(found.where("space = 'up'").select(split[0].alias("class"), split[1].alias("member")), "up", "class"))
+        members = self._table(member_index(self._table(asked.distinct(), "asked"), inherits, nodes, self.scratch), "members")
+        typed = typed.join(members.where("space = 'own'").select(c("key").alias("k"), "target"), F.concat_ws("|", "class", "member") == c("k")).select(*_REF, "prio", "kind", "target").withColumn("options", F.lit(None).cast("string"))
+        di = injected(wanted, named, nodes, closure, members.where("space = 'own'"))
+        up = found.where("space = 'up'").join(members, ["space", "key"]).select(*_REF, "prio", "kind", "target", F.lit(False).alias("barrel"))
+        hits = hits.where("ref_kind in ('base', 'call', 'import')").unionByName(up)
         how = F.when(c("barrel") & c("kind").isin("import_exact", "alias_resolved"), "barrel_reexport").otherwise(c("kind"))
         hits = hits.select(*_REF, "prio", how.alias("kind"), "target").withColumn("options", F.lit(None).cast("string"))
         best = hits.unionByName(typed).unionByName(di.select(*_REF, "prio", "kind", "target", "options"))
         best = best.groupBy(*_REF).agg(F.min(F.struct("prio", F.col("target").isNull().alias("open"), "target", "kind", "options")).alias("b"))
-        strings = found.where("space = 'dotted'").select(c("raw").alias("ref"), "node").distinct()
-        full = index.where("space = 'fq'").select(c("key").alias("name"), c("target").alias("node"))
-        looked = resolve.dotted_lookup(strings, full, name_index(nodes)).withColumnRenamed("node", "target")
+        strings = self._table(found.where("space = 'dotted'").select(c("raw").alias("ref"), "node").distinct(), "strings")
+        # Names that no string can mean need no grouping.
+        meant = strings.select(F.explode(F.concat(F.array("ref"), resolve.suffixes(c("ref"), "."))).alias("name")).distinct()
+        full = index.where("space = 'fq'").select(c("key").alias("name"), c("target").alias("node")).join(meant, "name", "left_semi")
+        looked = resolve.dotted_lookup(strings, full, name_index(nodes).join(meant, "name", "left_semi")).withColumnRenamed("node", "target")
         texts = strings.join(looked, "ref").select("node", F.lit("string").alias("ref_kind"), c("ref").alias("raw"), F.lit("string_ref").alias("kind"), "target", F.lit(None).cast("string").alias("options"))
         return self._table(best.select(*_REF, "b.kind", "b.target", "b.options").unionByName(texts), "resolved")
 

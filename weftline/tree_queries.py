@@ -169,6 +169,8 @@ def supplier_files(spark: SparkSession, sf: str) -> DataFrame:
     keys = _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"))
     before = keys.select(F.col("k").alias("p"))
     rows = keys.join(before, F.expr("k div 2") == F.col("p"), "left").withColumn("p", F.coalesce("p", "k"))
+    # A key becomes fourteen files, so a small table of one task is spread before it grows.
+    rows = rows.repartition(4 * spark.sparkContext.defaultParallelism, "k")
     files = F.explode(F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("language", "path", "text"), t))) for t in TEMPLATES)))
     filled = lambda c: F.replace(F.replace(c, F.lit("@K"), F.col("k").cast("string")), F.lit("@P"), F.col("p").cast("string"))
     return rows.select("k", "p", files.alias("f")).select(filled(F.col("f.path")).alias("path"), "f.language", filled(F.col("f.text")).alias("text"))
